@@ -124,12 +124,12 @@ def _spans(start: np.ndarray, end: np.ndarray, chunk: Chunk) -> Spans:
     return Spans(start, end, per_doc, np.repeat(np.arange(chunk.n), per_doc), edge[:-1])
 
 
-def words(chunk: Chunk) -> Spans:
-    """Every word of every document."""
+def words(chunk: Chunk, between: np.ndarray = SPACE) -> Spans:
+    """Every word of every document: maximal runs of bytes that are not in the table ``between``."""
     if len(chunk.data) == 0:
         none = np.empty(0, np.int64)
         return _spans(none, none, chunk)
-    solid = ~SPACE[chunk.data]
+    solid = ~between[chunk.data]
     first = begins(chunk)
     before = np.empty_like(solid)
     before[0] = False

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomery.llm import minhash, sharding
+from loomery.llm import minhash, quality, rules, sharding, urls
 from loomery.llm.util import read
 
 
@@ -18,9 +18,29 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.verdicts(rules.ledger(read(spark, sf_dir, "documents")))
+
+
+URL_RULES = """VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')"""
+
+
+def op7_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.sql(f"SELECT * FROM {URL_RULES} AS t(host, path, verdict)")
+    return urls.filter_urls(read(spark, sf_dir, "pages"), listed)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_sharding": op1_jump_sharding,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op4_factorisation_quality": op4_factorisation_quality,
+    "op6_rule_ledger": op6_rule_ledger,
+    "op7_url_range_join": op7_url_range_join,
 }
 
 OP2_SQL = r"""
@@ -33,15 +53,15 @@ WITH RECURSIVE words AS (
   SELECT DISTINCT doc_id, unnest(
     CASE WHEN len(w) = 0 THEN []::VARCHAR[]
          WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s
+         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
   FROM words
 ), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 shared AS (
-  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common
   FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
 ), links AS (
   SELECT u, v FROM shared JOIN sizes x ON x.doc_id = u JOIN sizes y ON y.doc_id = v
-  WHERE 100 * both >= 75 * (x.n + y.n - both)
+  WHERE 100 * common >= 75 * (x.n + y.n - common)
 ), both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
 reach(doc_id, other) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.v FROM reach r JOIN both_ways e ON e.u = r.other
@@ -50,6 +70,65 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN least USING (doc_id)
 """
 
+OP6_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i,
+    unnest(list_transform(range(1, len(w) - 1), lambda k: w[k:k + 2])) AS g
+  FROM words WHERE len(w) >= 3
+), twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM windows) WHERE c >= 2),
+repeats AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY 1
+), lines AS (
+  SELECT doc_id, count(*) AS n, count(DISTINCT l) AS d
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM t)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1
+), m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    coalesce(lines.n - lines.d, 0)::BIGINT AS n_dup_lines, coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
+    coalesce(lines.n, 0) AS n_lines, length(text) AS n_chars,
+    text
+  FROM words LEFT JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)
+), f AS (
+  SELECT *, (n_words < 50)::BIGINT AS b0, (100 * n_repeat_words > 50 * n_words)::BIGINT AS b1,
+    (100 * n_symbols > 25 * n_words)::BIGINT AS b2, (100 * n_dup_lines > 50 * n_lines)::BIGINT AS b3,
+    (10 * word_chars < 20 * n_words)::BIGINT AS b4, (word_chars > 20 * n_words)::BIGINT AS b5,
+    (2 * length(regexp_replace(text, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g'))
+      < n_chars + length(regexp_replace(text, '[\x00-\x7F]', '', 'g')))::BIGINT AS b6,
+    (10 * (SELECT count(DISTINCT x) FROM unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS u(x)) < n_words
+      AND n_words < 1000)::BIGINT AS b7
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  b0 + b1 > 0 AS base_failed, b0 + b1 + b2 + b3 + b4 + b5 + b6 = 0 AS kept,
+  b0 + 2 * b1 + 4 * b2 + 8 * b3 + 16 * b4 + 32 * b5 + 64 * b6 + 128 * b7 AS failed
+FROM f
+"""
+
+OP7_SQL = f"""
+WITH rules AS (SELECT * FROM ({URL_RULES}) AS t(rule_host, rule_path, verdict)),
+rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS r FROM pages
+), parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(r, '^([^/?#]*)', 1), ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM rest
+), fits AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+    arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM parts JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY page_id
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
+"""
+
 SQL: dict[str, str] = {
+    "op6_rule_ledger": OP6_SQL,
+    "op7_url_range_join": OP7_SQL,
     "op2_minhash_dedup": OP2_SQL,
 }
