@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomery.llm import minhash, quality, rules, sharding, urls
+from loomery.llm import fingerprints, minhash, pieces, quality, rules, sharding, urls
 from loomery.llm.util import read
 
 
@@ -18,6 +20,14 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.compare_with_edits(read(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 def op4_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -35,12 +45,22 @@ def op7_url_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(read(spark, sf_dir, "pages"), listed)
 
 
+def op8_piece_rounds(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    model = model or public_tokenizers.path("piece_bpe_32k.model")
+    made = pieces.encode_documents(read(spark, sf_dir, "documents"), model)
+    return made.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_sharding": op1_jump_sharding,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_weighted_fingerprints": op3_weighted_fingerprints,
     "op4_factorisation_quality": op4_factorisation_quality,
     "op6_rule_ledger": op6_rule_ledger,
     "op7_url_range_join": op7_url_range_join,
+    "op8_piece_rounds": op8_piece_rounds,
 }
 
 OP2_SQL = r"""
