@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import fingerprints, minhash, pieces, quality, rules, sharding, urls
+from loomery.llm import fingerprints, minhash, packing, pieces, quality, rules, sharding, urls
 from loomery.llm.util import read
 
 
@@ -53,6 +53,10 @@ def op8_piece_rounds(spark: SparkSession, sf_dir: str, model: str | None = None)
     )
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), model or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_sharding": op1_jump_sharding,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_rule_ledger": op6_rule_ledger,
     "op7_url_range_join": op7_url_range_join,
     "op8_piece_rounds": op8_piece_rounds,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 OP2_SQL = r"""
