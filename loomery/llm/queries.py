@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import fingerprints, minhash, packing, pieces, quality, rules, sharding, urls
+from loomery.llm import fingerprints, linededup, minhash, packing, pieces, quality, rules, sharding, urls
 from loomery.llm.util import read
 
 
@@ -53,6 +53,11 @@ def op8_piece_rounds(spark: SparkSession, sf_dir: str, model: str | None = None)
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "text", "_lines.n_lines", "_lines.n_dropped")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), model or public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_rule_ledger": op6_rule_ledger,
     "op7_url_range_join": op7_url_range_join,
     "op8_piece_rounds": op8_piece_rounds,
+    "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
@@ -152,7 +158,37 @@ rest AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
 """
 
+OP9_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(a)))::BIGINT AS line, unnest(a) AS l
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)
+), worded AS (
+  SELECT *, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+), firsts AS (SELECT w, min((doc_id, line)) AS pos FROM worded GROUP BY w),
+long_ AS (SELECT *, len(w) AS n FROM firsts WHERE len(w) >= 8),
+cuts AS (
+  SELECT pos, n, i, array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') AS v
+  FROM (SELECT pos, n, w, unnest(range(1, n + 1)) AS i FROM long_)
+), near AS (
+  SELECT a.pos FROM cuts a JOIN cuts b ON a.v = b.v AND a.n = b.n AND a.i = b.i AND b.pos < a.pos
+  UNION SELECT a.pos FROM cuts a JOIN long_ b ON a.v = array_to_string(b.w, ' ') AND a.n = b.n + 1 AND b.pos < a.pos
+  UNION SELECT b.pos FROM cuts a JOIN long_ b ON a.v = array_to_string(b.w, ' ') AND a.n = b.n + 1 AND a.pos < b.pos
+), kept AS (SELECT pos FROM firsts WHERE pos NOT IN (SELECT pos FROM near)),
+marked AS (
+  SELECT lines.*, NOT regexp_matches(l, '[^\x20\x09-\x0D]') OR kept.pos IS NOT NULL AS stays
+  FROM lines LEFT JOIN kept ON kept.pos = (doc_id, line)
+), built AS (
+  SELECT doc_id, string_agg(l, chr(10) ORDER BY line) FILTER (stays) AS text,
+    count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(b.text, '') END AS text,
+  coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped
+FROM documents d LEFT JOIN built b USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
+    "op9_line_dedup": OP9_SQL,
     "op6_rule_ledger": OP6_SQL,
     "op7_url_range_join": OP7_SQL,
     "op2_minhash_dedup": OP2_SQL,
