@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import fingerprints, linededup, minhash, packing, pieces, quality, rules, sharding, urls
+from loomery.llm import fingerprints, linededup, minhash, packing, pieces, pii, quality, rules, sharding, urls
 from loomery.llm.util import read
 
 
@@ -32,6 +32,14 @@ def op4_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    made = pii.find(docs, pii.train(docs))
+    return made.select(
+        "doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(rules.ledger(read(spark, sf_dir, "documents")))
 
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_weighted_fingerprints": op3_weighted_fingerprints,
     "op4_factorisation_quality": op4_factorisation_quality,
+    "op5_skip_chain_pii": op5_skip_chain_pii,
     "op6_rule_ledger": op6_rule_ledger,
     "op7_url_range_join": op7_url_range_join,
     "op8_piece_rounds": op8_piece_rounds,
