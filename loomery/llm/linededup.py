@@ -187,10 +187,12 @@ def near_lines(first: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near_words: int = 8) -> DataFrame:
-    """The documents with repeated lines left out: all columns of ``docs``, then n_lines and n_dropped in a struct.
+def dedup_lines(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", near_words: int = 8, counts_as: str | None = None
+) -> DataFrame:
+    """The documents with repeated lines left out: all columns of ``docs`` with the text changed.
 
-    The struct column is named ``_lines``; :func:`line_counts` names its parts.
+    ``counts_as`` names a further struct column with n_lines and n_dropped, if it is wanted.
     """
     known = _known(docs, key, text)
     # Fully repeated rows lie together anyway where texts are joined by document.
@@ -242,4 +244,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", near_w
     )
     counts = F.when(F.col("t").isNull(), F.struct(F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))).otherwise(counts)
     named = [(texts if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)]
-    return whole.select(*named, counts.alias("_lines"))
+    return whole.select(*named, *([counts.alias(counts_as)] if counts_as else []))

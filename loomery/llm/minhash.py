@@ -7,10 +7,12 @@ hashed bin with value ``i`` + a hashed fraction, and a bin keeps its least value
 sets agree in a coordinate with a probability equal to their Jaccard similarity.
 
 Links are decided on full shingle sets.  Documents with equal sets are one class before
-banding.  Inside a bucket of the banding no list of all pairs is made: first every class
-is checked against the bucket's smallest one; then only pairs that still lie in different
-components are checked.  As a pair inside one component cannot change the components,
-the result is that of checking every pair of every bucket, with no cap anywhere.
+banding.  Inside a bucket of the banding no list of pairs is made: first every class is
+checked against the bucket's smallest one; then buckets of three or more classes that
+still hold several components are searched for links between components, by counting
+shared shingles over an inverted list of the bucket (one block of it, where it is large).
+As a pair inside one component cannot change the components, the result is that of
+checking every pair of every bucket, with no cap anywhere.
 
 With 128 coordinates in 32 bands of 4, a pair at exactly 0.75 misses every band with a
 probability of 5e-6; pairs above it with less.
@@ -161,6 +163,98 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return _linked(both, percent)
 
 
+def links_between(
+    component: np.ndarray, block: np.ndarray, sets: list[np.ndarray], percent: int, across: bool
+) -> list[tuple[int, int]]:
+    """Links (positions) between sets of different components; one for each set and other component.
+
+    ``across``: only between different blocks.  Counts shared elements over an inverted list.
+    """
+    size = np.array([len(x) for x in sets])
+    flat_, doc = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, element = np.unique(flat_, return_inverse=True)
+    order = np.argsort(element, kind="stable")
+    posted = doc[order]
+    count = np.bincount(element)
+    begin = np.cumsum(count) - count
+    edge = np.r_[0, np.cumsum(size)]
+    kinds, first, number = np.unique(component, return_index=True, return_counts=True)
+    largest = kinds[number.argmax()]
+    found = []
+    for x in np.flatnonzero(component != largest).tolist():
+        own = element[edge[x] : edge[x + 1]]
+        n = count[own]
+        at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(posted[at], minlength=len(sets))
+        ok = (100 * shared >= percent * (size + size[x] - shared)) & (component != component[x])
+        if across:
+            ok &= block != block[x]
+        hits = np.flatnonzero(ok)
+        if len(hits):
+            found += [(x, int(hits[i])) for i in np.unique(component[hits], return_index=True)[1]]
+    return found
+
+
+def _across(units: DataFrame, percent: int) -> DataFrame:
+    """Links inside each unit (key, p, q); ``units`` lies in partitions sorted by these."""
+
+    def run(batches):
+        held_key, held = None, []
+
+        def settle():
+            if len(held) < 2:
+                return []
+            rep, component, block = (np.array([h[i] for h in held], dtype=np.int64) for i in range(3))
+            sets = [np.frombuffer(h[3], dtype=np.uint64) for h in held]
+            return [(rep[i], rep[j]) for i, j in links_between(component, block, sets, percent, held_key[1] != held_key[2])]
+
+        def out(found):
+            u, v = zip(*found)
+            return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(7)]
+            for key, p, q, *row in zip(*columns):
+                if (key, p, q) != held_key:
+                    if found := settle():
+                        yield out(found)
+                    held_key, held = (key, p, q), []
+                held.append(row)
+        if found := settle():
+            yield out(found)
+
+    return units.mapInArrow(run, "u long, v long")
+
+
+def _links_across(members: DataFrame, docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """Links between components that meet in a bucket of three or more; ``members``: key, rep, n, component.
+
+    A bucket with more than ``block`` shingles is dealt into blocks of about that many, and
+    each two blocks meet in a unit of their own.
+    """
+    mixed = (
+        members.groupBy("key")
+        .agg(
+            F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"),
+            F.min("component").alias("a"), F.max("component").alias("b"),
+        )
+        .where("m > 2 and a < b")
+        .select("key", F.ceil(F.col("total") / block).cast("int").alias("blocks"))
+    )
+    dealt = members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("long"))
+    units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)))
+    units = cut(
+        units.select(
+            "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"),
+            F.col("rep").alias("id"), "component", "block",
+        )
+    )
+    own = _sets(docs.join(units.select("id").distinct(), "id", "left_semi"), width)
+    full = units.join(own, "id").select("key", "p", "q", "id", "component", "block", "own")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _across(full.repartition(parts, "key", "p", "q").sortWithinPartitions("key", "p", "q"), percent)
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -169,13 +263,14 @@ def near_duplicates(
     percent: int = 75,
     size: int = 128,
     rows: int = 4,
+    block: int = 200_000,
 ) -> DataFrame:
     """One row per document: key, n_shingles, component_id, kept (see the module's head)."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sketches = cut(_sketches(texts, width, size, rows))
     named = sketches.where("n > 0 and id is not null")
     classes = named.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
-    buckets = classes.select("rep", F.explode("keys").alias("key"))
+    buckets = classes.select("rep", "n", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
     crowd = cut(buckets.join(shared.select("key", "hub"), "key"))
     texts = texts.where("id is not null")
@@ -186,23 +281,10 @@ def near_duplicates(
 
     members = cut(
         crowd.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select(
-            "key", "rep", F.coalesce("component", "rep").alias("component")
+            "key", "rep", "n", F.coalesce("component", "rep").alias("component")
         )
     )
-    mixed = (
-        members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    ).select("key")
-    open_ = members.join(mixed, "key", "left_semi")
-    left = open_.select("key", F.col("rep").alias("u"), F.col("component").alias("cu"))
-    right = open_.select("key", F.col("rep").alias("v"), F.col("component").alias("cv"))
-    second = (
-        left.join(right, "key")
-        .where("cu < cv")
-        .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        .distinct()
-        .join(first, ["u", "v"], "left_anti")
-    )
-    more = _verified(cut(second), texts, width, percent)
+    more = _links_across(members, texts, width, percent, block)
 
     copies = (
         named.select("id", "d1", "d2", "n")

@@ -301,20 +301,21 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame, model: SkipChain, key: str = "doc_id", text: str = "text", least: float = 0.9) -> DataFrame:
-    """(key, n_email, n_ip, n_card, n_phone, base, spans, redacted) of every row's whole text.
+def find(docs: DataFrame, model: SkipChain, text: str = "text", extra: tuple[str, ...] = ("doc_id",), least: float = 0.9) -> DataFrame:
+    """(*extra, n_email, n_ip, n_card, n_phone, base, spans, redacted) of every row's whole text.
 
     Counts and ``base`` are of the patterns' spans; ``spans`` has the added ones too;
     ``redacted`` is the text without any of them, null where the text is null.
     """
-    kind = docs.select(key).schema[0].dataType.simpleString()
+    fields = docs.select(*[f"`{c}`" for c in extra]).schema.fields
+    names = [f"c{i}" for i in range(len(fields))]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = shared.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(0).to_pylist()
             found, graph = {}, Graph()
             for i, t in enumerate(texts):
                 if t and _NODE.search(t):
@@ -322,20 +323,25 @@ def find(docs: DataFrame, model: SkipChain, key: str = "doc_id", text: str = "te
                     graph.add(i, t, found[i])
             more = added_spans(graph, model, least)
             counts = np.zeros((len(KINDS), len(texts)), dtype=np.int64)
-            base, spans, clean = [""] * len(texts), [""] * len(texts), list(texts)
+            base, spans, clean = [""] * len(texts), [""] * len(texts), texts
             for i, own in found.items():
                 for _, k, _end in own:
                     counts[k, i] += 1
                 every = own + more.get(i, [])
                 base[i], spans[i] = printed(own), printed(every)
                 clean[i] = redacted(texts[i], every)
-            return pa.record_batch(
-                [batch.column(0), *map(pa.array, counts), *(pa.array(x, pa.string()) for x in (base, spans, clean))],
-                names=["id", *(f"n_{k}" for k in KINDS), "base", "spans", "redacted"],
-            )
+            made = [*map(pa.array, counts), *(pa.array(x, pa.string()) for x in (base, spans, clean))]
+            return pa.record_batch([*batch.columns[1:], *made], names=[*names, *kinds, "b", "s", "r"])
 
         return each
 
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    schema = f"id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base string, spans string, redacted string"
-    return map_batches(rows, make, schema).withColumnRenamed("id", key)
+    kinds = [f"n{k}" for k in range(len(KINDS))]
+    rows = docs.select(F.col(text).cast("string").alias("t"), *[F.col(f"`{f.name}`").alias(n) for n, f in zip(names, fields)])
+    schema = ", ".join(
+        [*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields)), *(f"{k} long" for k in kinds), "b string, s string, r string"]
+    )
+    return map_batches(rows, make, schema).select(
+        *[F.col(n).alias(f.name) for n, f in zip(names, fields)],
+        *[F.col(k).alias(f"n_{kind}") for k, kind in zip(kinds, KINDS)],
+        F.col("b").alias("base"), F.col("s").alias("spans"), F.col("r").alias("redacted"),
+    )

@@ -209,24 +209,27 @@ def train(
     return fit(parsed, np.array([r["label"] for r in got], dtype=np.float64), bits)
 
 
-def score(docs: DataFrame, model: FactorisationMachine, key: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """(key, score, *extra): the model's score of every row's whole text."""
-    fields = docs.select(key, *extra).schema.fields
-    columns = docs.select(F.col(text).cast("string").alias("text"), *[F.col(f.name).alias(f"c{i}") for i, f in enumerate(fields)])
+def score(docs: DataFrame, model: FactorisationMachine, text: str = "text", extra: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*extra, score): the model's score of every row's whole text, beside the named columns."""
+    fields = docs.select(*[f"`{c}`" for c in extra]).schema.fields
+    named = [F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)]
+    own = extra.index(text) if text in extra else len(extra)
+    if own == len(extra):
+        named.append(F.col(text).cast("string").alias(f"c{own}"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
         model = shared.value
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            scores = np.concatenate([model.score(chunk) for chunk in flat.chunks(batch.column(0))])
+            scores = np.concatenate([model.score(chunk) for chunk in flat.chunks(batch.column(own))])
             names = [f"c{i}" for i in range(len(fields))]
-            return pa.record_batch([*batch.columns[1:], pa.array(scores)], names=[*names, "s"])
+            return pa.record_batch([*batch.columns[: len(fields)], pa.array(scores)], names=[*names, "s"])
 
         return each
 
     schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "s double"])
-    made = map_batches(columns, make, schema)
+    made = map_batches(docs.select(*named), make, schema)
     return made.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)], F.col("s").alias("score"))
 
 
@@ -238,6 +241,6 @@ def held_out(key: str = "doc_id"):
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Train on the labels outside the held-out third, score every row: key, held_out, score, predicted."""
     model = train(docs, labels.where(~held_out(key)), key, text, **options)
-    return score(docs, model, key, text).select(
+    return score(docs, model, text, (key,)).select(
         key, held_out(key).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

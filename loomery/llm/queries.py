@@ -62,8 +62,8 @@ def op8_piece_rounds(spark: SparkSession, sf_dir: str, model: str | None = None)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return made.select("doc_id", "text", "_lines.n_lines", "_lines.n_dropped")
+    made = linededup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), counts_as="lines")
+    return made.select("doc_id", "text", "lines.n_lines", "lines.n_dropped")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
