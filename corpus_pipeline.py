@@ -1,15 +1,80 @@
-"""The corpus pipeline; its stages are added as their operators are built."""
+"""The corpus pipeline: from raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the
+columns of ``documents`` (``n_chars`` follows the text); the last returns the packing.
+Stages read their input several times, so give them a table; ``run`` cuts the lineage
+between stages by reliable checkpoints.
+
+No SQL is given: a trained classifier and the tokenizer's merges are none.  The tests hold
+each stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomery.llm import linededup, minhash, packing, pii, quality
+from loomery.llm.util import cut, read
+
+
+def _with_text(docs: DataFrame, made: DataFrame, text: str) -> DataFrame:
+    """The columns of ``docs``, with the text from column ``text`` and n_chars to match."""
+    named = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return made.select(*[named.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine rejects go."""
+    labels = read(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(~quality.held_out()))
+    scored = quality.score(docs, model, extra=tuple(docs.columns))
+    return scored.where("score >= 0.5").select(*[f"`{c}`" for c in docs.columns])
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier line repeats or nearly repeats go; every document stays."""
+    made = linededup.dedup_lines(docs)
+    return _with_text(docs, made, "text")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays; of fully repeated rows one stays."""
+    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    own = Window.partitionBy("doc_id", F.xxhash64("text"), apart).orderBy("doc_id")
+    named = docs.join(kept, "doc_id", "left_semi")
+    rows = named.unionByName(docs.where("doc_id is null")).withColumn("_copy", F.row_number().over(own))
+    return rows.where("_copy = 1").select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by tags; every document stays."""
+    made = pii.find(docs, pii.train(docs), extra=tuple(c for c in docs.columns if c != "text"))
+    return _with_text(docs, made, "redacted")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_duplicate_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _name, stage in STAGES:
+    docs = read(spark, sf_dir, "documents")
+    for number, (_name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = cut(docs)
     return docs
