@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from loomery.plans import collocation_queries
+
+_MODULES = (collocation_queries,)
+
+QUERIES: dict = {name: f for module in _MODULES for name, f in module.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
