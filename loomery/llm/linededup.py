@@ -1,19 +1,24 @@
 """Line deduplication over a whole corpus by a deletion-neighbourhood join.
 
-A line is its sequence of words.  Of lines with the same words the earliest stays; a line
-of at least ``near_words`` words also goes if an earlier line is within one word of it
-(one word put in, left out or replaced).  Earlier means: smaller document id (nulls last),
-then smaller hash of the text, then smaller line number.  Lines without words always stay.
-
-The neighbourhood: two lines within one word have a common variant after deleting one word
-of each (or of the longer).  Variants are emitted as hashed keys, equal keys meet, and the
-edit distance is then verified on the words themselves.  Only lines that share half of
-their words with another line can be within one word of one: one half of the two is
-untouched by the edit.  So the variants are emitted for lines with a shared half only, and
-only for deletions in the other half; nothing is lost by that.  A key's group is never
+A line is its sequence of tokens: what stands between single spaces.  Of equal lines the
+earliest stays; a line of at least ``near_tokens`` tokens also goes if an earlier line is
+within one token of it (one token put in, left out or replaced).  Earlier means: smaller
+document id (nulls last), then smaller hash of the text, then smaller line number.  Lines
+of white space alone always stay.
+
+The neighbourhood: two lines within one token have a common variant after deleting one
+token of each (or of the longer).  Variants are emitted as hashed keys, equal keys meet,
+and the edit distance is then verified on the tokens themselves.  Only lines that share
+half of their tokens with another line can be within one token of one: one half of the two
+is untouched by the edit.  So the variants are emitted for lines with a shared half only,
+and only for deletions in the other half; nothing is lost by that.  A key's group is never
 listed in pairs: lines that share a variant with the same place deleted are all within one
-word of each other, and a line equal to a variant is within one word of all its owners, so
-the earliest of each side decides.
+token of each other, and a line equal to a variant is within one token of all its owners,
+so the earliest of each side decides.
+
+Rows are sifted before they move by a bit filter of fixed size (``_WORDS`` longs, broadcast):
+it lets through every row that an exact join behind it wants, and few others; when it is
+full it only sifts less.
 
 Everything here is DataFrame code: built-in functions only.
 
@@ -27,15 +32,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.llm.util import cut
+
 _WORD = r"[^\x20\x09-\x0D]"
-_GAP = r"[\x20\x09-\x0D]+"
+_BLANK = " \t\n\x0b\x0c\r"
 _LAST = (1 << 63) - 1
 #: A position is document, text hash and line number in one number, in that order.
 _LINES, _HASHES = 10**10, 10**9
-
-
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, _GAP), lambda w: w != "")
+_WORDS = 1 << 16
 
 
 def _number(value: int) -> Column:
@@ -43,40 +47,71 @@ def _number(value: int) -> Column:
 
 
 def _position(doc: Column, salt: Column, line: Column) -> Column:
-    wide = "decimal(38,0)"
     place = doc.cast("decimal(19,0)") * F.lit(_HASHES).cast("decimal(10,0)") + salt.cast("decimal(10,0)")
-    return (place.cast("decimal(28,0)") * F.lit(_LINES).cast("decimal(11,0)") + line.cast("decimal(11,0)")).cast(wide)
+    place = place.cast("decimal(28,0)") * F.lit(_LINES).cast("decimal(11,0)") + line.cast("decimal(11,0)")
+    return place.cast("decimal(38,0)")
 
 
-def _known(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows with internal names: d, s (document and text hash as numbers), t, and all columns as one struct."""
-    return docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("d"),
-        F.pmod(F.xxhash64(F.col(text)), F.lit(_HASHES)).cast("long").alias("s"),
-        F.col(text).alias("t"),
-        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)],
-    )
+def _doc(key: str) -> Column:
+    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST))
 
 
-def _half_keys(n: Column, words: Column) -> Column:
-    """(side, key) of the halves an edit may leave untouched, for either length of the other line."""
-    keys = []
-    for side in (0, 1):
-        for size in (F.floor(n / 2), F.floor((n - 1) / 2)):
-            size = size.cast("int")
-            part = F.slice(words, 1, size) if side == 0 else F.slice(words, n - size + 1, size)
-            keys.append(F.struct(F.lit(side).alias("side"), F.xxhash64(F.lit(side), size, part).alias("key")))
-    return F.array_distinct(F.array(*keys))
+def _salt(text: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(_HASHES)).cast("long")
+
+
+def _parts_of(pos: Column) -> list[Column]:
+    """Document, text hash and line of a position."""
+    line = pos % _number(_LINES)
+    doc = ((pos - line) / _number(_LINES)).cast("decimal(28,0)")
+    salt = doc % _number(_HASHES)
+    return [((doc - salt) / _number(_HASHES)).cast("long").alias("d"), salt.cast("long").alias("s"), line.cast("int").alias("line")]
+
+
+def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(pos, l) of every line that is not blank."""
+    rows = docs.select(_doc(key).alias("d"), _salt(text).alias("s"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("line", "l"))
+    return rows.where(F.btrim("l", F.lit(_BLANK)) != "").select(_position(F.col("d"), F.col("s"), F.col("line")).alias("pos"), "l")
+
+
+def _sifted(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose ``column`` may be among ``wanted`` (one column): all that are, and few others."""
+
+    def place(value: Column) -> tuple[Column, Column]:
+        h = F.xxhash64(value)
+        return F.pmod(h, F.lit(_WORDS)).cast("int"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int")
+
+    word, bit = place(F.col(wanted.columns[0]))
+    bits = wanted.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_one"))
+    bits = bits.groupBy("_word").agg(F.bit_or("_one").alias("_bits"))  # ``_WORDS`` rows at most
+    word, bit = place(F.col(column))
+    met = rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
+    return met.where(F.call_function("getbit", F.col("_bits"), bit) == 1).select(*rows.columns)
+
+
+def _half(side: int, size: Column) -> Column:
+    """The key of the first (0) or last (1) ``size`` tokens of column ``l``."""
+    part = F.call_function("substring_index", F.col("l"), F.lit(" "), size if side == 0 else -size)
+    return F.xxhash64(F.lit(side), size, part)
 
 
 def _running(values: Column) -> Column:
-    """Prefix sums, from 0 on: one more than there are values."""
-    start = F.array(F.lit(0).cast("long"))
-    return F.aggregate(values, start, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    """Prefix sums, from 0 on: one more than there are values; worked out in chunks, so that long lines stay linear."""
+    size = 256
+
+    def short(own: Column) -> Column:
+        start = F.array(F.lit(0).cast("long"))
+        return F.aggregate(own, start, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    count = F.ceil(F.size(values) / size).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda c: short(F.slice(values, c * size + 1, size)))
+    before = F.slice(short(F.transform(chunks, lambda r: F.element_at(r, -1))), 1, count)
+    moved = F.zip_with(chunks, before, lambda r, o: F.transform(F.slice(r, 2, size), lambda x: x + o))
+    return F.concat(F.array(F.lit(0).cast("long")), F.flatten(moved))
 
 
 def _within_one(x: Column, y: Column) -> Column:
-    """True where two word sequences are within one word."""
+    """True where two token sequences are within one token."""
 
     def common(a: Column, b: Column) -> Column:
         first = F.array_position(F.zip_with(a, b, lambda p, q: p.eqNullSafe(q)), False)
@@ -87,57 +122,37 @@ def _within_one(x: Column, y: Column) -> Column:
     return near & (common(x, y) + common(F.reverse(x), F.reverse(y)) >= longest - 1)
 
 
-def near_lines(first: DataFrame, known: DataFrame) -> DataFrame:
-    """Positions of lines that an earlier line is within one word of.
+def near_lines(first: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Positions (pos) of lines that an earlier line is within one token of.
 
-    ``first``: pos, d, s, line, n, halves of distinct lines that are long enough.
+    ``first``: pos and the half keys p1, p2, s1, s2 of distinct lines that are long enough.
     """
-    halves = first.select("pos", F.explode("halves").alias("h")).select("pos", "h.side", "h.key")
-    shared = halves.groupBy("side", "key").agg(F.min("pos").alias("a"), F.max("pos").alias("b")).where("a < b")
-    open_ = (
-        halves.join(shared.select("side", "key"), ["side", "key"], "left_semi")
+    sides = [F.struct(F.lit(i // 2).alias("side"), F.col(c).alias("key")) for i, c in enumerate(("p1", "p2", "s1", "s2"))]
+    halves = first.select("pos", F.explode(F.array(*sides)).alias("h")).select("pos", "h.side", "h.key").where("key is not null")
+    shared = cut(halves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    open_ = cut(
+        _sifted(halves, "key", shared)
+        .join(shared, "key", "left_semi")
         .groupBy("pos")
         .agg(F.min("side").alias("low"), F.max("side").alias("high"))
     )
-    line = F.col("pos") % _number(_LINES)
-    doc = (F.col("pos") - line) / _number(_LINES)
-    salt = doc.cast("decimal(28,0)") % _number(_HASHES)
-    picked = (
-        open_.withColumn("line", line.cast("long"))
-        .withColumn("s", salt.cast("long"))
-        .withColumn("d", ((doc.cast("decimal(28,0)") - salt) / _number(_HASHES)).cast("long"))
-        .groupBy("d", "s")
-        .agg(F.collect_list(F.struct("line", "pos", "low", "high")).alias("picked"))
-    )
-    # All of a text's rows are alike, so one of each is enough here.
     lines = (
-        known.select("d", "s", "t", "copy")
-        .where("copy = 1")
-        .join(picked, ["d", "s"])
-        .withColumn("all", F.split("t", "\n"))
-        .select(
-            F.explode(
-                F.transform(
-                    "picked",
-                    lambda p: F.struct(
-                        p["pos"].alias("pos"), p["low"].alias("low"), p["high"].alias("high"),
-                        _words(F.get(F.col("all"), p["line"].cast("int"))).alias("w"),
-                    ),
-                )
-            ).alias("l")
-        )
-        .select("l.*")
-    )
+        _sifted(_lines(docs, key, text), "pos", open_.select("pos"))
+        .join(open_, "pos")
+        # Fully repeated rows have their lines at the same positions.
+        .groupBy("pos", "low", "high")
+        .agg(F.min("l").alias("l"))
+        .select("pos", "low", "high", F.split("l", " ").alias("w"))
+    )
+    lines = cut(lines)
     n = F.size("w")
-    place = F.sequence(F.lit(1), n)
-    sized = lines.select("pos", "low", "high", "w", n.alias("n"))
 
     def sums(seed: int, shift: int) -> Column:
         each = F.transform("w", lambda w, i: F.shiftrightunsigned(F.xxhash64(F.lit(seed), w, i - shift), 22))
         return _running(each)
 
-    summed = sized.select(
-        "pos", "low", "high", "n",
+    summed = lines.select(
+        "pos", "low", "high", n.alias("n"),
         sums(1, 0).alias("a1"), sums(1, 1).alias("b1"), sums(2, 0).alias("a2"), sums(2, 1).alias("b2"),
     )
 
@@ -188,60 +203,50 @@ def near_lines(first: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def dedup_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", near_words: int = 8, counts_as: str | None = None
+    docs: DataFrame, key: str = "doc_id", text: str = "text", near_tokens: int = 8, counts_as: str | None = None
 ) -> DataFrame:
     """The documents with repeated lines left out: all columns of ``docs`` with the text changed.
 
     ``counts_as`` names a further struct column with n_lines and n_dropped, if it is wanted.
     """
-    known = _known(docs, key, text)
-    # Fully repeated rows lie together anyway where texts are joined by document.
-    copies = Window.partitionBy("d", "s").orderBy("s")
-    known = known.withColumn("copy", F.row_number().over(copies))
-    lines = (
-        docs.select(
-            F.coalesce(F.col(key).cast("long"), F.lit(_LAST)).alias("d"),
-            F.pmod(F.xxhash64(F.col(text)), F.lit(_HASHES)).cast("long").alias("s"),
-            F.posexplode(F.split(F.col(text), "\n")).alias("line", "l"),
-        )
-        .select("d", "s", "line", _words(F.col("l")).alias("w"))
-        .where(F.size("w") > 0)
-    )
-    n = F.size("w")
-    no_halves = F.array().cast("array<struct<side:int,key:bigint>>")
-    distinct = (
-        lines.select(
-            _position(F.col("d"), F.col("s"), F.col("line")).alias("pos"),
-            n.alias("n"), F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(7), "w").alias("h2"),
-            F.when(n >= near_words, _half_keys(n, F.col("w"))).otherwise(no_halves).alias("halves"),
-        )
-        .groupBy("h1", "h2", "n", "halves")
-        .agg(F.min("pos").alias("pos"))
-    )
-    near = near_lines(distinct.where(F.col("n") >= near_words).select("pos", "halves"), known)
-    line = F.col("pos") % _number(_LINES)
-    doc = ((F.col("pos") - line) / _number(_LINES)).cast("decimal(28,0)")
-    salt = doc % _number(_HASHES)
-    kept = (
-        distinct.select("pos")
-        .join(near, "pos", "left_anti")
+    lines = _lines(docs, key, text)
+    n = (F.octet_length("l") - F.octet_length(F.replace("l", F.lit(" "), F.lit(""))) + 1).cast("int")
+    long_ = F.col("n") >= near_tokens
+    more = F.shiftright(F.col("n"), 1)
+    less = F.shiftright(F.col("n") - 1, 1)
+    even = long_ & (more != less)
+    distinct = cut(
+        lines.withColumn("n", n)
         .select(
-            ((doc - salt) / _number(_HASHES)).cast("long").alias("d"),
-            salt.cast("long").alias("s"),
-            line.cast("int").alias("line"),
+            "pos", F.xxhash64("l").alias("h1"), F.xxhash64(F.lit(7), "l").alias("h2"),
+            F.when(long_, _half(0, less)).alias("p1"), F.when(even, _half(0, more)).alias("p2"),
+            F.when(long_, _half(1, less)).alias("s1"), F.when(even, _half(1, more)).alias("s2"),
         )
-        .groupBy("d", "s")
-        .agg(F.collect_list("line").alias("kept"))
-    )
-    whole = known.join(kept, ["d", "s"], "left")
+        .groupBy("h1", "h2")
+        .agg(F.min("pos").alias("pos"), *[F.first(c).alias(c) for c in ("p1", "p2", "s1", "s2")])
+        .drop("h1", "h2")
+    )
+    near = near_lines(distinct.where("p1 is not null"), docs, key, text)
+    kept = distinct.select("pos").join(near, "pos", "left_anti").select(*_parts_of(F.col("pos")))
+    kept = kept.groupBy("d", "s").agg(F.collect_list("line").alias("kept"))
+    others = [c for c in docs.columns if c != text]
+    whole = docs.select(
+        _doc(key).alias("d"), _salt(text).alias("s"), F.col(f"`{text}`").alias("t"),
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)],
+    )
+    # Of fully repeated rows the first has the lines.
+    copy = F.row_number().over(Window.partitionBy("d", "s").orderBy("s"))
+    whole = whole.withColumn("copy", copy).join(kept, ["d", "s"], "left")
+    none = F.array().cast("array<int>")
+    keeps = F.when(F.col("copy") == 1, F.coalesce("kept", none)).otherwise(none)
     all_ = F.split("t", "\n")
-    keeps = F.when(F.col("copy") == 1, F.coalesce("kept", F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
-    left = F.filter(all_, lambda l, i: ~l.rlike(_WORD) | F.array_contains(keeps, i))
-    texts = F.array_join(left, "\n")
+    blank = lambda l: F.btrim(l, F.lit(_BLANK)) == ""
+    left = F.filter(all_, lambda l, i: blank(l) | F.array_contains(F.col("keeps"), i))
+    made = whole.withColumn("keeps", keeps).withColumn("left", left)
+    zero = F.lit(0).cast("long")
     counts = F.struct(
-        F.coalesce(F.size(all_), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(all_) - F.size(left), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(all_).cast("long"), zero).alias("n_lines"),
+        F.when(F.col("t").isNull(), zero).otherwise((F.size(all_) - F.size("left")).cast("long")).alias("n_dropped"),
     )
-    counts = F.when(F.col("t").isNull(), F.struct(F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))).otherwise(counts)
-    named = [(texts if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)]
-    return whole.select(*named, *([counts.alias(counts_as)] if counts_as else []))
+    named = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text: F.array_join("left", "\n")}
+    return made.select(*[named[c].alias(c) for c in docs.columns], *([counts.alias(counts_as)] if counts_as else []))

@@ -172,7 +172,7 @@ WITH lines AS (
   SELECT doc_id, unnest(range(len(a)))::BIGINT AS line, unnest(a) AS l
   FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)
 ), worded AS (
-  SELECT *, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS w FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+  SELECT *, string_split(l, ' ') AS w FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
 ), firsts AS (SELECT w, min((doc_id, line)) AS pos FROM worded GROUP BY w),
 long_ AS (SELECT *, len(w) AS n FROM firsts WHERE len(w) >= 8),
 cuts AS (
