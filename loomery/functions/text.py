@@ -40,12 +40,11 @@ def words(text: Column) -> Column:
 
 
 def mixed_tokens(text: Column) -> Column:
-    """The set of ``[a-z0-9_]{2,}`` tokens and of two-character pieces of CJK runs."""
+    """The set of ``[a-z0-9_]{2,}`` tokens and of the two-character pieces of CJK runs (a run of one is whole)."""
     low = F.lower(text)
-    runs = F.regexp_extract_all(low, F.lit(f"({CJK}{{2,}})"), 1)
-    pieces = F.flatten(
-        F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, 2)))
-    )
+    runs = F.regexp_extract_all(low, F.lit(f"({CJK}+)"), 1)
+    last = lambda r: F.greatest(F.lit(1), F.length(r) - 1)
+    pieces = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), last(r)), lambda i: F.substring(r, i, 2))))
     return F.array_distinct(F.concat(F.regexp_extract_all(low, F.lit(r"([a-z0-9_]{2,})"), 1), pieces))
 
 
