@@ -8,8 +8,8 @@ letters and digits, or the same last seven digits or more) share a skip potentia
 a number written once in full and again without its prefix gets one label.  Loopy belief
 propagation runs over each document's graph; words in a span found by a pattern are fixed.
 
-The weights are fitted by pseudo-likelihood to the patterns' own labels over at most
-``sample`` documents that have a digit or ``@``, in the order of a hash of their id.  The
+The weights are fitted by pseudo-likelihood to the patterns' own labels (a word that is tied
+to a labelled one but has no label counts as unknown) over at most ``sample`` documents that have a digit or ``@``, in the order of a hash of their id.  The
 model has a few dozen weights, whatever the input.
 
 Defined results: a null or empty text has no spans; with nothing to learn from no spans
@@ -195,11 +195,15 @@ class SkipChain:
 
 
 def fit(features: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray, steps: int = 300) -> SkipChain:
-    """Weights by pseudo-likelihood: each node's label given its neighbours' labels; gradient ascent."""
+    """Weights by pseudo-likelihood: each node's label given its neighbours' labels; gradient ascent.
+
+    A label of -1 is unknown: such a node neither teaches nor is seen by its neighbours.
+    """
     model = SkipChain.blank()
     if not len(label):
         return model
-    one = np.eye(_LABELS)[label]
+    known = label >= 0
+    one = np.eye(_LABELS)[np.maximum(label, 0)] * known[:, None]
     seen = [np.full_like(w, 1e-3) for w in (model.words, model.chain, model.skip)]
     before, after = np.zeros_like(one), np.zeros_like(one)  # counts of the neighbours' labels
     np.add.at(before, chain[:, 1], one[chain[:, 0]])
@@ -212,7 +216,7 @@ def fit(features: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.nda
         score -= score.max(axis=1, keepdims=True)
         p = np.exp(score)
         p /= p.sum(axis=1, keepdims=True)
-        error = (one - p) / len(label)
+        error = (one - p) * known[:, None] / max(1, known.sum())
         skip_ = far.T @ error
         grads = (
             features.T @ error - 1e-4 * model.words,
@@ -225,6 +229,17 @@ def fit(features: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.nda
     return model
 
 
+def taught_labels(graph: Graph) -> np.ndarray:
+    """The patterns' labels; 0 for other words, but -1 (unknown) for those tied to a labelled word."""
+    fixed = np.array(graph.fixed, dtype=np.int32)
+    out = np.maximum(fixed, 0)
+    for a, b in graph.skip:
+        for node, other in ((a, b), (b, a)):
+            if fixed[node] < 0 <= fixed[other]:
+                out[node] = -1
+    return out
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = 1000) -> SkipChain:
     """Fit to the patterns' labels of at most ``sample`` documents (ids not null)."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
@@ -242,7 +257,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
                     ids.append(i)
                     for column, values, kind in zip(
                         columns,
-                        (graph.features, np.maximum(graph.fixed, 0), graph.chain, graph.skip),
+                        (graph.features, taught_labels(graph), graph.chain, graph.skip),
                         (np.float32, np.int32, np.int32, np.int32),
                     ):
                         column.append(np.array(values, dtype=kind).tobytes())
