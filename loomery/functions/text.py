@@ -105,7 +105,7 @@ def without_suffix_note(text: Column) -> Column:
 def without_thinking(text: Column) -> Column:
     """A model's answer without ``<think>`` parts and code fences."""
     plain = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    return F.trim(F.regexp_replace(plain, r"(?m)^```[a-zA-Z]*\s*$", ""))
+    return strip(F.regexp_replace(plain, r"(?m)^```[a-zA-Z]*\s*$", ""))
 
 
 def line_range(anchor: Column) -> Column:

@@ -65,9 +65,10 @@ def fold_messages(log: DataFrame, by: str = "thread_id") -> DataFrame:
     one = Window.partitionBy(by, "id")
     place = F.min(F.when(F.col("op") == "add", F.col("ord"))).over(one)
     last = F.row_number().over(one.orderBy(F.desc("ord")))
-    unknown = (F.col("op") == "remove") & (F.coalesce(place > F.min("ord").over(one), F.lit(True)))
-    checked = rows.withColumn("place", place).withColumn("_last", last).withColumn(
-        "_bad", F.when(unknown, F.raise_error(F.concat(F.lit("no message to remove: "), F.col("id"))))
-    )
-    kept = checked.where("_last = 1 and op = 'add'").where(F.col("_bad").isNull())
-    return kept.select(by, "place", "id", "content")
+    known = F.coalesce(place <= F.min("ord").over(one), F.lit(False))
+    checked = rows.withColumn("place", place).withColumn("_last", last).withColumn("_known", known)
+    unknown = F.max(F.when(~F.col("_known"), F.col("id"))).over(own)
+    checked = checked.withColumn("_unknown", unknown)
+    failed = F.raise_error(F.concat(F.lit("no message to remove: "), F.col("_unknown"))).cast("boolean")
+    kept = F.when(F.col("_unknown").isNotNull(), failed).otherwise((F.col("_last") == 1) & (F.col("op") == "add"))
+    return checked.where(kept).select(by, "place", "id", "content")
