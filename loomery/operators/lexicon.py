@@ -61,16 +61,14 @@ def fragments(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataF
     """
     filled = lambda parts: F.filter(F.transform(parts, text.strip), lambda p: p != "")
     paragraphs = filled(F.split(F.col(body), r"\n\s*\n"))
+    sentences = F.transform(paragraphs, lambda p: filled(F.split(p, r"(?<=[.!?])\s+(?=[A-Z])")))
     nested = F.transform(
-        paragraphs,
-        lambda p, i: F.transform(
-            filled(F.split(p, r"(?<=[.!?])\s+(?=[A-Z])")),
-            lambda s, j: F.struct(
-                s.alias("text"), (i + 1).alias("paragraph"),
-                F.when(F.size(filled(F.split(p, r"(?<=[.!?])\s+(?=[A-Z])"))) > 1, j + 1).alias("sentence"),
-            ),
+        sentences,
+        lambda own, i: F.transform(
+            own,
+            lambda s, j: F.struct(s.alias("text"), (i + 1).alias("paragraph"), F.when(F.size(own) > 1, j + 1).alias("sentence")),
         ),
-    )
+    )
     rows = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.flatten(nested)).alias("ord", "f")).select("doc_id", "ord", "f.*")
     category, value = classified(F.col("text"))
     own = Window.partitionBy("doc_id").orderBy("ord")
