@@ -72,3 +72,31 @@ def fold_messages(log: DataFrame, by: str = "thread_id") -> DataFrame:
     failed = F.raise_error(F.concat(F.lit("no message to remove: "), F.col("_unknown"))).cast("boolean")
     kept = F.when(F.col("_unknown").isNotNull(), failed).otherwise((F.col("_last") == 1) & (F.col("op") == "add"))
     return checked.where(kept).select(by, "place", "id", "content")
+
+
+def match_command(inputs: DataFrame, commands: DataFrame, column: str = "text") -> DataFrame:
+    """Adds command and argument: the first listed command (ord, command) that an input equals or begins with before a space.
+
+    Equal first words are a join key, so no input meets all commands.
+    """
+    first = F.substring_index(F.col(column), " ", 1)
+    rows = inputs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_word", first)
+    listed = commands.select("ord", "command", F.substring_index("command", " ", 1).alias("_word"))
+    met = rows.join(listed, "_word").where((F.col(column) == F.col("command")) | F.startswith(F.col(column), F.concat("command", F.lit(" "))))
+    best = met.groupBy(*inputs.columns, "_row").agg(F.min(F.struct("ord", "command")).alias("b"))
+    rest = F.trim(F.expr(f"substring(`{column}`, length(b.command) + 1)"))
+    return best.select(*inputs.columns, F.col("b")["command"].alias("command"), rest.alias("argument"))
+
+
+def merge_ui(log: DataFrame, by: str = "thread_id") -> DataFrame:
+    """UI messages (thread, ord, id, op, props map): the last of an id stays, ``merge`` rows add to its properties.
+
+    Properties of a message are those written since its last full ``add``; later keys win.
+    """
+    one = Window.partitionBy(by, "id")
+    start = F.coalesce(F.max(F.when(F.col("op") == "add", F.col("ord"))).over(one), F.lit(-1))
+    rows = log.withColumn("_start", start).withColumn("_last", F.max_by("op", "ord").over(one))
+    live = rows.where((F.col("ord") >= F.col("_start")) & (F.col("_last") != "remove") & (F.col("op") != "remove"))
+    keys = live.select(by, "id", "ord", F.explode("props").alias("key", "value"))
+    last = keys.groupBy(by, "id", "key").agg(F.max_by("value", "ord").alias("value"))
+    return last.groupBy(by, "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("props"))

@@ -275,7 +275,37 @@ def session_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("events"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 
+COMMANDS = "VALUES (1, 'red'), (2, 'small ring'), (3, 'small'), (4, 'blue widget'), (5, 'big')"
+
+
+def command_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"))
+    return chat.match_command(inputs, spark.sql(f"SELECT * FROM {COMMANDS} AS t(ord, command)")).drop("text")
+
+
+def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a catalogue: status filter, sort, selected fields, limit and offset, and the full count."""
+    found = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'")
+    total = found.agg(F.count(F.lit(1)).alias("total"))
+    page = found.orderBy(F.desc("o_totalprice"), "o_orderkey").offset(20).limit(10)
+    return page.select("o_orderkey", "o_totalprice").crossJoin(F.broadcast(total))
+
+
+def ui_message_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as UI messages: every seventh is a full message, the others merge into it; signups remove."""
+    e = table(spark, sf_dir, "events").where("user_id < 40")
+    op = F.when(F.col("event_type") == "signup", "remove").when(F.col("event_id") % 7 == 0, "add").otherwise("merge")
+    log = e.select(
+        F.col("user_id").alias("thread_id"), F.col("event_id").alias("ord"), (F.col("event_id") % 3).alias("id"), op.alias("op"),
+        F.create_map(F.col("event_type"), F.col("event_id").cast("string")).alias("props"),
+    )
+    made = chat.merge_ui(log)
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("props")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    return made.select("thread_id", "id", shown.alias("props"))
+
+
 _LOCAL = (
+    command_match, catalog_search, ui_message_merge,
     item_filter_ops, item_search_page, item_upsert_last, item_ttl_sweep, item_ttl_refresh, namespace_list_depth,
     namespace_match_wildcard, item_batch_get, vector_topk, vector_maxpool, vector_distances, distinct_on_best,
     evict_cumsum, keep_last_turns, reverse_until_k, input_split, latest_user_text, token_totals, message_log_fold,
@@ -300,6 +330,20 @@ geo AS (
 _TURNS = "turns AS (SELECT *, greatest(50, length(text) // 3)::INT AS tokens FROM conversations)"
 
 SQL = {
+    "command_match": f"""WITH c AS (SELECT * FROM ({COMMANDS}) AS t(ord, command)), m AS (
+  SELECT p_partkey, p_name, command, ord FROM part JOIN c ON p_name = command OR starts_with(p_name, command || ' ')
+) SELECT p_partkey, arg_min(command, ord) AS command, trim(substr(p_name, length(arg_min(command, ord)) + 1)) AS argument FROM m GROUP BY p_partkey, p_name""",
+    "catalog_search": """WITH f AS (SELECT * FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')
+SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM f) AS total FROM f ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20""",
+    "ui_message_merge": """WITH log AS (
+  SELECT user_id AS thread_id, event_id AS ord, event_id % 3 AS id, event_type AS key,
+    CASE WHEN event_type = 'signup' THEN 'remove' WHEN event_id % 7 = 0 THEN 'add' ELSE 'merge' END AS op FROM events WHERE user_id < 40
+), own AS (
+  SELECT thread_id, id, coalesce(max(ord) FILTER (op = 'add'), -1) AS start, arg_max(op, ord) AS last FROM log GROUP BY 1, 2
+), live AS (
+  SELECT thread_id, id, key, max(ord) AS ord FROM log JOIN own USING (thread_id, id)
+  WHERE ord >= start AND last <> 'remove' AND op <> 'remove' GROUP BY 1, 2, 3
+) SELECT thread_id, id, string_agg(key || '=' || ord, ',' ORDER BY key) AS props FROM live GROUP BY 1, 2""",
     "item_filter_ops": f"""WITH {_ITEMS} SELECT count(*) FILTER (k = 50) AS eq, count(*) FILTER (k IS NULL OR k <> 50) AS ne,
   count(*) FILTER (k > 50) AS gt, count(*) FILTER (k >= 50) AS gte, count(*) FILTER (k < 50) AS lt, count(*) FILTER (k <= 50) AS lte,
   count(*) FILTER (k > 10 AND k <= 20) AS range, count(*) FILTER (json_extract_string(value, '$.absent') IS NULL) AS missing FROM items""",
