@@ -205,7 +205,7 @@ def channel_any_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channel_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _writes(spark, sf_dir).withColumn("value", F.array("value", F.col("value") + 1)).where("ord < 400")
+    w = _writes(spark, sf_dir).withColumn("value", F.array("value", F.col("value") + 1))
     return state.topic(w).select("channel", "step", F.array_join(F.col("values").cast("array<string>"), ",").alias("values"))
 
 
@@ -293,7 +293,7 @@ def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ui_message_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as UI messages: every seventh is a full message, the others merge into it; signups remove."""
-    e = table(spark, sf_dir, "events").where("user_id < 40")
+    e = table(spark, sf_dir, "events")
     op = F.when(F.col("event_type") == "signup", "remove").when(F.col("event_id") % 7 == 0, "add").otherwise("merge")
     log = e.select(
         F.col("user_id").alias("thread_id"), F.col("event_id").alias("ord"), (F.col("event_id") % 3).alias("id"), op.alias("op"),
