@@ -61,7 +61,7 @@ def word_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trigrams(sents: DataFrame) -> DataFrame:
-    return c.pair_counts(c.trigram_edges(sents), ("w1", "w2", "w3")).where("c > 1")
+    return c.pair_counts(c.trigram_edges(sents), ("w1", "w2", "w3"))
 
 
 def trigram_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
