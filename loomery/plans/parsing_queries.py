@@ -26,7 +26,7 @@ def dependency_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def predicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed pairs with counts, weak evidence apart, of pairs seen three times or more."""
+    """All typed pairs with counts, weak evidence apart."""
     tokens = _tokens(spark, sf_dir).select("doc_id", "sent_id", "idx", "word")
     edges = parsing.dependency_edges(_tokens(spark, sf_dir))
     own = ["doc_id", "sent_id"]
@@ -34,10 +34,9 @@ def predicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     deps = tokens.select(*own, F.col("idx").alias("dep"), F.col("word").alias("dep_word"))
     parsed = edges.join(heads, [*own, "head"]).join(deps, [*own, "dep"]).withColumnRenamed("dep", "dep_idx")
     typed = c.classified_edges(parsed)
-    counts = typed.groupBy("w1", "w2", "type", "rel").agg(
+    return typed.groupBy("w1", "w2", "type", "rel").agg(
         F.count_if(~F.col("candidate")).alias("c"), F.count_if("candidate").alias("weak")
     )
-    return counts.where("c + weak >= 3")
 
 
 def sense_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

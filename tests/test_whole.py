@@ -12,6 +12,7 @@ from tests.test_queries import SF, _shown
 #: The tables, what the registered SQL leaves out, and what stands there if it does not.
 CUTS = {
     "channel_topic": (SF, " WHERE event_id < 400", ""),
+    "predicate_pairs": (SF, " HAVING count(*) >= 3", ""),
     "trigram_pmi": (SF, " HAVING count(*) > 1", ""),
     "ui_message_merge": ("/root/testdata/sf0.01", " WHERE user_id < 40", ""),
 }
