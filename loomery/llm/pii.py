@@ -4,9 +4,11 @@ Patterns find what is personal data by its form alone (e-mail and IP addresses,
 phone numbers).  A skip-chain CRF adds what is not: its nodes are the words of a document
 that have a digit or ``@``, with features of their shape; words that stand next to each
 other share a chain potential, and distant words that are equal or similar (the same
-letters and digits, or the same last seven digits or more) share a skip potential, so that
-a number written once in full and again without its prefix gets one label.  Loopy belief
-propagation runs over each document's graph; words in a span found by a pattern are fixed.
+letters and digits, or the same last seven digits or more) share a skip potential.  A word
+whose digits, seven or more, are the last ones of a card or phone number that a pattern found
+is tied to that number itself by a fixed, strong potential, so that a number written once in
+full and again, however often, without its prefix gets one label.  Loopy belief propagation
+runs over each document's graph; words in a span found by a pattern are fixed.
 
 The weights are fitted by pseudo-likelihood to the patterns' own labels (a word that is tied
 to a labelled one but has no label counts as unknown) over at most ``sample`` documents that have a digit or ``@``, in the order of a hash of their id.  The
@@ -86,6 +88,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 FEATURES = 17
+#: What the same label is worth to a word and the number that it repeats; not learned, as
+#: the patterns label no such word.
+_REPEAT = 30.0
 
 
 def shape(word: str) -> list[float]:
@@ -110,9 +115,18 @@ class Graph:
     doc: list[int] = field(default_factory=list)
     chain: list[tuple[int, int]] = field(default_factory=list)
     skip: list[tuple[int, int]] = field(default_factory=list)
+    repeat: list[tuple[int, int]] = field(default_factory=list)  # a word of a found number, a word that repeats it
 
     def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
         known: dict[str, int] = {}
+        numbers: dict[str, tuple[int, int, int]] = {}
+        for span in base:
+            if span[1] >= 2:  # cards and phones
+                whole = "".join(_DIGITS.findall(text[span[0] : span[2]]))
+                for n in range(7, len(whole) + 1):
+                    numbers.setdefault(whole[-n:], span)
+        nodes: dict[tuple[int, int, int], int] = {}
+        again: list[tuple[int, tuple[int, int, int]]] = []
         before, ahead = None, 0
         for number, m in enumerate(_WORD.finditer(text)):
             word = m[0]
@@ -125,7 +139,8 @@ class Graph:
             end = start + len(core)
             while ahead < len(base) and base[ahead][2] <= start and all(b[2] <= start for b in base[ahead : ahead + 4]):
                 ahead += 1
-            label = next((k + 1 for a, k, b in base[max(0, ahead - 4) : ahead + 8] if a < end and b > start), -1)
+            own = next((s for s in base[max(0, ahead - 4) : ahead + 8] if s[0] < end and s[2] > start), None)
+            label = own[1] + 1 if own else -1
             node = len(self.features)
             self.features.append(shape(core))
             self.fixed.append(label)
@@ -144,6 +159,11 @@ class Graph:
                 if key in known and (known[key], node) not in self.skip[-2:]:
                     self.skip.append((known[key], node))
                 known[key] = node
+            if own:
+                nodes[own] = node
+            elif digits in numbers:
+                again.append((node, numbers[digits]))
+        self.repeat += [(nodes[span], node) for node, span in again if span in nodes]
 
 
 @dataclass
@@ -164,16 +184,19 @@ class SkipChain:
         fixed = np.array(graph.fixed)
         unary = np.array(graph.features, dtype=np.float64).reshape(n, FEATURES) @ self.words
         held = np.flatnonzero(fixed >= 0)
-        unary[held] = -30.0
+        unary[held] = -1e9  # whatever any number of neighbours say
         unary[held, fixed[held]] = 0.0
         chain = np.array(graph.chain, dtype=np.int64).reshape(-1, 2)
         skip = np.array(graph.skip, dtype=np.int64).reshape(-1, 2)
+        repeat = np.array(graph.repeat, dtype=np.int64).reshape(-1, 2)
+        c, k, s = len(chain), len(skip), len(skip) + len(repeat)
+        skip = np.concatenate([skip, repeat])
         source = np.concatenate([chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]])
         target = np.concatenate([chain[:, 1], chain[:, 0], skip[:, 1], skip[:, 0]])
-        c, s = len(chain), len(skip)
+        far = np.concatenate([np.repeat(self.skip[None], k, axis=0), np.repeat(_REPEAT * np.eye(_LABELS)[None], s - k, axis=0)])
         back = np.concatenate([np.arange(c) + c, np.arange(c), np.arange(s) + 2 * c + s, np.arange(s) + 2 * c])
         potential = np.concatenate(
-            [np.repeat(p[None], k, axis=0) for p, k in ((self.chain, c), (self.chain.T, c), (self.skip, s), (self.skip, s))]
+            [np.repeat(self.chain[None], c, axis=0), np.repeat(self.chain.T[None], c, axis=0), far, far]
         )
         message = np.zeros((len(source), _LABELS))
 
@@ -237,6 +260,8 @@ def taught_labels(graph: Graph) -> np.ndarray:
         for node, other in ((a, b), (b, a)):
             if fixed[node] < 0 <= fixed[other]:
                 out[node] = -1
+    for _, node in graph.repeat:
+        out[node] = -1
     return out
 
 

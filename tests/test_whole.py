@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from loomery import catalog
+from loomery.llm import pii
 from tests.test_queries import SF, _shown
 
 #: The tables, what the registered SQL leaves out, and what stands there if it does not.
@@ -61,3 +62,27 @@ def test_components_are_of_all_orders(spark, tmp_path):
     assert {tuple(r) for r in catalog.QUERIES["label_components"](spark, str(tmp_path)).collect()} == set(want.items())
     tables = duckdb.sql(f"SELECT o_custkey, o_orderdate::DATE FROM '{SF}/orders.parquet'").fetchall()
     assert {tuple(r) for r in catalog.QUERIES["label_components"](spark, SF).collect()} == set(_components(tables).items())
+
+
+PAIRS = [
+    ("+1 (314) 555-4198", "555-4198"), ("+13145554198", "3145554198"), ("+1 (314) 555-4198", "314-555-4198"), ("+1 314 5554198", "5554198"),
+    ("+13145554198", "(314)555-4198"), ("4111111111111111", "11111111111"),
+]
+
+
+def test_repeats_without_prefix_are_found_with_learned_weights(spark):
+    model = pii.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    texts = [t for full, part in PAIRS for t in (f"call {full} now. Again: {part} please", f"first {part} then {full} please", f"it is {full} or" + f" call {part} now" * 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find(docs, model).collect():
+        part = PAIRS[r["doc_id"] // 3][1]
+        assert part not in r["redacted"], r["redacted"]
+        full = r["spans"].split(",")
+        assert {x.split(":")[0] for x in full} == {"phone" if r["doc_id"] < 15 else "card"}
+
+
+def test_other_numbers_and_short_parts_are_not_repeats():
+    for other in ("8885554198", "3145554199", "4198", "2024"):
+        graph, text = pii.Graph(), f"call +13145554198 or {other}"
+        graph.add(0, text, pii.base_spans(text))
+        assert graph.repeat == []
