@@ -290,8 +290,17 @@ def sequences(docs: DataFrame, placed: DataFrame, model: str, key: str = "doc_id
 
     Padded to ``window``, unless the filled length is a power of two.
     """
-    pieces = tokenise(docs, model, key, text, end, window, keep_ids=True).withColumnRenamed("id", key)
-    joined = pieces.join(placed.select(key, "start", F.col("ids_crc32").alias("crc"), "sequence_id", "offset"), [key, "start", "crc"])
+    pieces = tokenise(docs, model, key, text, end, window, keep_ids=True)
+    places = placed.select(
+        F.col(key).alias("id"), "start", "length", F.col("ids_crc32").alias("crc"), F.col("doc_tokens").alias("tokens"),
+        "sequence_id", "offset",
+    )
+    # Pieces that are alike in all of these are numbered: each has one of their places, null ids too.
+    alike = ["id", "start", "length", "crc", "tokens"]
+    number = lambda *order: F.row_number().over(Window.partitionBy(*alike).orderBy(*order))
+    pieces, places = pieces.withColumn("n", number("ids")), places.withColumn("n", number("sequence_id", "offset"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*alike, "n"]]
+    joined = pieces.alias("a").join(places.alias("b"), same).select("sequence_id", "offset", "ids")
     rows = joined.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts"))
 
     @F.pandas_udf("ids array<int>, filled long")

@@ -6,10 +6,12 @@ import random
 from datetime import datetime, timedelta
 
 import duckdb
+import public_tokenizers
 import pytest
 
 from loomery import catalog
-from loomery.llm import pii
+from loomery.llm import packing, pii
+from tests.llm.test_operators import EDGE, SCHEMA, _rows
 from tests.test_queries import SF, _shown
 
 #: The tables, what the registered SQL leaves out, and what stands there if it does not.
@@ -86,3 +88,21 @@ def test_other_numbers_and_short_parts_are_not_repeats():
         graph, text = pii.Graph(), f"call +13145554198 or {other}"
         graph.add(0, text, pii.base_spans(text))
         assert graph.repeat == []
+
+
+def test_sequences_hold_null_ids_and_repeated_rows(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = EDGE + [(None, "no id here")] * 2 + [(7, "again and again")] * 300
+    docs = spark.createDataFrame(_rows(rows), SCHEMA).repartition(3)
+    placed = packing.pack(docs, path)
+    made = {r["sequence_id"]: r["ids"][: r["filled"]] for r in packing.sequences(docs, placed, path).collect()}
+    model = packing.Tokens(path).model
+    want = sorted(model.encode(t or "", add_special_tokens=False).ids + [0] for _, t in rows)
+    documents = {}
+    for i, r in enumerate(sorted(placed.collect(), key=lambda r: (r["sequence_id"], r["offset"]))):
+        ids = made[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+        assert len(ids) == r["length"]
+        whole = r["length"] == r["doc_tokens"]
+        documents.setdefault((i, None) if whole else r["doc_id"], []).append((r["start"], ids))
+    assert sorted(sum((ids for _, ids in sorted(own)), []) for own in documents.values()) == want
+    assert sum(map(len, made.values())) == sum(map(len, want))
