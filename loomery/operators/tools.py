@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomery.lineage import cut
+
 VETO = -500.0
 
 
@@ -53,7 +55,7 @@ def closure(tools: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         # Paths double in length every round.
         further = reach.alias("a").join(reach.alias("b"), F.col("a.member") == F.col("b.name")).select("a.name", "b.member")
-        reach = reach.unionByName(further).distinct().checkpoint()
+        reach = cut(reach.unionByName(further).distinct())
         if (now := reach.count()) == count:
             return reach
         count = now

@@ -4,6 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables whose rows cost much more to work on than to move.
+_TEXTS = ("documents", "pages")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal rows out if their scan has fewer splits than the session has cores.
+
+    A file of one row group is one task's work however many splits it is cut into.  A scan with
+    more splits than cores, as any large table has, stays as it is: nothing moves.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in _TEXTS else rows

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery.operators.numbering import numbered
+
 
 def text_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = (".txt", ".0", ""), skip: tuple[str, ...] = ("in.txt",)) -> DataFrame:
     """(doc_id, source, text) of every file below ``root`` with one of the extensions, in path order.
@@ -19,7 +21,7 @@ def text_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = (".t
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     extension = F.regexp_extract(name, r"(\.[^.]*)$", 1)
     kept = files.withColumn("name", name).where(extension.isin(*extensions) & ~F.col("name").isin(*skip))
-    ranked = kept.select("path").withColumn("n", F.row_number().over(Window.orderBy("path")))
+    ranked = numbered(kept.select("path"), "n", "path")
     text = F.make_valid_utf8(F.col("content").cast("string"))
     return kept.join(ranked, "path").select(F.format_string("d%03d", "n").alias("doc_id"), F.col("path").alias("source"), text.alias("text"))
 

@@ -5,13 +5,13 @@ An extension: the capabilities are Spark's, with watermarks bounding the state.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomery import lineage
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -43,7 +43,7 @@ def run_available(stream: DataFrame, output: str = "complete") -> DataFrame:
     """
     spark = stream.sparkSession
     name = f"loomery_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "loomery-checkpoints"))
+    shared = lineage.shared_folder(spark)
     query = (
         stream.writeStream.format("memory").queryName(name).outputMode(output)
         .option("checkpointLocation", f"{shared}/streams/{name}").trigger(availableNow=True).start()
