@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns and lists whose results must equal the source system's.
@@ -28,6 +28,15 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
+def once(rows: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """``rows`` with costly columns that filters and expressions behind may use without working them out again.
+
+    The optimizer copies a projected expression into a filter on it; it does not do so across a generator.
+    """
+    one = F.array(F.struct(*[c.alias(name) for name, c in made.items()]))
+    return rows.select(*keep, F.explode_outer(one).alias("_made")).select(*keep, *[f"_made.{name}" for name in made])
+
+
 def split_class(text: Column, characters: str) -> Column:
     """Split at any of some characters."""
     escaped = "".join("\\" + c if c in "\\]^-[" else c for c in characters)

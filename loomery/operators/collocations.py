@@ -42,34 +42,47 @@ LATIN = Params(split=text.SENTENCE_ENDS + ".", script=None)
 
 def sentences(docs: DataFrame, p: Params = LATIN, key: str = "doc_id", body: str = "text") -> DataFrame:
     """(doc_id, sent_id, sentence): cleaned sentences; sent_id is the place among all segments."""
-    cut = docs.select(F.col(key).alias("doc_id"), F.posexplode(text.split_class(F.col(body), p.split)).alias("sent_id", "s"))
-    whole = cut.withColumn("s", text.strip(F.col("s"))).where((F.length("s") >= p.min_length) & ~F.col("s").rlike(text.NOISE))
-    bare = text.strip(F.regexp_replace("s", text.LEADER, ""))
-    good = bare != ""
+    cut = docs.select(F.col(key).alias("doc_id"), F.posexplode_outer(text.split_class(F.col(body), p.split)).alias("sent_id", "s"))
+    whole = text.once(cut, ["doc_id", "sent_id"], s=text.strip(F.col("s")))
+    whole = whole.where((F.length("s") >= p.min_length) & ~F.col("s").rlike(text.NOISE))
+    bared = text.once(whole, ["doc_id", "sent_id", "s"], bare=text.strip(F.regexp_replace("s", text.LEADER, "")))
+    good = F.col("bare") != ""
     if p.script:
-        good = good & bare.rlike(p.script)
-    kept = whole.withColumn("s", F.when(good, bare).otherwise(F.col("s")))
+        good = good & F.col("bare").rlike(p.script)
+    kept = bared.withColumn("s", F.when(good, F.col("bare")).otherwise(F.col("s")))
     if p.script:
         kept = kept.where(F.regexp_count("s", F.lit(p.script)) >= 2)
     return kept.select("doc_id", "sent_id", F.substring("s", 1, p.max_length).alias("sentence"))
 
 
+def word_lists(sents: DataFrame) -> DataFrame:
+    """(doc_id, sent_id, w): a sentence's words, worked out once a sentence."""
+    return text.once(sents, ["doc_id", "sent_id"], w=text.words(F.col("sentence")))
+
+
 def tokens(sents: DataFrame) -> DataFrame:
     """(doc_id, sent_id, idx, word)."""
-    return sents.select("doc_id", "sent_id", F.posexplode(text.words(F.col("sentence"))).alias("idx", "word"))
+    rows = word_lists(sents).select("doc_id", "sent_id", F.posexplode_outer("w").alias("idx", "word"))
+    return rows.where("idx is not null")
+
+
+def _neighbours(sents: DataFrame, size: int) -> DataFrame:
+    """(doc_id, sent_id, idx, w1 .. w``size``) of neighbouring words; arrays zipped inside a row, no shuffle."""
+    n = F.greatest(F.size("w") - (size - 1), F.lit(0))
+    names = [f"w{i}" for i in range(1, size + 1)]
+    zipped = F.arrays_zip(*[F.slice("w", i, n).alias(name) for i, name in enumerate(names, 1)])
+    rows = word_lists(sents).select("doc_id", "sent_id", F.posexplode_outer(zipped).alias("idx", "t")).where("idx is not null")
+    return rows.select("doc_id", "sent_id", "idx", *[F.col("t")[name].alias(name) for name in names])
 
 
 def adjacent_edges(sents: DataFrame) -> DataFrame:
-    """(doc_id, sent_id, idx, w1, w2): each word with its next one; arrays zipped inside a row, no shuffle."""
-    w = text.words(F.col("sentence"))
-    pairs = F.arrays_zip(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))).alias("w1"), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))).alias("w2"))
-    rows = sents.where(F.size(w) > 1).select("doc_id", "sent_id", F.posexplode(pairs).alias("idx", "p"))
-    return rows.select("doc_id", "sent_id", "idx", F.col("p")["w1"].alias("w1"), F.col("p")["w2"].alias("w2"))
+    """(doc_id, sent_id, idx, w1, w2): each word with its next one."""
+    return _neighbours(sents, 2)
 
 
 def unigrams(sents: DataFrame) -> DataFrame:
     """(word, c): in how many sentences a word occurs; the words are made distinct inside the row."""
-    rows = sents.select(F.explode(F.array_distinct(text.words(F.col("sentence")))).alias("word"))
+    rows = word_lists(sents).select(F.explode_outer(F.array_distinct("w")).alias("word")).where("word is not null")
     return rows.groupBy("word").agg(F.count(F.lit(1)).alias("c"))
 
 
@@ -153,17 +166,20 @@ def object_entropy(pairs: DataFrame, p: Params = LATIN) -> DataFrame:
     """Per w1: c_v, n_nouns, h, h_norm, tag, note, and the five commonest w2 (ties by word).
 
     ``pairs``: w1, w2, c.  The distribution is smoothed by ``alpha`` and the entropy set
-    against that of an even one.
+    against that of an even one.  With t the sum of all c + alpha, the entropy is
+    log2 t - sum((c + alpha) log2(c + alpha)) / t: sums that are partial before they move,
+    so a word with very many objects is no task of its own.
     """
     counts = pairs.where(~is_placeholder(F.col("w2"))).groupBy("w1", "w2").agg(F.sum("c").alias("c"))
-    own = Window.partitionBy("w1")
-    share = stats.smoothed_share(F.col("c"), F.sum("c").over(own), F.count(F.lit(1)).over(own), p.alpha)
-    ranked = counts.withColumn("p", share).withColumn("rank", F.row_number().over(own.orderBy(F.desc("c"), "w2")))
-    top = F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.struct("rank", "w2"))))
-    each = ranked.groupBy("w1").agg(
-        F.sum("c").alias("c_v"), F.count(F.lit(1)).alias("n_nouns"),
-        (-F.sum(F.col("p") * F.log2("p"))).alias("h"), F.transform(top, lambda x: x["w2"]).alias("top"),
-    )
+    smooth = F.col("c") + F.lit(p.alpha)
+    sums = counts.groupBy("w1").agg(
+        F.sum("c").alias("c_v"), F.count(F.lit(1)).alias("n_nouns"), F.sum(smooth).alias("t"), F.sum(smooth * F.log2(smooth)).alias("s")
+    )
+    each = sums.withColumn("h", F.log2("t") - F.col("s") / F.col("t"))
+    # Spark keeps the first five of a word before rows move.
+    rank = F.row_number().over(Window.partitionBy("w1").orderBy(F.desc("c"), "w2"))
+    first = counts.withColumn("rank", rank).where("rank <= 5").groupBy("w1").agg(F.array_sort(F.collect_list(F.struct("rank", "w2"))).alias("top"))
+    each = each.join(first, "w1").withColumn("top", F.transform("top", lambda x: x["w2"]))
     norm = F.col("h") / F.log2(F.greatest(F.lit(2), F.col("n_nouns")))
     tag, note = tagged(F.col("c_v"), norm, F.col("n_nouns"), p)
     return each.select(
@@ -194,12 +210,8 @@ def whitelist(entropy: DataFrame, passed: DataFrame) -> DataFrame:
 
 
 def trigram_edges(sents: DataFrame) -> DataFrame:
-    """(doc_id, sent_id, w1, w2, w3) of neighbouring words, zipped inside a row."""
-    w = text.words(F.col("sentence"))
-    n = F.greatest(F.size(w) - 2, F.lit(0))
-    zipped = F.arrays_zip(*[F.slice(w, i, n).alias(f"w{i}") for i in (1, 2, 3)])
-    rows = sents.where(F.size(w) > 2).select("doc_id", "sent_id", F.explode(zipped).alias("t"))
-    return rows.select("doc_id", "sent_id", *[F.col("t")[f"w{i}"].alias(f"w{i}") for i in (1, 2, 3)])
+    """(doc_id, sent_id, w1, w2, w3) of neighbouring words."""
+    return _neighbours(sents, 3).drop("idx")
 
 
 def tagged_trigrams(parsed_tokens: DataFrame, listed: DataFrame, stopwords: tuple[str, ...] = ()) -> DataFrame:

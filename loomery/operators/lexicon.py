@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,37 +32,57 @@ RELATION_KINDS = {
 UPWARD = ("Inheritance", "Using", "Inchoative_of", "Causative_of", "Subframe", "Perspective_on")
 
 
-def classified(body: Column) -> tuple[Column, Column]:
-    """(category, value) of a fragment; the first rule that fits holds."""
-    code, ticks = F.regexp_count(body, F.lit(CODE_SIGNATURE)), F.regexp_count(body, F.lit(BACKTICK))
-    returns = body.rlike(RETURNS).cast("int")
-    count = F.greatest(F.lit(1), F.size(F.filter(F.split(body, r"\s+"), lambda w: w != "")))
-    ratio = (code + ticks + returns) / count
-    natural = body.rlike(NATURAL)
+def _signs(body: Column) -> dict[str, Column]:
+    """What the rules count, each looked for only where a character or word it cannot do without occurs."""
+    low = F.lower(body)
+    has = lambda *parts: reduce(lambda x, y: x | y, [F.contains(low, F.lit(p)) for p in parts])
+    return {
+        "_code": F.when(has("("), F.regexp_count(body, F.lit(CODE_SIGNATURE))).otherwise(0),
+        "_ticks": F.when(has("`"), F.regexp_count(body, F.lit(BACKTICK))).otherwise(0),
+        "_returns": (has("returns") & body.rlike(RETURNS)).cast("int"),
+        "_class": has("class") & body.rlike(CLASS_HEAD),
+        "_impl": has("implementation", "cpython", "thread") & body.rlike(IMPLEMENTATION),
+        "_action": has("method", "function", "class", "constructor", "operation", "process", "action", "approach") & body.rlike(ACTION),
+        "_natural": body.rlike(NATURAL),
+    }
+
+
+def classified(rows: DataFrame, body: str = "text") -> DataFrame:
+    """Adds category and value of a fragment; the first rule that fits holds."""
+    signs = _signs(F.col(body))
+    found = text.once(rows, rows.columns, **signs)
+    count = F.greatest(F.lit(1), F.size(F.filter(F.split(F.col(body), r"\s+"), lambda w: w != "")))
+    weight = F.col("_code") + F.col("_ticks") + F.col("_returns")
+    # Without a sign the ratio is 0 whatever the words.
+    found = found.withColumn("_ratio", F.when(weight > 0, weight / count).otherwise(0.0))
     rules = (
-        (body.rlike(CLASS_HEAD), "code_syntax", "low"),
-        (body.rlike(IMPLEMENTATION), "impl_detail", "skip"),
-        ((code >= 1) & (ratio > 0.1), "code_syntax", "low"),
-        (((ticks >= 2) | (returns == 1)) & (ratio > 0.05), "code_example", "low"),
-        (body.rlike(ACTION) & natural, "nl_action", "medium"),
-        (natural, "nl_description", "high"),
+        (F.col("_class"), "code_syntax", "low"),
+        (F.col("_impl"), "impl_detail", "skip"),
+        ((F.col("_code") >= 1) & (F.col("_ratio") > 0.1), "code_syntax", "low"),
+        (((F.col("_ticks") >= 2) | (F.col("_returns") == 1)) & (F.col("_ratio") > 0.05), "code_example", "low"),
+        (F.col("_action") & F.col("_natural"), "nl_action", "medium"),
+        (F.col("_natural"), "nl_description", "high"),
     )
     category = value = None
     for condition, name, worth in rules:
         category = F.when(condition, name) if category is None else category.when(condition, name)
         value = F.when(condition, worth) if value is None else value.when(condition, worth)
-    return category.otherwise("code_syntax"), value.otherwise("low")
+    made = found.withColumn("category", category.otherwise("code_syntax")).withColumn("value", value.otherwise("low"))
+    return made.drop("_ratio", *signs)
+
+
+def _fragment_id(number: Column) -> Column:
+    return F.concat(F.lit("F"), F.when(number < 100, F.lpad(number.cast("string"), 2, "0")).otherwise(number.cast("string")))
 
 
 def fragments(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
     """Paragraphs cut into sentences, classified and numbered, with their neighbours.
 
-    Numbering runs over the document's own array, so only the neighbours need an order,
-    which is that of the rows inside a document.  A paragraph of one sentence has no
-    sentence number.
+    Numbers and neighbours follow from a fragment's place in its document's own array, so no
+    row moves.  A paragraph of one sentence has no sentence number.
     """
     filled = lambda parts: F.filter(F.transform(parts, text.strip), lambda p: p != "")
-    paragraphs = filled(F.split(F.col(body), r"\n\s*\n"))
+    paragraphs = filled(F.split(F.col("_body"), r"\n\s*\n"))
     sentences = F.transform(paragraphs, lambda p: filled(F.split(p, r"(?<=[.!?])\s+(?=[A-Z])")))
     nested = F.transform(
         sentences,
@@ -69,12 +91,14 @@ def fragments(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataF
             lambda s, j: F.struct(s.alias("text"), (i + 1).alias("paragraph"), F.when(F.size(own) > 1, j + 1).alias("sentence")),
         ),
     )
-    rows = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.flatten(nested)).alias("ord", "f")).select("doc_id", "ord", "f.*")
-    category, value = classified(F.col("text"))
-    own = Window.partitionBy("doc_id").orderBy("ord")
-    name = F.concat(F.lit("F"), F.when(F.col("ord") < 99, F.lpad((F.col("ord") + 1).cast("string"), 2, "0")).otherwise((F.col("ord") + 1).cast("string")))
-    named = rows.withColumn("id", name).withColumn("category", category).withColumn("value", value)
-    return named.withColumn("prev_id", F.lag("id").over(own)).withColumn("next_id", F.lead("id").over(own))
+    whole = text.once(docs.select(F.col(key).alias("doc_id"), F.col(body).alias("_body")), ["doc_id"], **{"_all": F.flatten(nested)})
+    rows = whole.select("doc_id", F.size("_all").alias("_n"), F.posexplode_outer("_all").alias("ord", "f")).where("ord is not null")
+    rows = classified(rows.select("doc_id", "_n", "ord", "f.*"))
+    number = F.col("ord") + 1
+    return rows.select(
+        "doc_id", "ord", "text", "paragraph", "sentence", _fragment_id(number).alias("id"), "category", "value",
+        F.when(number > 1, _fragment_id(number - 1)).alias("prev_id"), F.when(number < F.col("_n"), _fragment_id(number + 1)).alias("next_id"),
+    )
 
 
 def eligible(frags: DataFrame, least: str = "low", skip_low: bool = False) -> DataFrame:
