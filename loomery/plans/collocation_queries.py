@@ -178,7 +178,7 @@ triples AS (
   FROM words WINDOW s AS (PARTITION BY doc_id, sent_id ORDER BY idx)
 ), trigrams AS (
   SELECT w1, w2, w3, count(*) AS c, count(DISTINCT doc_id) AS df
-  FROM triples WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) > 1
+  FROM triples WHERE w3 IS NOT NULL GROUP BY ALL
 )"""
 
 SQL = {
@@ -206,7 +206,7 @@ FROM trigrams t JOIN uni a ON a.word = w1 JOIN uni b ON b.word = w2 JOIN uni d O
   SELECT w1, w2, sum(c)::BIGINT AS c12 FROM (SELECT w1, w2, c FROM pairs UNION ALL SELECT w2, w1, c FROM pairs) GROUP BY 1, 2
 ), partial AS (
   SELECT w1, w2, w3, t.c, c12, log2(t.c::DOUBLE * n / (c12::DOUBLE * d.c)) AS raw
-  FROM trigrams t JOIN both_ways USING (w1, w2) JOIN uni d ON d.word = w3, total
+  FROM trigrams t JOIN both_ways USING (w1, w2) JOIN uni d ON d.word = w3, total WHERE t.c >= 2
 ) SELECT w1, w2, w3, c, c12, round(raw, 4) AS pmi_partial, raw >= 1.5 AS passed FROM partial""",
     "colloc_whitelist": f"""WITH {_SENTENCES}, {_PAIRS}, {_GATED}, {_ENTROPY}
 SELECT w1 AS word FROM entropy WHERE tag = 'Active_LU' UNION SELECT w1 FROM gated WHERE rejected_reason IS NULL""",

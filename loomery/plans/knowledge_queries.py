@@ -60,9 +60,9 @@ def relation_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    letters = F.regexp_count("text", F.lit(r"\p{L}")) / F.greatest(F.length("text"), F.lit(1))
+    letters = knowledge.characters(F.col("text"), r"\p{L}") / F.greatest(F.length("text"), F.lit(1))
     early = F.coalesce(knowledge.code_or_file_score(F.col("text")), knowledge.chat_score(F.col("text")), knowledge.web_score(F.col("text")))
-    scored = docs.withColumn("score", F.round(knowledge.quality(F.col("text"), early, letters), 4))
+    scored = text.once(docs, ["doc_id"], score=F.round(knowledge.quality(F.col("text"), early, letters), 4))
     return scored.where("score >= 0.5").select("doc_id", "score")
 
 
@@ -158,7 +158,10 @@ def greedy_knapsack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of part names that share a word, with the Jaccard similarity of their words; joined on the word."""
+    """Pairs of part names that share a word, with the Jaccard similarity of their words; joined on the word.
+
+    Every such pair is asked for, however weak, so the result itself grows with a word's names; names are distinct first.
+    """
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("w", F.array_distinct(text.words(F.col("name"))))
     each = names.select("name", F.size("w").alias("n"), F.explode("w").alias("word"))
     a, b = each.select(F.col("name").alias("a"), F.col("n").alias("na"), "word"), each.select(F.col("name").alias("b"), F.col("n").alias("nb"), "word")
@@ -342,7 +345,7 @@ QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC,
 SELECT l_returnflag AS kind, count(*) AS n, count(DISTINCT l_partkey) AS labels FROM lineitem
 WHERE l_discount * 10 >= 0.5 AND l_returnflag IN ('A', 'R') AND l_partkey <> l_suppkey
   AND l_partkey IN (SELECT id FROM labels) AND l_suppkey IN (SELECT id FROM labels) GROUP BY 1""",
-    "label_components": """WITH RECURSIVE o AS (SELECT o_custkey AS u, min(o_custkey) OVER (PARTITION BY o_orderdate::DATE) AS v FROM orders WHERE o_totalprice > 450000),
+    "label_components": """WITH RECURSIVE o AS (SELECT o_custkey AS u, min(o_custkey) OVER (PARTITION BY o_orderdate::DATE) AS v FROM orders),
 e AS (SELECT u, v FROM o UNION SELECT v, u FROM o),
 reach(vertex, other) AS (SELECT u, u FROM o UNION SELECT vertex, v FROM reach JOIN e ON e.u = other)
 SELECT vertex, min(other) AS component FROM reach GROUP BY vertex""",

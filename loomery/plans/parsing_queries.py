@@ -84,5 +84,5 @@ SQL = {
   WHERE rel NOT IN ('obj', 'nsubj') OR NOT EXISTS (
     SELECT 1 FROM edges p WHERE p.rel = 'pobj' AND p.doc_id = n.doc_id AND p.sent_id = n.sent_id AND p.dep = n.dep)
 )
-SELECT w1, w2, type, rel, count(*) FILTER (NOT candidate) AS c, count(*) FILTER (candidate) AS weak FROM typed GROUP BY ALL HAVING count(*) >= 3""",
+SELECT w1, w2, type, rel, count(*) FILTER (NOT candidate) AS c, count(*) FILTER (candidate) AS weak FROM typed GROUP BY ALL""",
 }

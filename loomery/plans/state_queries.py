@@ -337,7 +337,7 @@ SQL = {
 SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM f) AS total FROM f ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20""",
     "ui_message_merge": """WITH log AS (
   SELECT user_id AS thread_id, event_id AS ord, event_id % 3 AS id, event_type AS key,
-    CASE WHEN event_type = 'signup' THEN 'remove' WHEN event_id % 7 = 0 THEN 'add' ELSE 'merge' END AS op FROM events WHERE user_id < 40
+    CASE WHEN event_type = 'signup' THEN 'remove' WHEN event_id % 7 = 0 THEN 'add' ELSE 'merge' END AS op FROM events
 ), own AS (
   SELECT thread_id, id, coalesce(max(ord) FILTER (op = 'add'), -1) AS start, arg_max(op, ord) AS last FROM log GROUP BY 1, 2
 ), live AS (
@@ -403,7 +403,7 @@ SELECT thread_id, min(ord) AS place, id, arg_max(content, ord) AS content FROM e
     "reducer_fold": "SELECT event_type AS channel, sum(user_id)::BIGINT AS total, arg_max(user_id, event_id) AS last FROM events GROUP BY 1",
     "channel_any_value": "SELECT event_id % 20 AS step, event_type AS channel, arg_max(user_id, event_id) AS value FROM events GROUP BY 1, 2",
     "channel_topic": """SELECT event_type AS channel, event_id % 20 AS step,
-  string_agg(user_id || ',' || (user_id + 1), ',' ORDER BY event_id) AS values FROM events WHERE event_id < 400 GROUP BY 1, 2""",
+  string_agg(user_id || ',' || (user_id + 1), ',' ORDER BY event_id) AS values FROM events GROUP BY 1, 2""",
     "barrier_ready": "SELECT 'u' || user_id AS channel, count(DISTINCT event_type) = 5 AS ready FROM events GROUP BY 1",
     "version_triggers": """WITH v AS (SELECT event_type, max(event_id) AS version FROM events GROUP BY 1),
 s AS (SELECT user_id::VARCHAR AS node, event_type, max(event_id) + 300 AS seen FROM events GROUP BY 1, 2)
