@@ -42,11 +42,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays; of fully repeated rows one stays."""
     kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
-    own = Window.partitionBy("doc_id", F.xxhash64("text"), apart).orderBy("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi")
-    rows = named.unionByName(docs.where("doc_id is null")).withColumn("_copy", F.row_number().over(own))
-    return rows.where("_copy = 1").select(*docs.columns)
+    copy = next(c for c in ("copy" + "_" * n for n in range(len(docs.columns) + 1)) if c not in docs.columns)
+    # The join has dealt the rows by id, so the window moves none.
+    own = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    named = docs.join(kept, "doc_id", "left_semi").withColumn(copy, F.row_number().over(own))
+    return named.where(F.col(copy) == 1).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
