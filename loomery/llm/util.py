@@ -2,31 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A driver table, through Spark's own reader (any file system Spark knows)."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (as in tests) a folder of our own is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        own = os.path.join(tempfile.gettempdir(), "loomery-checkpoints")
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", own))
-    return df.checkpoint(eager=True)
+from pyspark.sql import DataFrame
 
+from loomery.lineage import cut  # noqa: F401
+from loomery.plans.common import table as read  # noqa: F401
 
 #: Rows a worker takes at a time, whatever the session's Arrow batch size.
 ROWS = 1024
