@@ -1,10 +1,11 @@
 """Line deduplication over a whole corpus by a deletion-neighbourhood join.
 
 A line is its sequence of tokens: what stands between single spaces.  Of equal lines the
-earliest stays; a line of at least ``near_tokens`` tokens also goes if an earlier line is
-within one token of it (one token put in, left out or replaced).  Earlier means: smaller
-document id (nulls last), then smaller hash of the text, then smaller line number.  Lines
-of white space alone always stay.
+earliest stays; a line of at least ``near_tokens`` tokens also goes if an earlier line of at
+least as many is within one token of it (one token put in, left out or replaced).  Shorter
+lines are compared for equality only: one token in few is no near copy.  Earlier means:
+smaller document id (nulls last), then smaller hash of the text, then smaller line number.
+Lines of white space alone always stay.
 
 The neighbourhood: two lines within one token have a common variant after deleting one
 token of each (or of the longer).  Variants are emitted as hashed keys, equal keys meet,
@@ -12,9 +13,10 @@ and the edit distance is then verified on the tokens themselves.  Only lines tha
 half of their tokens with another line can be within one token of one: one half of the two
 is untouched by the edit.  So the variants are emitted for lines with a shared half only,
 and only for deletions in the other half; nothing is lost by that.  A key's group is never
-listed in pairs: lines that share a variant with the same place deleted are all within one
-token of each other, and a line equal to a variant is within one token of all its owners,
-so the earliest of each side decides.
+listed in pairs and never brought together: lines that share a variant with the same place
+deleted are all within one token of each other, and a line equal to a variant is within one
+token of all its owners, so a key's earliest line is enough.  It is found by partial minima
+and joined back.
 
 Rows are sifted before they move by a bit filter of fixed size (``_WORDS`` longs, broadcast):
 it lets through every row that an exact join behind it wants, and few others; when it is
@@ -23,8 +25,9 @@ full it only sifts less.
 Everything here is DataFrame code: built-in functions only.
 
 Defined results: a null text stays null; an empty text stays empty; a document may end up
-with an empty text; of fully repeated rows the first keeps its lines.  Any extra columns
-are passed through, whatever their names.
+with an empty text; of fully repeated rows one keeps its lines.  Rows with one id, or none,
+are told apart by 128 bits of their text's hash.  Any extra columns are passed through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -34,57 +37,38 @@ from pyspark.sql import functions as F
 
 from loomery.llm.util import cut
 
-_WORD = r"[^\x20\x09-\x0D]"
 _BLANK = " \t\n\x0b\x0c\r"
 _LAST = (1 << 63) - 1
-#: A position is document, text hash and line number in one number, in that order.
-_LINES, _HASHES = 10**10, 10**9
+#: A position: document, two hashes of its text, line.
+_AT = ("d", "a", "b", "line")
 _WORDS = 1 << 16
+#: Lines of more tokens take their variants from running sums, which stay linear.
+_SHORT = 1000
 
 
-def _number(value: int) -> Column:
-    return F.lit(str(value)).cast("decimal(38,0)")
-
-
-def _position(doc: Column, salt: Column, line: Column) -> Column:
-    place = doc.cast("decimal(19,0)") * F.lit(_HASHES).cast("decimal(10,0)") + salt.cast("decimal(10,0)")
-    place = place.cast("decimal(28,0)") * F.lit(_LINES).cast("decimal(11,0)") + line.cast("decimal(11,0)")
-    return place.cast("decimal(38,0)")
-
-
-def _doc(key: str) -> Column:
-    return F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST))
-
-
-def _salt(text: str) -> Column:
-    return F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(_HASHES)).cast("long")
-
-
-def _parts_of(pos: Column) -> list[Column]:
-    """Document, text hash and line of a position."""
-    line = pos % _number(_LINES)
-    doc = ((pos - line) / _number(_LINES)).cast("decimal(28,0)")
-    salt = doc % _number(_HASHES)
-    return [((doc - salt) / _number(_HASHES)).cast("long").alias("d"), salt.cast("long").alias("s"), line.cast("int").alias("line")]
+def _document(key: str, text: str) -> list[Column]:
+    """What tells a row from others, in the order of documents."""
+    t = F.col(f"`{text}`")
+    doc = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_LAST))
+    return [doc.alias("d"), F.xxhash64(t).alias("a"), F.xxhash64(F.lit(5), t).alias("b")]
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(pos, l) of every line that is not blank."""
-    rows = docs.select(_doc(key).alias("d"), _salt(text).alias("s"), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("line", "l"))
-    return rows.where(F.btrim("l", F.lit(_BLANK)) != "").select(_position(F.col("d"), F.col("s"), F.col("line")).alias("pos"), "l")
+    """(d, a, b, line, l) of every line that is not blank."""
+    rows = docs.select(*_document(key, text), F.posexplode(F.split(F.col(f"`{text}`"), "\n")).alias("line", "l"))
+    return rows.where(F.btrim("l", F.lit(_BLANK)) != "")
 
 
-def _sifted(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """``rows`` whose ``column`` may be among ``wanted`` (one column): all that are, and few others."""
+def _sifted(rows: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` whose ``columns`` may be among ``wanted``: all that are, and few others."""
 
-    def place(value: Column) -> tuple[Column, Column]:
-        h = F.xxhash64(value)
+    def place() -> tuple[Column, Column]:
+        h = F.xxhash64(F.lit(11), *columns)
         return F.pmod(h, F.lit(_WORDS)).cast("int"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int")
 
-    word, bit = place(F.col(wanted.columns[0]))
+    word, bit = place()
     bits = wanted.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_one"))
     bits = bits.groupBy("_word").agg(F.bit_or("_one").alias("_bits"))  # ``_WORDS`` rows at most
-    word, bit = place(F.col(column))
     met = rows.withColumn("_word", word).join(F.broadcast(bits), "_word")
     return met.where(F.call_function("getbit", F.col("_bits"), bit) == 1).select(*rows.columns)
 
@@ -122,83 +106,91 @@ def _within_one(x: Column, y: Column) -> Column:
     return near & (common(x, y) + common(F.reverse(x), F.reverse(y)) >= longest - 1)
 
 
-def near_lines(first: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Positions (pos) of lines that an earlier line is within one token of.
+def _deleted(n: Column) -> Column:
+    """The places to delete: a shared first half (side 0) leaves those behind it, a shared second half those before."""
+    middle = F.shiftright(n - 1, 1)
+    first = F.when(F.col("high") == 1, F.lit(1)).otherwise(middle + 1)
+    last = F.when(F.col("low") == 0, n).otherwise(n - middle)
+    return F.sequence(first, last)
+
 
-    ``first``: pos and the half keys p1, p2, s1, s2 of distinct lines that are long enough.
+def _short_variants(lines: DataFrame) -> DataFrame:
+    """(r, i, v1, v2): the whole line (i = 0) and the line without its ``i``-th token, hashed.
+
+    Each token stands as eight bytes of its hash, so leaving one out is a copy of bytes.
     """
-    sides = [F.struct(F.lit(i // 2).alias("side"), F.col(c).alias("key")) for i, c in enumerate(("p1", "p2", "s1", "s2"))]
-    halves = first.select("pos", F.explode(F.array(*sides)).alias("h")).select("pos", "h.side", "h.key").where("key is not null")
-    shared = cut(halves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    open_ = cut(
-        _sifted(halves, "key", shared)
-        .join(shared, "key", "left_semi")
-        .groupBy("pos")
-        .agg(F.min("side").alias("low"), F.max("side").alias("high"))
-    )
-    lines = (
-        _sifted(_lines(docs, key, text), "pos", open_.select("pos"))
-        .join(open_, "pos")
-        # Fully repeated rows have their lines at the same positions.
-        .groupBy("pos", "low", "high")
-        .agg(F.min("l").alias("l"))
-        .select("pos", "low", "high", F.split("l", " ").alias("w"))
-    )
-    lines = cut(lines)
-    n = F.size("w")
+    hashes = F.transform("w", lambda w: F.lpad(F.hex(F.xxhash64(w)), 16, "0"))
+    coded = lines.select("r", "low", "high", F.size("w").alias("n"), F.unhex(F.array_join(hashes, "")).alias("x"))
+    places = F.concat(F.array(F.lit(0)), _deleted(F.col("n")))
+    each = coded.select("r", "n", "x", F.explode(places).alias("i"))
+    part = lambda start, size: F.call_function("substring", F.col("x"), start, size)
+    rest = F.concat(part(F.lit(1), (F.col("i") - 1) * 8), part(F.col("i") * 8 + 1, (F.col("n") - F.col("i")) * 8))
+    each = each.select("r", "i", F.when(F.col("i") == 0, F.col("x")).otherwise(rest).alias("x"))
+    return each.select("r", "i", F.xxhash64("x").alias("v1"), F.xxhash64(F.lit(1), "x").alias("v2"))
+
+
+def _long_variants(lines: DataFrame) -> DataFrame:
+    """The same from sums over tokens and their places, in linear time."""
 
     def sums(seed: int, shift: int) -> Column:
-        each = F.transform("w", lambda w, i: F.shiftrightunsigned(F.xxhash64(F.lit(seed), w, i - shift), 22))
-        return _running(each)
+        return _running(F.transform("w", lambda w, i: F.shiftrightunsigned(F.xxhash64(F.lit(seed), w, i - shift), 22)))
 
     summed = lines.select(
-        "pos", "low", "high", n.alias("n"),
+        "r", "low", "high", F.size("w").alias("n"),
         sums(1, 0).alias("a1"), sums(1, 1).alias("b1"), sums(2, 0).alias("a2"), sums(2, 1).alias("b2"),
     )
 
     def variant(a: str, b: str, i: Column) -> Column:
-        a, b = F.col(a), F.col(b)
         return F.element_at(a, i) + F.element_at(b, -1) - F.element_at(b, i + 1)
 
-    middle = F.floor((F.col("n") - 1) / 2).cast("int")
-    # A shared first half (side 0) leaves the places behind it, a shared second half those before.
-    deleted = F.filter(
-        F.sequence(F.lit(1), F.col("n")),
-        lambda i: ((F.col("low") == 0) & (i > middle)) | ((F.col("high") == 1) & (i <= F.col("n") - middle)),
+    whole = F.struct(F.lit(0).alias("i"), F.element_at("a1", -1).alias("v1"), F.element_at("a2", -1).alias("v2"))
+    without = F.transform(
+        _deleted(F.col("n")),
+        lambda i: F.struct(i.alias("i"), variant("a1", "b1", i).alias("v1"), variant("a2", "b2", i).alias("v2")),
     )
-    entries = F.concat(
-        F.array(
-            F.struct(
-                F.lit(0).alias("i"), F.col("n").alias("len"),
-                F.element_at("a1", -1).alias("v1"), F.element_at("a2", -1).alias("v2"),
-            )
-        ),
-        F.transform(
-            deleted,
-            lambda i: F.struct(
-                i.alias("i"), (F.col("n") - 1).alias("len"),
-                variant("a1", "b1", i).alias("v1"), variant("a2", "b2", i).alias("v2"),
-            ),
-        ),
-    )
-    keys = summed.select("pos", F.explode(entries).alias("e")).select("pos", "e.*")
-    variant_ = Window.partitionBy("v1", "v2", "len")
-    place_ = Window.partitionBy("v1", "v2", "len", "i")
-    met = keys.select(
-        "pos", "i",
-        F.min("pos").over(place_).alias("same"),
-        F.min(F.when(F.col("i") == 0, F.col("pos"))).over(variant_).alias("whole"),
-        F.min(F.when(F.col("i") > 0, F.col("pos"))).over(variant_).alias("cut"),
-    )
-    earlier = F.when(F.col("i") == 0, F.col("cut")).otherwise(F.least("same", "whole"))
-    pairs = met.select("pos", earlier.alias("witness")).where("witness < pos").distinct()
-    own = lines.select("pos", "w")
+    return summed.select("r", F.explode(F.concat(F.array(whole), without)).alias("e")).select("r", "e.*")
+
+
+def near_lines(first: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Positions (d, a, b, line) of lines that an earlier line is within one token of.
+
+    ``first``: positions and the half keys p1, p2, s1, s2 of distinct lines that are long enough.
+    """
+    sides = [F.struct(F.lit(i // 2).alias("side"), F.col(c).alias("key")) for i, c in enumerate(("p1", "p2", "s1", "s2"))]
+    halves = first.select(*_AT, F.explode(F.array(*sides)).alias("h")).select(*_AT, "h.side", "h.key").where("key is not null")
+    shared = cut(halves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    met = _sifted(halves, shared, "key").join(shared, "key", "left_semi")
+    open_ = cut(met.groupBy(*_AT).agg(F.min("side").alias("low"), F.max("side").alias("high")))
+    lines = (
+        _sifted(_lines(docs, key, text), open_.select(*_AT), *_AT)
+        .join(open_, list(_AT))
+        # Fully repeated rows have their lines at the same positions.
+        .groupBy(*_AT, "low", "high")
+        .agg(F.min("l").alias("l"))
+    )
+    # Ranges in the order of positions: from here on a line is one number that grows with its position.
+    lines = lines.orderBy(*_AT).select(F.monotonically_increasing_id().alias("r"), *_AT, "low", "high", F.split("l", " ").alias("w"))
+    lines = cut(lines)
+    short, long_ = lines.where(F.size("w") <= _SHORT + 1), lines.where(F.size("w") > _SHORT)
+    entries = _short_variants(short).unionByName(_long_variants(long_))
+    deleted, whole = entries.where("i > 0"), entries.where("i = 0").drop("i")
+
+    at = ("v1", "v2", "i")
+    earliest = deleted.groupBy(*at).agg(F.min("r").alias("witness"), F.max("r").alias("last"))
+    earliest = cut(earliest.where("witness < last").drop("last"))
+    same = _sifted(deleted, earliest, *at).join(earliest, list(at)).where("witness < r").select("r", "witness")
+
+    value = ("v1", "v2")
+    cuts = _sifted(deleted, whole, *value).select(F.col("r").alias("owner"), *value)
+    apart = cuts.join(whole, list(value)).select(F.greatest("r", "owner").alias("r"), F.least("r", "owner").alias("witness"))
+
+    pairs = same.unionByName(apart).groupBy("r").agg(F.min("witness").alias("witness"))
+    own = lines.select("r", *_AT, "w")
     return (
-        pairs.join(own, "pos")
-        .join(own.select(F.col("pos").alias("witness"), F.col("w").alias("v")), "witness")
+        pairs.join(own, "r")
+        .join(lines.select(F.col("r").alias("witness"), F.col("w").alias("v")), "witness")
         .where(_within_one(F.col("w"), F.col("v")))
-        .select("pos")
-        .distinct()
+        .select(*_AT)
     )
 
 
@@ -215,38 +207,40 @@ def dedup_lines(
     more = F.shiftright(F.col("n"), 1)
     less = F.shiftright(F.col("n") - 1, 1)
     even = long_ & (more != less)
+    halves = ("p1", "p2", "s1", "s2")
     distinct = cut(
         lines.withColumn("n", n)
         .select(
-            "pos", F.xxhash64("l").alias("h1"), F.xxhash64(F.lit(7), "l").alias("h2"),
+            F.struct(*_AT).alias("pos"), F.xxhash64("l").alias("h1"), F.xxhash64(F.lit(7), "l").alias("h2"),
             F.when(long_, _half(0, less)).alias("p1"), F.when(even, _half(0, more)).alias("p2"),
             F.when(long_, _half(1, less)).alias("s1"), F.when(even, _half(1, more)).alias("s2"),
         )
         .groupBy("h1", "h2")
-        .agg(F.min("pos").alias("pos"), *[F.first(c).alias(c) for c in ("p1", "p2", "s1", "s2")])
-        .drop("h1", "h2")
+        .agg(F.min("pos").alias("pos"), *[F.first(c).alias(c) for c in halves])
+        .select("pos.*", *halves)
     )
     near = near_lines(distinct.where("p1 is not null"), docs, key, text)
-    kept = distinct.select("pos").join(near, "pos", "left_anti").select(*_parts_of(F.col("pos")))
-    kept = kept.groupBy("d", "s").agg(F.collect_list("line").alias("kept"))
+    kept = distinct.select(*_AT).join(near, list(_AT), "left_anti")
+    kept = kept.groupBy("d", "a", "b").agg(F.collect_list("line").alias("kept"))
     others = [c for c in docs.columns if c != text]
     whole = docs.select(
-        _doc(key).alias("d"), _salt(text).alias("s"), F.col(f"`{text}`").alias("t"),
+        *_document(key, text), F.col(f"`{text}`").alias("t"),
         *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)],
     )
     # Of fully repeated rows the first has the lines.
-    copy = F.row_number().over(Window.partitionBy("d", "s").orderBy("s"))
-    whole = whole.withColumn("copy", copy).join(kept, ["d", "s"], "left")
+    copy = F.row_number().over(Window.partitionBy("d", "a", "b").orderBy("a"))
+    whole = whole.withColumn("copy", copy).join(kept, ["d", "a", "b"], "left")
     none = F.array().cast("array<int>")
     keeps = F.when(F.col("copy") == 1, F.coalesce("kept", none)).otherwise(none)
-    all_ = F.split("t", "\n")
-    blank = lambda l: F.btrim(l, F.lit(_BLANK)) == ""
-    left = F.filter(all_, lambda l, i: blank(l) | F.array_contains(F.col("keeps"), i))
-    made = whole.withColumn("keeps", keeps).withColumn("left", left)
+    # A line's number is enough to find it again, so a document takes the time of a sort of its lines.
+    blanks = F.filter(F.transform("all", lambda l, i: F.when(F.btrim(l, F.lit(_BLANK)) == "", i)), lambda i: i.isNotNull())
+    made = whole.withColumn("all", F.split("t", "\n")).withColumn("stay", F.concat(blanks, keeps))
+    left = F.array_join(F.transform(F.sort_array("stay"), lambda i: F.get("all", i)), "\n")
+    left = F.when(F.size("stay") == F.size("all"), F.col("t")).otherwise(left)
     zero = F.lit(0).cast("long")
     counts = F.struct(
-        F.coalesce(F.size(all_).cast("long"), zero).alias("n_lines"),
-        F.when(F.col("t").isNull(), zero).otherwise((F.size(all_) - F.size("left")).cast("long")).alias("n_dropped"),
+        F.coalesce(F.size("all").cast("long"), zero).alias("n_lines"),
+        F.when(F.col("t").isNull(), zero).otherwise((F.size("all") - F.size("stay")).cast("long")).alias("n_dropped"),
     )
-    named = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text: F.array_join("left", "\n")}
+    named = {c: F.col(f"c{i}") for i, c in enumerate(others)} | {text: left}
     return made.select(*[named[c].alias(c) for c in docs.columns], *([counts.alias(counts_as)] if counts_as else []))
