@@ -8,8 +8,13 @@ Only lengths decide, so the plan is made from the histogram of lengths (at most
 ``window`` numbers, whatever the input): pieces of one length go as a run into a run of
 windows with one capacity, and the plan is a list of such runs.  Every piece then finds
 its place from its length and its number among the pieces of that length; the numbers
-are given in hashed parts of each length, so no length is one task.  The result is that
-of best-fit decreasing over all pieces at once.
+are given in hashed parts of each length, as many as its count asks for, so no length is
+one task.  The result is that of best-fit decreasing over all pieces at once.
+
+The ids are those of the tokenizer as its file stands.  Texts of plain words are encoded unit
+by unit through a second library with the same ranks; texts with one of the tokenizer's added
+tokens, a zero character, or with unusual white space and a script whose classes differ
+between regex libraries go to the tokenizer whole.
 
 Defined results: a null or empty text is the end token alone; repeated rows are packed
 each; an empty table gives no pieces.  Only the named columns are read.
@@ -58,7 +63,7 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         # The same vocabulary as ranks: a second library encodes a single unit in less time.
         plain = _byte_of_character()
         vocab = self.model.get_vocab(with_added_tokens=False)
@@ -75,6 +80,8 @@ class Tokens:
         return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
 
     def _keys(self, text: str) -> list[str] | None:
+        if any(t in text for t in self.added):
+            return None
         if _GAPS.search(text) or "\0" in text or any(r in text for r in _RUNS):
             if _ODD.search(text) or "\0" in text:
                 return None
@@ -246,17 +253,22 @@ def best_fit_decreasing(histogram: dict[int, int], window: int) -> list[tuple[in
     return runs
 
 
-def pack(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", end: int = 0, window: int = 1024, parts: int = 64) -> DataFrame:
-    """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = cut(
-        tokenise(docs, model, key, text, end, window).withColumn(
-            "part", F.pmod(F.xxhash64("id", "start", "crc"), F.lit(parts)).cast("int")
-        )
-    )
+def pack(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", end: int = 0, window: int = 1024, part_rows: int = 100_000) -> DataFrame:
+    """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``part_rows``: about how many pieces of one length a task numbers.
+    """
+    whole = cut(tokenise(docs, model, key, text, end, window))
+    histogram = {r[0]: r[1] for r in whole.groupBy("length").count().collect()}  # at most ``window`` rows
+    parts = [(n, -(-rows // part_rows)) for n, rows in histogram.items()]
+    parts = docs.sparkSession.createDataFrame(parts, "length long, parts long")
+    # Rows without an id may all be alike; they are dealt by their place in the checkpointed table.
+    mark = F.when(F.col("id").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("id", "start", "crc"))
+    pieces = whole.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(parts), "length")
+    pieces = pieces.withColumn("part", F.pmod(mark, F.col("parts"))).drop("row", "parts")
     counts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("rows"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bases = cut(counts.withColumn("base", F.sum("rows").over(before) - F.col("rows")))
-    histogram = {r[0]: r[1] for r in bases.groupBy("length").agg(F.sum("rows")).collect()}  # at most ``window`` rows
     runs: dict[int, list[tuple[int, int, int, int]]] = {}
     for length, *run in best_fit_decreasing(histogram, window):
         runs.setdefault(length, []).append(tuple(run))
@@ -276,8 +288,8 @@ def pack(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", e
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     within = Window.partitionBy("length", "part").orderBy(F.col("id").asc_nulls_last(), "start", "crc", "tokens")
-    # One row for each length and part: ``window`` x ``parts`` at most.
-    numbered = pieces.withColumn("own", F.row_number().over(within)).join(F.broadcast(bases.drop("rows")), ["length", "part"])
+    # The window has dealt the pieces by length and part, so this join moves ``bases`` alone.
+    numbered = pieces.withColumn("own", F.row_number().over(within)).join(bases.drop("rows"), ["length", "part"])
     placed = numbered.withColumn("at", place("length", F.col("base") + F.col("own") - 1))
     return placed.select(
         F.col("id").alias(key), "start", "length", F.col("crc").alias("ids_crc32"), F.col("tokens").alias("doc_tokens"),
