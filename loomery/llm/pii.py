@@ -11,7 +11,10 @@ full and again, however often, without its prefix gets one label.  Loopy belief
 runs over each document's graph; words in a span found by a pattern are fixed.
 
 The weights are fitted by pseudo-likelihood to the patterns' own labels (a word that is tied
-to a labelled one but has no label counts as unknown) over at most ``sample`` documents that have a digit or ``@``, in the order of a hash of their id.  The
+to a labelled one but has no label counts as unknown) over at most ``sample`` documents that
+have a digit or ``@``, in the order of a hash of their id; of rows with one id the one with the
+least text teaches.  Words with a skip partner teach a second time with their own shape and
+neighbours hidden, so that the skip weights learn what a partner's label alone says.  The
 model has a few dozen weights, whatever the input.
 
 Defined results: a null or empty text has no spans; with nothing to learn from no spans
@@ -234,6 +237,13 @@ def fit(features: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.nda
     far = np.zeros_like(one)
     np.add.at(far, skip[:, 0], one[skip[:, 1]])
     np.add.at(far, skip[:, 1], one[skip[:, 0]])
+    # Once more with only the partners to go by.
+    tied = np.flatnonzero(known & far.any(axis=1))
+    hidden = np.zeros((len(tied), features.shape[1]))
+    hidden[:, 0] = 1.0
+    features = np.concatenate([features, hidden])
+    before, after = (np.concatenate([x, np.zeros((len(tied), _LABELS))]) for x in (before, after))
+    far, one, known = (np.concatenate([x, x[tied]]) for x in (far, one, known))
     for _ in range(steps):
         score = features @ model.words + before @ model.chain + after @ model.chain.T + far @ model.skip
         score -= score.max(axis=1, keepdims=True)
@@ -270,7 +280,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = rows.where("id is not null").where(F.col("text").rlike("[0-9@]"))
     picked = rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    some = rows.join(F.broadcast(picked), "id")  # at most ``sample`` ids
+    # At most ``sample`` ids, and one row an id before anything is collected.
+    some = rows.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"))
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -295,8 +306,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int
 
     made = map_batches(some, make, "id long, features binary, label binary, chain binary, skip binary")
     features, labels, chains, skips, n = [], [], [], [], 0
-    got = {r["id"]: r for r in sorted(made.collect(), key=lambda r: (r["id"], r["features"]))}
-    for _, r in sorted(got.items()):
+    for r in sorted(made.collect(), key=lambda r: r["id"]):
         features.append(np.frombuffer(r["features"], np.float32).reshape(-1, FEATURES).astype(np.float64))
         labels.append(np.frombuffer(r["label"], np.int32))
         chains.append(np.frombuffer(r["chain"], np.int32).reshape(-1, 2) + n)
