@@ -6,7 +6,10 @@ symbols lie in one flat array, each round finds every unit's best pair (a segmen
 minimum of pair ranks), merges it at its leftmost places at once, and compacts, until no
 unit has a pair left.  Places are merged together only if none of the pairs this makes
 ranks as well as the pair itself; else only the leftmost is, so that the result is that
-of merging one by one.  A character outside the vocabulary falls back to its bytes.
+of merging one by one.  A unit of more than ``_LONG`` characters (prose without spaces,
+coded data) has rounds of its own, which look at the places of the best pair and their
+neighbours only: its time grows with its merges, not with rounds times length.
+A character outside the vocabulary falls back to its bytes.
 
 The model is of the kind with identity normalisation, a dummy prefix and byte fallback;
 others are refused.
@@ -17,6 +20,7 @@ one is asked for); repeated rows and null ids are kept.  Only the named columns
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import numpy as np
@@ -28,6 +32,7 @@ from loomery.llm.util import map_batches
 
 SPACE = "▁"
 _NONE = np.int64(1) << 40
+_LONG = 2000
 #: Symbols of characters that are no piece: this plus the code point.
 _LOOSE = 1 << 22
 
@@ -150,10 +155,70 @@ class Pieces:
         keep = ~unsafe | first
         return place[keep], new[keep]
 
+    def merge_long(self, unit: str) -> np.ndarray:
+        """The symbols of one unit after all merges; a round visits only the places of its pair."""
+        sym = self.symbol[np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n, dtype=bool)
+        rank, made = np.full(n, _NONE), np.zeros(n, dtype=np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            """Rank the pairs that begin at these places and let them wait for their round."""
+            rank[at] = _NONE
+            at = at[after[at] < n]
+            rank[at], made[at] = self._pairs(sym[at], sym[after[at]])
+            at = at[rank[at] < _NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            own = rank[at]
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(at) else []
+            for r, places in zip(own[starts].tolist() if len(at) else [], np.split(at, starts[1:])):
+                if r not in waiting:
+                    heapq.heappush(heap, r)
+                waiting.setdefault(r, []).append(places)
+
+        look(np.arange(n))
+        while heap:
+            best = heapq.heappop(heap)
+            listed = np.unique(np.concatenate(waiting.pop(best)))
+            listed = listed[alive[listed] & (rank[listed] == best)]
+            if not len(listed):
+                continue
+            fresh = np.r_[True, after[listed[:-1]] != listed[1:]]
+            run = np.cumsum(fresh) - 1
+            place = listed[(np.arange(len(listed)) - np.flatnonzero(fresh)[run]) % 2 == 0]
+            new, second = made[place], after[place]
+            third, first = after[second], before[place]
+            left = sym[first]
+            touching = third[:-1] == place[1:]
+            left[1:] = np.where(touching, new[:-1], left[1:])
+            right_rank, _ = self._pairs(new, sym[np.minimum(third, n - 1)])
+            left_rank, _ = self._pairs(left, new)
+            ahead = ((third < n) & (right_rank <= best)) | ((first >= 0) & (left_rank <= best))
+            if ahead.any():  # what the first of these makes comes before the places behind it
+                count = int(ahead.argmax()) + 1
+                place, new, second, third = place[:count], new[:count], second[:count], third[:count]
+            sym[place] = new
+            alive[second] = False
+            after[place] = third
+            inside = third < n
+            before[third[inside]] = place[inside]
+            first = before[place]
+            look(np.unique(np.r_[place, first[first >= 0]]))
+            rest = listed[alive[listed] & (rank[listed] == best)]
+            if len(rest):
+                if best not in waiting:
+                    heapq.heappush(heap, best)
+                waiting.setdefault(best, []).append(rest)
+        return sym[alive]
+
     def encode_units(self, units: list[str]) -> list[list[int]]:
         """Ids of every unit (spaces already marked)."""
         out = []
-        for symbols in self.merge(units):
+        short = iter(self.merge([u for u in units if len(u) <= _LONG]))
+        for symbols in [self.merge_long(u) if len(u) > _LONG else next(short) for u in units]:
             if len(symbols) and symbols.max() < _LOOSE:
                 out.append(symbols.tolist())
                 continue
