@@ -88,7 +88,7 @@ def filter_urls(
     parts = parts or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = pages.select(key).schema[0].dataType.simpleString()
     rows = pages.select(F.col(key).alias("id"), F.col(url).alias("url")).select(
-        "id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64("url").alias("h")
+        "id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.xxhash64("url", "id").alias("h")
     )
     salted = F.concat_ws("\x01", "key", F.lpad(F.hex("h"), 16, "0"))
     rows = rows.withColumn("key", host_key(F.col("host"))).withColumn("place", salted).drop("h")
