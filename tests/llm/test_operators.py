@@ -345,6 +345,12 @@ def test_piece_rounds_equal_the_library(edge, nothing):
     for t in texts:
         ids = library.encode(t)
         assert own.encode(t) == ids and own.decode(ids) == library.decode(ids), t
+        unit = ("▁" + t).replace(" ", "▁")
+        if "\n" not in t and t:  # the long units' way, on short ones
+            assert own.merge_long(unit).tolist() == np.concatenate(own.merge([unit])).tolist(), t
+    letters = "".join(r.choice("etaoinshrdlu") for _ in range(40_000))
+    for t in (letters, "日本語の文章です" * 4000, "ab" * 5000 + "a" * 5001, "".join(r.choice(vocab).strip("▁") for _ in range(6000))):
+        assert own.encode(t) == library.encode(t)
     got = {}
     for row in pieces.encode_documents(edge, path).collect():
         got.setdefault(row["doc_id"], row)
@@ -446,13 +452,20 @@ def test_best_fit_decreasing_equals_the_plain_algorithm():
 
 
 def test_tokens_equal_the_tokenizer():
-    own = packing.Tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain = packing.Tokens(path), Tokenizer.from_file(path)
     r = random.Random(1)
     parts = ["a", "the", "in", " ", "  ", "\n", "\t", "é", "日本", "😀", "'s", "'ll", "<|endoftext|>", "12", "²", "Ⅷ", "%%%", "\x00", "\r\n", "\x1c", "\x85", "　", "א", "가", ".", ",", "١"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(3000)]
     for _ in range(2):  # cold and warm
         for t, body in zip(texts, own.ids(texts)):
-            assert np.frombuffer(body, "<u4").tolist() == own.model.encode(t, add_special_tokens=False).ids, t
+            assert np.frombuffer(body, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    assert 50256 in plain.encode("a <|endoftext|> b", add_special_tokens=False).ids
+    long = ["x7" * 200_000, "日本語の文" * 50_000, "a <|endoftext|>" + "b" * 1000]
+    for t, body in zip(long, own.ids(long)):
+        assert np.frombuffer(body, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
 def test_packing_is_whole_and_gapless(edge, nothing):
