@@ -47,3 +47,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
+
+
+def positive_mean(value: Column) -> Column:
+    """An aggregate: the mean of the values above 0, 0 where there is none."""
+    return F.coalesce(F.avg(F.when(value > 0, value)), F.lit(0.0))

@@ -126,3 +126,17 @@ def line_range(anchor: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(50), F.floor(F.length(text) / 3).cast("int"))
+
+
+def canonical_uri(scheme: Column, location: Column, revision: Column, subpath: Column, anchor: Column) -> Column:
+    """``repo:location#revision:subpath#anchor``, ``file:`` for relative paths, else ``scheme://location#anchor``.
+
+    Only a repository has a revision and a subpath; elsewhere they are an error.
+    """
+    some = lambda mark, part: F.when(F.coalesce(part, F.lit("")) != "", F.concat(F.lit(mark), part)).otherwise("")
+    repo = F.concat(F.lit("repo:"), location, some("#", revision), some(":", subpath))
+    plain = F.when((scheme == "file") & F.startswith(location, F.lit(".")), F.concat(F.lit("file:"), location))
+    plain = plain.otherwise(F.concat(scheme, F.lit("://"), location))
+    bad = (scheme != "repo") & (revision.isNotNull() | subpath.isNotNull())
+    base = F.when(scheme == "repo", repo).when(bad, F.raise_error(F.lit("only a repository has a revision and a subpath"))).otherwise(plain)
+    return F.concat(base, some("#", anchor))

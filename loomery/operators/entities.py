@@ -122,3 +122,36 @@ def checked_unique(rows: DataFrame, key: str = "id") -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy(key))
     bad = F.when(n > 1, F.raise_error(F.concat(F.lit("duplicate id: "), F.col(key).cast("string"))))
     return rows.withColumn("_bad", bad).where(F.col("_bad").isNull()).drop("_bad")
+
+
+def reference_candidates(bindings: DataFrame, rules: DataFrame, frames: DataFrame) -> DataFrame:
+    """Candidates taken from another active frame: (frame, fe, value).
+
+    ``bindings``: frame, fe, value; ``rules``: key ``frame.fe.frame_refs...``, ref_frame, ref_fe;
+    ``frames``: frame, name.  The key is parsed once, so rules meet bindings by equality; the other
+    frame's name is compared without regard to case.
+    """
+    parts = F.split("key", r"\.")
+    refs = rules.where(F.startswith(F.get(parts, F.lit(2)), F.lit("frame_refs"))).select(
+        F.get(parts, F.lit(0)).alias("frame"), F.get(parts, F.lit(1)).alias("fe"), F.lower("ref_frame").alias("_name"), F.col("ref_fe").alias("_fe")
+    )
+    there = frames.select(F.lower("name").alias("_name"), F.col("frame").alias("_frame"))
+    values = bindings.where("value is not null").select(F.col("frame").alias("_frame"), F.col("fe").alias("_fe"), "value")
+    own = bindings.select("frame", "fe").join(refs, ["frame", "fe"])
+    return own.join(there, "_name").join(values, ["_frame", "_fe"]).select("frame", "fe", "value")
+
+
+def assumptions(elements: DataFrame) -> DataFrame:
+    """``[frame.fe] text`` of every default assumption; those of an override stand in for the element's own.
+
+    ``elements``: frame, fe, assumptions (array), override (array or null).
+    """
+    rows = elements.select("frame", "fe", F.posexplode(F.coalesce("override", "assumptions")).alias("place", "text"))
+    return rows.select("frame", "fe", "place", F.concat(F.lit("["), "frame", F.lit("."), "fe", F.lit("] "), "text").alias("assumption"))
+
+
+def escalation(bindings: DataFrame, found: DataFrame) -> DataFrame:
+    """One JSON record a frame with its bindings and its gaps, in order of element."""
+    own = bindings.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("fe", "value", "status"))).alias("bindings"))
+    open_ = found.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("fe", "gap"))).alias("gaps"))
+    return own.join(open_, "frame", "left").select("frame", F.to_json(F.struct("frame", "bindings", F.coalesce("gaps", F.array()).alias("gaps"))).alias("record"))

@@ -190,3 +190,41 @@ def frame_index(annotations: DataFrame) -> DataFrame:
         F.max_by("confidence", worth).alias("confidence"),
         F.min_by("core", "pos").alias("core"), F.min_by("source", "pos").alias("source"),
     )
+
+
+def inverted_index(rows: DataFrame, key: str = "frame", item: str = "word", order: str = "pos") -> DataFrame:
+    """Per key its items in order, repeats kept."""
+    listed = F.array_sort(F.collect_list(F.struct(order, item)))
+    return rows.groupBy(key).agg(F.transform(listed, lambda x: x[item]).alias("items"))
+
+
+def related_pairs(names: DataFrame, relations: DataFrame) -> DataFrame:
+    """One direct relation a pair of named frames: source, target, relation, kind, direction; the first by ord.
+
+    ``names``: frame; ``relations``: type, sub, super, ord.  Seen from the frame whose name comes first.
+    """
+    known = names.select("frame").distinct()
+    both = relations.join(known.withColumnRenamed("frame", "sub"), "sub", "left_semi").join(known.withColumnRenamed("frame", "super"), "super", "left_semi")
+    pairs = both.where("sub <> super").select(
+        F.least("sub", "super").alias("source"), F.greatest("sub", "super").alias("target"), F.col("type").alias("relation"),
+        relation_kind(F.col("type")).alias("kind"),
+        F.when(F.col("super") < F.col("sub"), "parent_to_child").otherwise("child_to_parent").alias("direction"), "ord",
+    )
+    return pairs.groupBy("source", "target").agg(F.min_by(F.struct("relation", "kind", "direction"), "ord").alias("r")).select("source", "target", "r.*")
+
+
+def merge_selections(candidates: DataFrame, selections: DataFrame, misses: DataFrame, supplements: DataFrame) -> DataFrame:
+    """Words with the frame chosen for them: selected among candidates, else inferred, else none.
+
+    ``candidates`` and ``misses``: word, position; ``selections``: ord, word, frame, confidence, of
+    which a word's last counts; ``supplements``: word, frame, confidence.  A candidate that was not
+    selected is left out, a miss is not.
+    """
+    last = selections.groupBy("word").agg(F.max_by(F.struct("frame", "confidence"), "ord").alias("s")).select("word", "s.*")
+    chosen = candidates.join(last, "word").select("word", "position", "frame", "confidence", F.lit("lexicon").alias("source"))
+    inferred = misses.join(supplements, "word", "left")
+    known = F.col("confidence").isNotNull()
+    inferred = inferred.select(
+        "word", "position", "frame", F.coalesce("confidence", F.lit("none")).alias("confidence"), F.when(known, "inferred").otherwise("none").alias("source")
+    )
+    return chosen.unionByName(inferred)
