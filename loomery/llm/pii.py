@@ -8,14 +8,17 @@ letters and digits, or the same last seven digits or more) share a skip potentia
 whose digits, seven or more, are the last ones of a card or phone number that a pattern found
 is tied to that number itself by a fixed, strong potential, so that a number written once in
 full and again, however often, without its prefix gets one label.  Loopy belief propagation
-runs over each document's graph; words in a span found by a pattern are fixed.
+runs over each document's graph; words in a span found by a pattern are fixed.  Words that no
+pattern labels and that are equal share one word's evidence between them: a number does not
+become a card by being repeated.
 
 The weights are fitted by pseudo-likelihood to the patterns' own labels (a word that is tied
 to a labelled one but has no label counts as unknown) over at most ``sample`` documents that
 have a digit or ``@``, in the order of a hash of their id; of rows with one id the one with the
 least text teaches.  Words with a skip partner teach a second time with their own shape and
-neighbours hidden, so that the skip weights learn what a partner's label alone says.  The
-model has a few dozen weights, whatever the input.
+neighbours hidden, so that the skip weight learns what a partner's label alone says.  The
+skip potential is one weight for equal labels.  The model has a few dozen weights, whatever
+the input.
 
 Defined results: a null or empty text has no spans; with nothing to learn from no spans
 are added; repeated rows and null ids are kept.  Spans count code points, end exclusive.
@@ -119,6 +122,7 @@ class Graph:
     chain: list[tuple[int, int]] = field(default_factory=list)
     skip: list[tuple[int, int]] = field(default_factory=list)
     repeat: list[tuple[int, int]] = field(default_factory=list)  # a word of a found number, a word that repeats it
+    share: list[float] = field(default_factory=list)  # of its word's evidence, where that stands several times
 
     def add(self, doc: int, text: str, base: list[tuple[int, int, int]]) -> None:
         known: dict[str, int] = {}
@@ -129,6 +133,8 @@ class Graph:
                 for n in range(7, len(whole) + 1):
                     numbers.setdefault(whole[-n:], span)
         nodes: dict[tuple[int, int, int], int] = {}
+        equal: dict[str, list[int]] = {}
+        self.share += [1.0] * (len(self.features) - len(self.share))
         again: list[tuple[int, tuple[int, int, int]]] = []
         before, ahead = None, 0
         for number, m in enumerate(_WORD.finditer(text)):
@@ -162,11 +168,17 @@ class Graph:
                 if key in known and (known[key], node) not in self.skip[-2:]:
                     self.skip.append((known[key], node))
                 known[key] = node
+            self.share.append(1.0)
             if own:
                 nodes[own] = node
-            elif digits in numbers:
-                again.append((node, numbers[digits]))
+            else:
+                equal.setdefault(plain, []).append(node)
+                if digits in numbers:
+                    again.append((node, numbers[digits]))
         self.repeat += [(nodes[span], node) for node, span in again if span in nodes]
+        for group in equal.values():
+            for node in group:
+                self.share[node] = 1.0 / len(group)
 
 
 @dataclass
@@ -186,6 +198,8 @@ class SkipChain:
         n = len(graph.features)
         fixed = np.array(graph.fixed)
         unary = np.array(graph.features, dtype=np.float64).reshape(n, FEATURES) @ self.words
+        if graph.share:
+            unary *= np.array(graph.share)[:, None]
         held = np.flatnonzero(fixed >= 0)
         unary[held] = -1e9  # whatever any number of neighbours say
         unary[held, fixed[held]] = 0.0
@@ -250,7 +264,8 @@ def fit(features: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.nda
         p = np.exp(score)
         p /= p.sum(axis=1, keepdims=True)
         error = (one - p) * known[:, None] / max(1, known.sum())
-        skip_ = far.T @ error
+        # One weight for agreement, whatever the label: a tie carries labels, it does not prefer any.
+        skip_ = np.eye(_LABELS) * np.trace(far.T @ error) / _LABELS
         grads = (
             features.T @ error - 1e-4 * model.words,
             before.T @ error + error.T @ after - 1e-4 * model.chain,
