@@ -104,6 +104,20 @@ def test_skip_weights_are_learned_from_partners_alone(spark):
         assert model.skip[kind, kind] > max(model.skip[kind, other] for other in range(len(pii.KINDS) + 1) if other != kind)
 
 
+def test_repeats_of_an_unlabelled_number_are_no_evidence():
+    """The probabilities of a number that no pattern knows do not grow with its copies."""
+    r = np.random.default_rng(2)
+    skip = 3 * np.eye(len(pii.KINDS) + 1)
+    model = pii.SkipChain(r.normal(0, 0.3, (pii.FEATURES, len(pii.KINDS) + 1)), np.zeros_like(skip), 40 * skip)
+    got = []
+    for copies in (1, 2, 9):
+        graph, text = pii.Graph(), "so 5927243074273352 went on " * copies
+        assert pii.base_spans(text) == []
+        graph.add(0, text, [])
+        got.append(model.marginals(graph, rounds=60)[0])
+    assert np.abs(got[0] - got[1]).max() < 1e-3 and np.abs(got[0] - got[2]).max() < 1e-3
+
+
 def test_training_takes_one_row_an_id(spark):
     rows = [(7, f"call +1 (314) 555-{i:04d} now") for i in range(3000)] + [(8, "ip 10.2.3.4 here 5")]
     model = pii.train(spark.createDataFrame(rows, "doc_id long, text string"), sample=5)
