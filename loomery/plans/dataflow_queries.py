@@ -14,18 +14,30 @@ WAITING = "VALUES ('click', 'settle'), ('purchase', 'settle'), ('signup', 'welco
 READS = """VALUES ('rank', 'click', true), ('rank', 'view', false), ('settle', 'purchase', true), ('settle', 'signup', true),
   ('repair', 'error', false)"""
 NOW = 1704844800
+#: Events since then are the writes of a step, new cache entries and pending writes; all before are what stood.
+SINCE = "2024-01-30"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("user_id").alias("thread"), F.col("event_type").alias("channel"), "event_id", (F.col("event_id") % 100).alias("value"))
+    return e.select(
+        F.col("user_id").alias("thread"), F.col("event_type").alias("channel"), "event_id", (F.col("event_id") % 100).alias("value"),
+        (F.col("ts") >= F.lit(SINCE).cast("timestamp")).alias("late"), F.dayofmonth("ts").alias("day"),
+    )
+
+
+def _latest(events: DataFrame) -> DataFrame:
+    return events.groupBy("thread", "channel").agg(F.max_by("value", "event_id").alias("value"), F.count(F.lit(1)).alias("version"))
+
+
+def _daily(events: DataFrame) -> DataFrame:
+    """A thread a user and day."""
+    return events.withColumn("thread", F.col("thread") * 100 + F.col("day"))
 
 
 def _state_and_writes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Even events made the state before, odd ones are the writes of the step."""
     e = _events(spark, sf_dir)
-    old = e.where("event_id % 2 = 0").groupBy("thread", "channel").agg(F.max_by("value", "event_id").alias("value"), F.count(F.lit(1)).alias("version"))
-    return old, e.where("event_id % 2 = 1 and value >= 50").withColumnRenamed("event_id", "path")
+    return _latest(e.where("not late")), e.where("late").withColumnRenamed("event_id", "path")
 
 
 def step_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,14 +54,13 @@ def step_after_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _events(spark, sf_dir).where("value < 20").select("thread", F.col("channel").alias("node"))
+    done = _daily(_events(spark, sf_dir)).select("thread", F.col("channel").alias("node"))
     listed = lambda sql: spark.sql(f"SELECT * FROM {sql} AS t(source, target)")
     return dataflow.follow_edges(done, listed(EDGES), listed(WAITING))
 
 
 def branch_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, _ = _state_and_writes(spark, sf_dir)
-    routed = dataflow.branch(old, [(F.col("value") >= 90, "review"), ((F.col("channel") == "error") & (F.col("value") > 10), "repair")])
+    routed = dataflow.branch(_latest(_events(spark, sf_dir)), [(F.col("value") >= 90, "review"), ((F.col("channel") == "error") & (F.col("value") > 10), "repair")])
     return routed.groupBy("channel", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
@@ -60,9 +71,8 @@ def send_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, _ = _state_and_writes(spark, sf_dir)
     reads = spark.sql(f"SELECT * FROM {READS} AS t(node, channel, needed)")
-    made = dataflow.node_inputs(old.where("value % 4 > 0"), reads)
+    made = dataflow.node_inputs(_latest(_daily(_events(spark, sf_dir))), reads)
     entries = F.transform(F.array_sort(F.map_entries("input")), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string")))
     return made.select("thread", "node", F.array_join(entries, ",").alias("input"))
 
@@ -70,7 +80,7 @@ def node_input(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interrupt_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     versions = e.groupBy("thread", "channel").agg(F.max("event_id").alias("version"))
-    seen = e.where("value < 60").groupBy("thread", "channel").agg(F.max("event_id").alias("seen_version"))
+    seen = e.where("not late").groupBy("thread", "channel").agg(F.max("event_id").alias("seen_version"))
     tasks = e.select("thread", F.col("channel").alias("node")).distinct()
     return dataflow.interrupts(tasks, versions.where("channel = 'error'"), seen, ("purchase", "signup"))
 
@@ -79,7 +89,7 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks (a user's channel) to run again, and the writes replayed instead of the others."""
     e = _events(spark, sf_dir).withColumn("task_id", F.concat_ws(":", F.col("thread").cast("string"), "channel"))
     tasks = e.select("task_id", "channel").distinct()
-    pending = e.where("value > 90").select("task_id", "value")
+    pending = e.where("late").select("task_id", "value")
     todo, replay = dataflow.resumed(tasks, pending)
     left = todo.groupBy("channel").agg(F.count(F.lit(1)).alias("to_run"))
     done = replay.join(tasks, "task_id").groupBy("channel").agg(F.count(F.lit(1)).alias("replayed"), F.sum("value").alias("total"))
@@ -123,7 +133,7 @@ def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).where("event_id % 4 > 0")
+    e = _events(spark, sf_dir).where("not late")
     own = e.groupBy(F.col("channel").alias("namespace"), F.col("thread").cast("string").alias("key")).agg(F.max("event_id").alias("value"))
     return own.withColumn("expires", F.when(F.col("value") % 3 > 0, F.lit(NOW) + (F.col("value") % 100 - 50).cast("double")))
 
@@ -134,8 +144,8 @@ def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cache_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One namespace cleared, then the events of the last quarter set, some with a time to live."""
-    e = _events(spark, sf_dir).where("event_id % 4 = 0")
+    """One namespace cleared, then late events set, some with a time to live."""
+    e = _events(spark, sf_dir).where("late")
     new = e.groupBy(F.col("channel").alias("namespace"), F.col("thread").cast("string").alias("key")).agg(F.max("event_id").alias("value"))
     new = new.withColumn("ttl", F.when(F.col("value") % 8 == 0, F.lit(60.0)))
     return dataflow.cache_set(dataflow.cache_clear(_cache(spark, sf_dir), ("view",)), new, NOW)
@@ -177,12 +187,15 @@ QUERIES = {
     )
 }
 
-_E = "e AS (SELECT user_id AS thread, event_type AS channel, event_id, event_id % 100 AS value FROM events)"
+_E = f"""e AS (
+  SELECT user_id AS thread, event_type AS channel, event_id, event_id % 100 AS value, ts >= TIMESTAMP '{SINCE}' AS late, day(ts) AS day FROM events
+)"""
+_LATEST = "arg_max(value, event_id) AS value, count(*) AS version"
 _OLD = f"""{_E}, old AS (
-  SELECT thread, channel, arg_max(value, event_id) AS value, count(*) AS version FROM e WHERE event_id % 2 = 0 GROUP BY 1, 2
+  SELECT thread, channel, {_LATEST} FROM e WHERE NOT late GROUP BY 1, 2
 )"""
 _STEP = f"""{_OLD}, new AS (
-  SELECT thread, channel, sum(value)::BIGINT AS s, max(value) AS m, arg_max(value, event_id) AS l FROM e WHERE event_id % 2 = 1 AND value >= 50 GROUP BY 1, 2
+  SELECT thread, channel, sum(value)::BIGINT AS s, max(value) AS m, arg_max(value, event_id) AS l FROM e WHERE late GROUP BY 1, 2
 ), top AS (SELECT thread, max(version) AS top FROM old GROUP BY 1), made AS (
   SELECT coalesce(o.thread, n.thread) AS thread, coalesce(o.channel, n.channel) AS channel,
     CASE WHEN n.l IS NULL THEN CASE WHEN o.channel <> 'error' THEN o.value END
@@ -194,7 +207,7 @@ _LOG = f"""{_E}, log AS (
   SELECT thread % 20 AS thread, event_id // 500 AS step, channel, max(event_id) % 3 AS value FROM e GROUP BY 1, 2, 3
 )"""
 _CACHE = f"""{_E}, stored AS (
-  SELECT channel AS namespace, thread::VARCHAR AS key, max(event_id) AS value FROM e WHERE event_id % 4 > 0 GROUP BY 1, 2
+  SELECT channel AS namespace, thread::VARCHAR AS key, max(event_id) AS value FROM e WHERE NOT late GROUP BY 1, 2
 ), cache AS (SELECT *, CASE WHEN value % 3 > 0 THEN {NOW} + (value % 100 - 50)::DOUBLE END AS expires FROM stored)"""
 _LOOKUP = f"""{_CACHE}, live AS (SELECT * FROM cache WHERE expires IS NULL OR {NOW} < expires),
 looked AS (
@@ -207,26 +220,27 @@ SQL = {
     "step_saved": f"WITH {_STEP} SELECT * FROM made WHERE channel <> 'signup' AND value IS NOT NULL",
     "step_after_finish": f"""WITH {_E} SELECT thread, channel, arg_max(value, event_id) AS value FROM e
 WHERE thread IN (SELECT thread FROM e WHERE channel = 'purchase' AND value > 80) GROUP BY 1, 2""",
-    "edge_targets": f"""WITH {_E}, done AS (SELECT DISTINCT thread, channel AS node FROM e WHERE value < 20),
+    "edge_targets": f"""WITH {_E}, done AS (SELECT DISTINCT thread * 100 + day AS thread, channel AS node FROM e),
 edges AS (SELECT * FROM ({EDGES}) AS t(source, target)), waiting AS (SELECT * FROM ({WAITING}) AS t(source, target))
 SELECT thread, target AS node FROM done JOIN edges ON node = source UNION
 SELECT thread, target FROM done JOIN waiting w ON node = source GROUP BY thread, target HAVING count(*) = (SELECT count(*) FROM waiting x WHERE x.target = w.target)""",
-    "branch_routes": f"""WITH {_OLD} SELECT channel, CASE WHEN value >= 90 THEN 'review' WHEN channel = 'error' AND value > 10 THEN 'repair' ELSE 'end' END AS node,
+    "branch_routes": f"""WITH {_E}, old AS (SELECT thread, channel, {_LATEST} FROM e GROUP BY 1, 2) SELECT channel, CASE WHEN value >= 90 THEN 'review' WHEN channel = 'error' AND value > 10 THEN 'repair' ELSE 'end' END AS node,
   count(*) AS n, sum(value)::BIGINT AS total FROM old GROUP BY 1, 2""",
     "send_fanout": f"""WITH {_E}, s AS (SELECT event_id AS thread, event_id % 20 AS step, unnest(range(1, value % 3 + 2)) AS input FROM e)
 SELECT thread, step, (input - 1)::INT AS place, input, substr(sha256(thread || '|' || step || '|worker|' || (input - 1)), 1, 16) AS task_id FROM s""",
-    "node_input": f"""WITH {_OLD}, reads AS (SELECT * FROM ({READS}) AS t(node, channel, needed)), filled AS (SELECT * FROM old WHERE value % 4 > 0),
+    "node_input": f"""WITH {_E}, reads AS (SELECT * FROM ({READS}) AS t(node, channel, needed)),
+filled AS (SELECT thread * 100 + day AS thread, channel, {_LATEST} FROM e GROUP BY 1, 2),
 asked AS (SELECT t.thread, node, r.channel, needed, value FROM (SELECT DISTINCT thread FROM filled) t CROSS JOIN reads r
   LEFT JOIN filled f ON f.thread = t.thread AND f.channel = r.channel)
 SELECT thread, node, string_agg(channel || '=' || value, ',' ORDER BY channel) FILTER (value IS NOT NULL) AS input FROM asked
 GROUP BY 1, 2 HAVING bool_and(NOT needed OR value IS NOT NULL) AND count(value) > 0""",
     "interrupt_tasks": f"""WITH {_E}, v AS (SELECT thread, max(event_id) AS version FROM e WHERE channel = 'error' GROUP BY 1),
-s AS (SELECT thread, max(event_id) AS seen FROM e WHERE channel = 'error' AND value < 60 GROUP BY 1)
+s AS (SELECT thread, max(event_id) AS seen FROM e WHERE channel = 'error' AND NOT late GROUP BY 1)
 SELECT DISTINCT thread, channel AS node FROM e WHERE channel IN ('purchase', 'signup')
   AND thread IN (SELECT v.thread FROM v LEFT JOIN s USING (thread) WHERE version > coalesce(seen, 0))""",
-    "resume_pending": f"""WITH {_E}, p AS (SELECT DISTINCT thread, channel FROM e WHERE value > 90), c AS (SELECT DISTINCT channel FROM e),
+    "resume_pending": f"""WITH {_E}, p AS (SELECT DISTINCT thread, channel FROM e WHERE late), c AS (SELECT DISTINCT channel FROM e),
 t AS (SELECT channel, count(*) AS to_run FROM (SELECT DISTINCT thread, channel FROM e EXCEPT SELECT * FROM p) GROUP BY 1),
-r AS (SELECT channel, count(*) AS replayed, sum(value)::BIGINT AS total FROM e WHERE value > 90 GROUP BY 1)
+r AS (SELECT channel, count(*) AS replayed, sum(value)::BIGINT AS total FROM e WHERE late GROUP BY 1)
 SELECT channel, coalesce(to_run, 0) AS to_run, coalesce(replayed, 0) AS replayed, coalesce(total, 0) AS total
 FROM c LEFT JOIN t USING (channel) LEFT JOIN r USING (channel) WHERE to_run IS NOT NULL OR replayed IS NOT NULL""",
     "fork_state": f"""WITH {_E}, s AS (SELECT thread, event_id // 50 AS checkpoint_id, channel, arg_max(value, event_id) AS value, count(*) AS version FROM e GROUP BY 1, 2, 3),
@@ -247,7 +261,7 @@ FROM (SELECT event_id, unnest(range(1, value % 10 + 2)) AS a FROM e WHERE channe
     "cache_lookup": f"WITH {_LOOKUP} SELECT * FROM looked",
     "cache_hits": f"WITH {_LOOKUP} SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(count(*) FILTER (hit) / count(*), 4) AS hit_rate FROM looked",
     "cache_rewrite": f"""WITH {_CACHE}, new AS (
-  SELECT channel AS namespace, thread::VARCHAR AS key, max(event_id) AS value FROM e WHERE event_id % 4 = 0 GROUP BY 1, 2
+  SELECT channel AS namespace, thread::VARCHAR AS key, max(event_id) AS value FROM e WHERE late GROUP BY 1, 2
 ) SELECT namespace, key, value, CASE WHEN value % 8 = 0 THEN {NOW} + 60.0::DOUBLE END AS expires FROM new UNION ALL
 SELECT namespace, key, value, expires FROM cache WHERE namespace <> 'view' AND (expires IS NULL OR {NOW} < expires)
   AND (namespace, key) NOT IN (SELECT (namespace, key) FROM new)""",
