@@ -140,3 +140,41 @@ def canonical_uri(scheme: Column, location: Column, revision: Column, subpath: C
     bad = (scheme != "repo") & (revision.isNotNull() | subpath.isNotNull())
     base = F.when(scheme == "repo", repo).when(bad, F.raise_error(F.lit("only a repository has a revision and a subpath"))).otherwise(plain)
     return F.concat(base, some("#", anchor))
+
+
+def filled(template: str, **parts: Column) -> Column:
+    """A template with ``{name}`` replaced by columns (null: nothing); one name after the other, as given."""
+    out = F.lit(template)
+    for name, part in parts.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(part.cast("string"), F.lit("")))
+    return out
+
+
+def _hyphened(digits: Column) -> Column:
+    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    return F.concat_ws("-", *[F.substring(digits, at, size) for at, size in cuts])
+
+
+def _with_variant(digit: Column) -> Column:
+    """A hexadecimal digit whose two high bits are 10."""
+    return F.lower(F.hex(F.conv(digit, 16, 10).cast("long").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+
+
+def name_id(namespace: str, name: Column) -> Column:
+    """A version 5 UUID of a name in a namespace (itself a UUID)."""
+    space = F.unhex(F.lit(namespace.replace("-", "")))
+    digits = F.sha1(F.concat(space, F.encode(name, "UTF-8")))
+    part = lambda at, size: F.substring(digits, at, size)
+    return _hyphened(F.concat(part(1, 12), F.lit("5"), part(14, 3), _with_variant(part(17, 1)), part(18, 15)))
+
+
+def time_id(micros: Column, sequence: Column, node: Column) -> Column:
+    """A version 6 UUID: ids sort by their time (microseconds of the Unix epoch), then by a sequence number of 14 bits.
+
+    ``node`` fills the last 48 bits.
+    """
+    # Fixed value: tenths of microseconds from the calendar's reform to the Unix epoch.
+    ticks = F.lpad(F.lower(F.hex(micros.cast("long") * 10 + F.lit(0x01B21DD213814000))), 15, "0")
+    marked = sequence.cast("long").bitwiseAND(F.lit(0x3FFF)).bitwiseOR(F.lit(0x8000))
+    last = F.lpad(F.lower(F.hex(node.cast("long").bitwiseAND(F.lit(0xFFFFFFFFFFFF)))), 12, "0")
+    return _hyphened(F.concat(F.substring(ticks, 1, 12), F.lit("6"), F.substring(ticks, 13, 3), F.lower(F.hex(marked)), last))

@@ -100,3 +100,9 @@ def merge_ui(log: DataFrame, by: str = "thread_id") -> DataFrame:
     keys = live.select(by, "id", "ord", F.explode("props").alias("key", "value"))
     last = keys.groupBy(by, "id", "key").agg(F.max_by("value", "ord").alias("value"))
     return last.groupBy(by, "id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("props"))
+
+
+def used_tools(turns: DataFrame, by: str = "conv_id") -> DataFrame:
+    """(by, tools): the distinct tool names over assistant turns (by, role, calls array<string>), in order of name."""
+    names = turns.where("role = 'assistant'").select(by, F.explode("calls").alias("_name")).distinct()
+    return names.groupBy(by).agg(F.array_sort(F.collect_list("_name")).alias("tools"))

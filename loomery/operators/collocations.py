@@ -292,3 +292,14 @@ def templates(trigrams: DataFrame, pairs: DataFrame, uni: DataFrame, p: Params =
         .withColumn("passed", F.col("raw") >= p.template_information)
         .drop("raw")
     )
+
+
+def word_offsets(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
+    """(doc_id, place, word, start, end) of the Latin words with apostrophes; offsets in characters, end exclusive.
+
+    A text is cut into runs that are words or not; a word starts where the runs before it end.
+    """
+    runs = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.regexp_extract_all(body, F.lit("[A-Za-z']+|[^A-Za-z']+"), F.lit(0))).alias("place", "word"))
+    before = Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    rows = runs.withColumn("start", F.coalesce(F.sum(F.length("word")).over(before), F.lit(0)))
+    return rows.where(F.col("word").rlike("^[A-Za-z']")).withColumn("end", F.col("start") + F.length("word"))

@@ -175,3 +175,52 @@ def cache_statistics(lookups: DataFrame) -> DataFrame:
     """One row: hits, misses, hit_rate."""
     hits, all_ = F.count_if("hit"), F.count(F.lit(1))
     return lookups.agg(hits.alias("hits"), (all_ - hits).alias("misses"), F.coalesce(F.round(hits / F.nullif(all_, F.lit(0)), 4), F.lit(0.0)).alias("hit_rate"))
+
+
+def local_reads(state: DataFrame, tasks: DataFrame, writes: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """What each task (thread, node) reads before its step ends: the state with its own writes (thread, node, path, channel, value)."""
+    own = F.struct("thread", "node").alias("thread")
+    seen = tasks.select("thread", "node").distinct().join(state, "thread").select(own, "channel", "value", "version")
+    mine = writes.select(own, "path", "channel", "value")
+    # Nothing is gone before the step ends.
+    lasting = {c: "any" if kind == "ephemeral" else kind for c, kind in kinds.items()}
+    made = apply_writes(seen, mine, lasting, strict=False)
+    return made.select("thread.thread", "thread.node", "channel", "value")
+
+
+# The channels that commands write.
+GOTO, RESUME = "branch:to:", "__resume__"
+
+
+def command_writes(commands: DataFrame) -> DataFrame:
+    """Commands (thread, goto array, resume, update map; any may be null) as writes (thread, path, channel, value), texts all."""
+    entry = lambda channel, value: F.struct(channel.alias("channel"), value.cast("string").alias("value"))
+    goto = F.transform(F.coalesce("goto", F.array().cast("array<string>")), lambda n: entry(F.concat(F.lit(GOTO), n), F.lit("__start__")))
+    resume = F.filter(F.array(entry(F.lit(RESUME), F.col("resume"))), lambda x: x["value"].isNotNull())
+    given = F.coalesce(F.map_entries("update"), F.array().cast("array<struct<key:string,value:string>>"))
+    update = F.transform(given, lambda e: entry(e["key"], e["value"]))
+    return commands.select("thread", F.posexplode(F.concat(goto, resume, update)).alias("path", "w")).select("thread", "path", "w.*")
+
+
+def call_tools(calls: DataFrame, tools: dict) -> DataFrame:
+    """Tool calls (call_id, name, input) with output and status: each by the function of its name, batch by batch.
+
+    An unknown name or a failing call is an output of status ``error``, not a failed task.
+    """
+
+    def run(batches):
+        for batch in batches:
+            outputs, states = [], []
+            for name, given in zip(batch["name"], batch["input"]):
+                try:
+                    if name not in tools:
+                        raise KeyError(f"no tool of the name {name}")
+                    outputs.append(str(tools[name](given)))
+                    states.append("success")
+                except Exception as failure:  # noqa: BLE001  any failure of a user's function is its output
+                    outputs.append(f"{type(failure).__name__}: {failure}")
+                    states.append("error")
+            yield batch.assign(output=outputs, status=states)
+
+    kind = calls.schema["call_id"].dataType.simpleString()
+    return calls.select("call_id", "name", "input").mapInPandas(run, f"call_id {kind}, name string, input string, output string, status string")

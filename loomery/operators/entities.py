@@ -131,10 +131,7 @@ def reference_candidates(bindings: DataFrame, rules: DataFrame, frames: DataFram
     ``frames``: frame, name.  The key is parsed once, so rules meet bindings by equality; the other
     frame's name is compared without regard to case.
     """
-    parts = F.split("key", r"\.")
-    refs = rules.where(F.startswith(F.get(parts, F.lit(2)), F.lit("frame_refs"))).select(
-        F.get(parts, F.lit(0)).alias("frame"), F.get(parts, F.lit(1)).alias("fe"), F.lower("ref_frame").alias("_name"), F.col("ref_fe").alias("_fe")
-    )
+    refs = parsed_rules(rules, "frame_refs").select("frame", "fe", F.lower("ref_frame").alias("_name"), F.col("ref_fe").alias("_fe"))
     there = frames.select(F.lower("name").alias("_name"), F.col("frame").alias("_frame"))
     values = bindings.where("value is not null").select(F.col("frame").alias("_frame"), F.col("fe").alias("_fe"), "value")
     own = bindings.select("frame", "fe").join(refs, ["frame", "fe"])
@@ -155,3 +152,35 @@ def escalation(bindings: DataFrame, found: DataFrame) -> DataFrame:
     own = bindings.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("fe", "value", "status"))).alias("bindings"))
     open_ = found.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("fe", "gap"))).alias("gaps"))
     return own.join(open_, "frame", "left").select("frame", F.to_json(F.struct("frame", "bindings", F.coalesce("gaps", F.array()).alias("gaps"))).alias("record"))
+
+
+def derived_qualia(rules: DataFrame, context: DataFrame, elements: DataFrame, things: DataFrame) -> DataFrame:
+    """Candidates (frame, fe, value) out of the qualia of entities that a rule's path names.
+
+    ``rules``: frame, fe, kind, ref, role.  By kind, ``ref`` is a ``placeholder`` (``context``: name,
+    id), an entity ``type``, or another ``element`` of the frame, whose value is an entity's id
+    (``elements``: frame, fe, value).  ``things``: id, type, qualia map<string, array<string>>.
+    """
+    asked = rules.select("frame", "fe", "kind", "ref", "role")
+    placed = asked.where("kind = 'placeholder'").join(context.select(F.col("name").alias("ref"), "id"), "ref")
+    typed = asked.where("kind = 'type'").join(things.select(F.col("type").alias("ref"), "id"), "ref")
+    beside = elements.where("value is not null").select("frame", F.col("fe").alias("ref"), F.col("value").alias("id"))
+    other = asked.where("kind = 'element'").join(beside, ["frame", "ref"])
+    named = [rows.select("frame", "fe", "role", "id") for rows in (placed, typed, other)]
+    found = reduce(DataFrame.unionByName, named).join(things.select("id", "qualia"), "id")
+    return found.select("frame", "fe", F.explode(F.try_element_at("qualia", F.col("role"))).alias("value"))
+
+
+def activated(actions: DataFrame, roles: DataFrame, frames: DataFrame) -> DataFrame:
+    """(request, frame, definition) of the frames that requested actions stand for: action to frame name to frame.
+
+    ``actions``: request, action; ``roles``: action, name; ``frames``: frame, name, definition.
+    """
+    return actions.join(roles, "action").join(frames, "name").select("request", "frame", "definition")
+
+
+def parsed_rules(rules: DataFrame, kind: str) -> DataFrame:
+    """Rules of one kind, their key ``frame.fe.kind...`` parsed once into frame and fe: prefixes become equalities."""
+    parts = F.split("key", r"\.")
+    mine = rules.where(F.startswith(F.get(parts, F.lit(2)), F.lit(kind)))
+    return mine.select(F.get(parts, F.lit(0)).alias("frame"), F.get(parts, F.lit(1)).alias("fe"), *[c for c in rules.columns if c not in ("key", "frame", "fe")])

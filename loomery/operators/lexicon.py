@@ -228,3 +228,14 @@ def merge_selections(candidates: DataFrame, selections: DataFrame, misses: DataF
         "word", "position", "frame", F.coalesce("confidence", F.lit("none")).alias("confidence"), F.when(known, "inferred").otherwise("none").alias("source")
     )
     return chosen.unionByName(inferred)
+
+
+# Fixed values.
+CONFIDENCES, ORIGINS = ("high", "medium", "low", "none"), ("lu", "llm", "none")
+
+
+def distribution(rows: DataFrame, by: str = "fragment_id") -> DataFrame:
+    """How many of the rows (by, confidence, source) have each confidence and source; one partial sum a group."""
+    counts = [F.count_if(F.coalesce("confidence", F.lit("none")) == x).alias(f"confidence_{x}") for x in CONFIDENCES]
+    counts += [F.count_if(F.coalesce("source", F.lit("none")) == x).alias(f"source_{x}") for x in ORIGINS]
+    return rows.groupBy(by).agg(*counts)

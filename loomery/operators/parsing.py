@@ -26,9 +26,14 @@ SENTENCE = ("doc_id", "sent_id")
 def tagged(tokens: DataFrame, terms: dict[str, str] | None = None) -> DataFrame:
     """Adds pos: a domain term's own tag, else the closed class, else by ending, else noun."""
     listed = {w: tag for tag, words in CLOSED.items() for w in words} | (terms or {})
-    known = F.create_map(*[F.lit(x) for kv in listed.items() for x in kv])
-    ending = F.when(F.col("word").rlike("ly$"), "d").when(F.col("word").rlike("(ing|ed|ise|ize)$"), "v").otherwise("n")
-    return tokens.withColumn("pos", F.coalesce(F.try_element_at(known, F.lower("word")), ending))
+    by_tag: dict[str, list[str]] = {}
+    for word, tag in listed.items():
+        by_tag.setdefault(tag, []).append(word)
+    # A hashed set a tag: a literal map would be searched from its start for every word.
+    pos = F.when(F.col("word").rlike("ly$"), "d").when(F.col("word").rlike("(ing|ed|ise|ize)$"), "v").otherwise("n")
+    for tag, own in by_tag.items():
+        pos = F.when(F.lower("word").isin(*own), tag).otherwise(pos)
+    return tokens.withColumn("pos", pos)
 
 
 def is_verb(pos: str = "pos") -> Column:
@@ -59,30 +64,36 @@ def dependency_edges(tokens: DataFrame, confidence: float = 0.7) -> DataFrame:
     and hang on the next verb (prep).  Other verbs are barriers for subjects and objects.
     Near words score higher.
     """
-    verb, noun = is_verb(), is_noun()
+    verb, noun, person = is_verb(), is_noun(), F.col("pos").startswith("r")
+    prep, adverb = F.col("pos").startswith("p"), F.col("pos").startswith("d")
     none = F.lit(False)
-    rows = tokens.select(
+    before = Window.partitionBy(*SENTENCE).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    # A noun is a preposition's own if one stands before it with no other noun between.
+    marked = tokens.select(*SENTENCE, "idx", "pos", (noun & nearest(prep, noun, before=True).isNotNull()).alias("governed"))
+    rows = marked.select(
         *SENTENCE, "idx", "pos",
-        nearest(noun | F.col("pos").startswith("r"), verb, before=True).alias("subject"),
+        nearest(noun | person, verb, before=True).alias("subject"),
+        F.last(F.when(noun | person, F.col("governed")), ignorenulls=True).over(before).alias("held"),
         nearest(noun, verb, before=False).alias("object"),
         F.coalesce(nearest(verb, none, before=False), nearest(verb, none, before=True)).alias("verb"),
         nearest(noun, none, before=False).alias("pobj"),
         nearest(verb, none, before=False).alias("next_verb"),
     )
 
-    def edge(where: Column, head: str, dep: str, rel: str, near: int, high: float, low: float) -> DataFrame:
+    def edge(where: Column, head: str, dep: str, rel: str, near: int, high: float, low: float) -> Column:
         score = F.when(F.abs(F.col(head) - F.col(dep)) <= near, high).otherwise(low)
-        kept = rows.where(where & F.col(head).isNotNull() & F.col(dep).isNotNull())
-        return kept.select(*SENTENCE, F.col(head).alias("head"), F.col(dep).alias("dep"), F.lit(rel).alias("rel"), score.alias("score"))
-
-    prep, adverb = F.col("pos").startswith("p"), F.col("pos").startswith("d")
-    out = edge(adverb, "verb", "idx", "advmod", 1, 0.8, 0.65)
-    out = out.unionByName(edge(prep, "idx", "pobj", "pobj", 2, 0.7, 0.55))
-    out = out.unionByName(edge(prep & F.col("pobj").isNotNull(), "next_verb", "idx", "prep", 2, 0.7, 0.55))
-    governed = rows.where(prep).select(*SENTENCE, F.col("pobj").alias("subject")).where("subject is not null").distinct()
-    subjects = edge(verb, "idx", "subject", "nsubj", 1, 0.8, 0.65)
-    subjects = subjects.join(governed.withColumnRenamed("subject", "dep"), [*SENTENCE, "dep"], "left_anti")
-    out = out.unionByName(subjects).unionByName(edge(verb, "idx", "object", "obj", 1, 0.8, 0.65))
+        found = F.struct(F.col(head).alias("head"), F.col(dep).alias("dep"), F.lit(rel).alias("rel"), score.alias("score"))
+        return F.when(where & F.col(head).isNotNull() & F.col(dep).isNotNull(), found)
+
+    # All edges of a word at once, so that the windows are worked out once.
+    edges = F.array(
+        edge(adverb, "verb", "idx", "advmod", 1, 0.8, 0.65),
+        edge(prep, "idx", "pobj", "pobj", 2, 0.7, 0.55),
+        edge(prep & F.col("pobj").isNotNull(), "next_verb", "idx", "prep", 2, 0.7, 0.55),
+        edge(verb & ~F.col("held"), "idx", "subject", "nsubj", 1, 0.8, 0.65),
+        edge(verb, "idx", "object", "obj", 1, 0.8, 0.65),
+    )
+    out = rows.select(*SENTENCE, F.explode(F.array_compact(edges)).alias("e")).select(*SENTENCE, "e.*")
     return out.withColumn("candidate", F.col("score") < confidence)
 
 
@@ -145,3 +156,18 @@ def merge_phrases(words: DataFrame, phrases: DataFrame) -> DataFrame:
     listed = phrases.groupBy("lu").agg(F.array_sort(F.collect_list("phrase")).alias("phrases"))
     rows = words.join(listed, "lu", "full_outer")
     return rows.withColumn("tag", F.coalesce("tag", F.lit("Deverbal_Noun")))
+
+
+def parsed_by(tokens: DataFrame, backend=None, confidence: float = 0.7) -> DataFrame:
+    """Edges by a parser of one's own (a function of the tokens, with ``dependency_edges``' columns), else by rules.
+
+    A backend that cannot make its plan gives way to the rules.  Its rows are lazy: failures
+    while they are worked out are the job's.
+    """
+    wanted = ["doc_id", "sent_id", "head", "dep", "rel", "score", "candidate"]
+    if backend is not None:
+        try:
+            return backend(tokens).select(*wanted)
+        except Exception:  # noqa: BLE001  any failure means the rules
+            pass
+    return dependency_edges(tokens, confidence).select(*wanted)

@@ -190,3 +190,19 @@ def vector_search(
     best = scored.groupBy("namespace", "key").agg(F.max("score").alias("score"))
     rows = items.join(best, ["namespace", "key"], "left" if fill else "inner")
     return rows.orderBy(F.desc_nulls_last("score"), "namespace", "key").offset(offset).limit(limit)
+
+
+def two_stage_limit(rows: DataFrame, limit: int, estimate: int, item: str = "item", score: str = "score", tie: str = "path") -> DataFrame:
+    """The best ``limit`` items by their best row, looked for among the best ``limit * estimate * 2 + 1`` rows.
+
+    ``estimate`` is the rows an item has; items whose rows all rank below the first limit are not
+    seen, as the limit says.  ``vector_search`` pools all rows instead.
+    """
+    first = rows.orderBy(F.desc(score), tie).limit(limit * estimate * 2 + 1)
+    return first.groupBy(item).agg(F.max(score).alias(score)).orderBy(F.desc(score), item).limit(limit)
+
+
+def cached_vectors(cache: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, missing) of ``asked`` (name, text): vectors (fingerprint, vector) are kept by the MD5 of name and text."""
+    keyed = asked.withColumn("fingerprint", F.md5(F.concat_ws("|", "name", "text")))
+    return keyed.join(cache, "fingerprint"), keyed.join(cache, "fingerprint", "left_anti")

@@ -178,12 +178,30 @@ def topic_accumulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("channel", "step", F.size("values").alias("n"), F.array_join(F.slice("values", -3, 3).cast("array<string>"), ",").alias("latest"))
 
 
+def local_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's late events of one type are a task's writes: what each task reads."""
+    old, writes = _state_and_writes(spark, sf_dir)
+    mine = writes.withColumn("node", F.col("channel"))
+    return dataflow.local_reads(old, mine, mine, KINDS)
+
+
+def command_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as commands: clicks go to one node, purchases to two, errors resume, all update."""
+    goto = F.when(F.col("event_type") == "click", F.array(F.lit("rank"))).when(F.col("event_type") == "purchase", F.array(F.lit("settle"), F.lit("rank")))
+    update = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("user"), F.col("user_id").cast("string"))
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("thread"), goto.alias("goto"), F.when(F.col("event_type") == "error", F.col("user_id")).alias("resume"),
+        F.when(F.col("event_type") != "view", update).alias("update"),
+    )
+    return dataflow.command_writes(e)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         step_writes, step_saved, step_after_finish, edge_targets, branch_routes, send_fanout, node_input, interrupt_tasks, resume_pending,
         fork_state, delete_thread, stream_updates, stream_values, retry_delays, cache_lookup, cache_rewrite, cache_hits, put_writes, last_value,
-        topic_accumulated,
+        topic_accumulated, local_read, command_map,
     )
 }
 
@@ -274,4 +292,15 @@ FROM w GROUP BY 1, 2, 3, 4, 5""",
   SELECT s.channel, s.step, e.value, row_number() OVER (PARTITION BY s.channel, s.step ORDER BY event_id % 4 DESC, event_id DESC) AS r,
     event_id % 4 AS own, event_id FROM s JOIN e ON e.thread = s.channel AND e.event_id % 4 <= s.step
 ) SELECT channel, step, count(*)::INT AS n, string_agg(value::VARCHAR, ',' ORDER BY own, event_id) FILTER (r <= 3) AS latest FROM w GROUP BY 1, 2""",
+    "local_read": f"""WITH {_STEP}, t AS (SELECT DISTINCT thread, channel AS node FROM e WHERE late),
+seen AS (SELECT t.thread, node, channel, value FROM t JOIN old USING (thread))
+SELECT coalesce(seen.thread, new.thread) AS thread, coalesce(node, new.channel) AS node, coalesce(seen.channel, new.channel) AS channel,
+  CASE WHEN l IS NULL THEN value WHEN new.channel = 'click' THEN coalesce(value, 0) + s WHEN new.channel = 'purchase' THEN greatest(value, m) ELSE l END AS value
+FROM seen FULL JOIN new ON new.thread = seen.thread AND new.channel = seen.channel AND new.channel = seen.node""",
+    "command_map": """WITH c AS (SELECT event_id AS thread, event_type AS t, user_id::VARCHAR AS u, json_extract_string(props, '$.k') AS k FROM events),
+g AS (SELECT thread, u, k, t, CASE t WHEN 'click' THEN ['rank'] WHEN 'purchase' THEN ['settle', 'rank'] ELSE [] END AS goto FROM c),
+n AS (SELECT *, len(goto) + (t = 'error')::INT AS before FROM g)
+SELECT thread, (i - 1)::INT AS path, 'branch:to:' || goto[i] AS channel, '__start__' AS value FROM (SELECT *, unnest(range(1, len(goto) + 1)) AS i FROM n)
+UNION ALL SELECT thread, 0, '__resume__', u FROM n WHERE t = 'error'
+UNION ALL SELECT thread, before, 'k', k FROM n WHERE t <> 'view' UNION ALL SELECT thread, before + 1, 'user', u FROM n WHERE t <> 'view'""",
 }

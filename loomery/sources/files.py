@@ -65,3 +65,50 @@ def load_config(path: str, known: dict, environment: str = "LOOMERY_") -> dict:
         if (value := os.environ.get(environment + key.upper())) is not None:
             out[key] = value if isinstance(default, str) else json.loads(value)
     return out
+
+
+def stopwords(spark: SparkSession, path: str | None = None, built_in: tuple[str, ...] = (), environment: str = "LOOMERY_STOPWORDS") -> DataFrame:
+    """(term): the built-in words and those of a list, whose path may also come from the environment."""
+    rows = spark.createDataFrame([(w,) for w in built_in], "term string")
+    if path := path or os.environ.get(environment):
+        rows = rows.unionByName(term_list(spark, path))
+    return rows.distinct()
+
+
+def workspace(spark: SparkSession, root: str, extensions: tuple[str, ...], ignored: tuple[str, ...] = (), limit: int = 200) -> DataFrame:
+    """(path, length) of at most ``limit`` files, the first by path, outside ignored directories; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    inside = F.substring_index("path", root.rstrip("/"), -1)
+    kept = files.where(F.regexp_extract("path", r"(\.[^./]*)$", 1).isin(*extensions))
+    if ignored:
+        kept = kept.where(~F.arrays_overlap(F.split(inside, "/"), F.array(*map(F.lit, ignored))))
+    return kept.orderBy("path").limit(limit)
+
+
+def bundle(spark: SparkSession, root: str, schemas: dict[str, str], required: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The list fields of all JSON files below ``root``, one table a field; a required one without a row raises."""
+    documents = json_directory(spark, root)
+    out = {field: registry(documents, field, schema) for field, schema in schemas.items()}
+    if empty := [field for field in required if out[field].isEmpty()]:
+        raise ValueError(f"nothing in the bundle for {empty}")
+    return out
+
+
+def dangling(rows: DataFrame, key: str, known: DataFrame, known_key: str = "id") -> DataFrame:
+    """(key): references to nothing; a warning, not an error."""
+    refs = rows.select(F.col(key)).where(F.col(key).isNotNull()).distinct()
+    return refs.join(known.select(F.col(known_key).alias(key)), key, "left_anti")
+
+
+# The tables of a lexicon and their columns.
+LEXICON = {
+    "frames": "frame string, definition string",
+    "units": "lemma string, pos string, frame string",
+    "elements": "frame string, fe string, core string, definition string",
+    "relations": "type string, sub string, super string, ord int",
+}
+
+
+def lexicon(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """A lexicon's tables, each a folder or file of JSON lines below ``root``; other columns are left out."""
+    return {name: spark.read.schema(schema).json(f"{root}/{name}.json") for name, schema in LEXICON.items()}
