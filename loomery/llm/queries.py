@@ -1,4 +1,4 @@
-"""The queries ``op1_...`` to ``op10_...`` over the driver's tables, and their SQL where SQL can say it."""
+"""The queries ``op1_...`` to ``op13_...`` over the driver's tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import fingerprints, linededup, minhash, packing, pieces, pii, quality, rules, sharding, urls
+from loomery.llm import audit, fingerprints, linededup, minhash, packing, pieces, pii, quality, rules, sharding, urls
 from loomery.llm.util import read
 
 
@@ -70,6 +70,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, model: str | None =
     return packing.pack(read(spark, sf_dir, "documents"), model or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_sharding": op1_jump_sharding,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_rounds": op8_piece_rounds,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 OP2_SQL = r"""
@@ -196,7 +201,42 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(b.text, '') EN
 FROM documents d LEFT JOIN built b USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) < doc_id AS e FROM d),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    concat(CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+      CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' END,
+      CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN e THEN 'E' END) AS fails
+  FROM w LEFT JOIN marks USING (doc_id)
+), sums AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM judged GROUP BY ALL
+), letters AS (SELECT unnest(string_split('ABCDE', '')) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), places AS (SELECT o, s::INTEGER AS s, substr(o, s, 1) AS f, substr(o, 1, s - 1) AS before FROM orders, range(1, 6) AS r(s)),
+met AS (
+  SELECT part, o, s, f, n, g, x, fails, contains(fails, f) AS own,
+    length(translate(fails, before, '')) < length(fails) AS gone
+  FROM sums, places
+), counted AS (
+  SELECT part, o AS filter_order, s AS step, f,
+    coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (own AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (own AND gone), 0) AS redundant, coalesce(sum(n) FILTER (fails = f), 0) AS unique_fails,
+    coalesce(sum(g) FILTER (own AND NOT gone), 0) AS good_lost, coalesce(sum(x) FILTER (own AND NOT gone), 0) AS toxic_lost
+  FROM met GROUP BY ALL
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
+
 SQL: dict[str, str] = {
+    "op12_filter_audit": OP12_SQL,
     "op9_line_dedup": OP9_SQL,
     "op6_rule_ledger": OP6_SQL,
     "op7_url_range_join": OP7_SQL,
