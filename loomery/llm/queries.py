@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import audit, fingerprints, linededup, minhash, packing, pieces, pii, quality, rules, sharding, urls
+from loomery.llm import alignment, audit, fingerprints, linededup, minhash, packing, pieces, pii, quality, rules, sharding, urls
 from loomery.llm.util import read
 
 
@@ -74,6 +74,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str, byte_model: str | None = None, piece_model: str | None = None) -> DataFrame:
+    byte_model = byte_model or public_tokenizers.path("byte_bpe_50k.json")
+    piece_model = piece_model or public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(read(spark, sf_dir, "documents"), byte_model, piece_model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_sharding": op1_jump_sharding,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op12_filter_audit": op12_filter_audit,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 OP2_SQL = r"""
