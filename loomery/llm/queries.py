@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.llm import alignment, audit, fingerprints, linededup, minhash, packing, pieces, pii, quality, rules, sharding, urls
+from loomery.llm import alignment, audit, fingerprints, language, linededup, minhash, packing, pieces, pii, quality, rules, sharding, urls
 from loomery.llm.util import read
 
 
@@ -70,6 +70,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str, model: str | None =
     return packing.pack(read(spark, sf_dir, "documents"), model or public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_byte_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_rounds": op8_piece_rounds,
     "op9_line_dedup": op9_line_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_byte_language": op11_byte_language,
     "op12_filter_audit": op12_filter_audit,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
