@@ -66,7 +66,7 @@ class PlainTokens(packing.Tokens):
 class Aligner:
     """Two tokenizers, and the alignment of the units met so far (up to a bound)."""
 
-    def __init__(self, byte_model: str, piece_model: str, remember: int = 300_000) -> None:
+    def __init__(self, byte_model: str, piece_model: str, remember: int = 200_000) -> None:
         self.a, self.b = PlainTokens(byte_model), pieces.Pieces(piece_model, remember=0)
         plain = packing._byte_of_character()
         vocabulary = self.a.model.get_vocab(with_added_tokens=False)
@@ -291,7 +291,10 @@ def pair_counts(postings: DataFrame) -> DataFrame:
 
 
 def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (b, part, counts before postings): what each posting adds, summed by document."""
+    """Rows sorted by (b, part, counts before postings): what a token of B adds to each document that has it.
+
+    A row a document and token, however the rows lie in batches and parts.
+    """
     key, held, best = None, [], 0
     partner = amount = None
     for batch in batches:
@@ -299,7 +302,7 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         a, n, base = (batch.column(i).fill_null(-1).to_numpy() for i in (2, 3, 4))
         is_count = a >= 0
         edge = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (part[1:] != part[:-1]) | (is_count[1:] != is_count[:-1])])
-        rows, highest, sums = [], [], []
+        counts, highest = [], []
         for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(b)]):
             if key != (b[lo], part[lo]):
                 key, held, partner = (b[lo], part[lo]), [], None
@@ -310,21 +313,29 @@ def _contributions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 partner, amount = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
                 order = np.argsort(partner)
                 partner, amount, best = partner[order], amount[order], amount.max()
-            lists = [batch.column(i).slice(lo, hi - lo).to_pylist() for i in (5, 6, 7)]
-            partners = np.frombuffer(b"".join(lists[0]), np.int32).reshape(-1, 2)
-            doc, times = np.frombuffer(b"".join(lists[1]), np.uint16), np.frombuffer(b"".join(lists[2]), np.uint8).astype(np.int64)
-            count = np.repeat(amount[np.searchsorted(partner, partners[:, 0])], partners[:, 1])
-            rows.append(doc + np.repeat(base[lo:hi], [len(x) // 2 for x in lists[1]]))
-            highest.append(np.where(count == best, times, 0))
-            sums.append(count * times)
-        if rows:
-            row, at = np.unique(np.concatenate(rows), return_inverse=True)
-            made = []
-            for parts in (highest, sums):
-                total = np.zeros(len(row), np.int64)
-                np.add.at(total, at, np.concatenate(parts))
-                made.append(pa.array(total))
-            yield pa.record_batch([pa.array(row), *made], names=["row", "n_best", "count_sum"])
+            partners = np.frombuffer(b"".join(batch.column(5).slice(lo, hi - lo).to_pylist()), np.int32).reshape(-1, 2)
+            counts.append(np.repeat(amount[np.searchsorted(partner, partners[:, 0])], partners[:, 1]))
+            highest.append(counts[-1] == best)
+        if not counts:
+            continue
+        docs = batch.column(6).drop_null().to_pylist()
+        doc = np.frombuffer(b"".join(docs), np.uint16).astype(np.int64)
+        times = np.frombuffer(b"".join(batch.column(7).drop_null().to_pylist()), np.uint8).astype(np.int64)
+        posting = np.repeat(np.arange(len(docs)), [len(x) // 2 for x in docs])
+        own, at = np.unique(posting << 16 | doc, return_inverse=True)
+        row = base[~is_count][own >> 16] + (own & 0xFFFF)
+        made = [
+            np.bincount(at, weights=np.concatenate(highest) * times, minlength=len(own)).astype(np.int64),  # below 2**53: links of one document
+            _sums(at, np.concatenate(counts) * times, len(own)),
+        ]
+        yield pa.record_batch([pa.array(row), *map(pa.array, made)], names=["row", "n_best", "count_sum"])
+
+
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Exact 64-bit sums of the values at each place."""
+    out = np.zeros(n, np.int64)
+    np.add.at(out, at, values)
+    return out
 
 
 def align(docs: DataFrame, byte_model: str, piece_model: str, key: str = "doc_id", text: str = "text", part_postings: int = PART) -> DataFrame:
