@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the
 columns of ``documents`` (``n_chars`` follows the text); the last returns the packing.
 Stages read their input several times, so give them a table; ``run`` cuts the lineage
-between stages by reliable checkpoints.
+between stages by reliable checkpoints.  Extra columns are passed through whatever their names.
 
 No SQL is given: a trained classifier and the tokenizer's merges are none.  The tests hold
 each stage against a brute-force version.
@@ -12,47 +12,64 @@ each stage against a brute-force version.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomery.llm import linededup, minhash, packing, pii, quality
 from loomery.llm.util import cut, read
 
 
-def _with_text(docs: DataFrame, made: DataFrame, text: str) -> DataFrame:
-    """The columns of ``docs``, with the text from column ``text`` and n_chars to match."""
-    named = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
-    return made.select(*[named.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _bare(docs: DataFrame) -> DataFrame:
+    """``docs`` with doc_id and text, and every other column under a name that no operator gives a column of its own."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *[_column(c).alias(f"other_{i}") for i, c in enumerate(others)])
+
+
+def _whole(made: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` out of those of :func:`_bare`, with the text from column ``text`` and n_chars to match."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    named = {"doc_id": F.col("doc_id"), "text": F.col(text)} | {c: F.col(f"other_{i}") for i, c in enumerate(others)}
+    if "n_chars" in named:
+        named["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return made.select(*[named[c].alias(c) for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine rejects go."""
-    labels = read(spark, sf_dir, "labels")
-    model = quality.train(docs, labels.where(~quality.held_out()))
-    scored = quality.score(docs, model, extra=tuple(docs.columns))
-    return scored.where("score >= 0.5").select(*[f"`{c}`" for c in docs.columns])
+    labels, bare = read(spark, sf_dir, "labels"), _bare(docs)
+    model = quality.train(bare, labels.where(~quality.held_out()))
+    kept = quality.score(bare, model, extra=tuple(bare.columns)).where("score >= 0.5")
+    return _whole(kept, docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line repeats or nearly repeats go; every document stays."""
-    made = linededup.dedup_lines(docs)
-    return _with_text(docs, made, "text")
+    return _whole(linededup.dedup_lines(_bare(docs)), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays; of fully repeated rows one stays."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    copy = next(c for c in ("copy" + "_" * n for n in range(len(docs.columns) + 1)) if c not in docs.columns)
-    # The join has dealt the rows by id, so the window moves none.
-    own = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi").withColumn(copy, F.row_number().over(own))
-    return named.where(F.col(copy) == 1).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group of near-duplicates stays; of rows with one id and text one stays.
+
+    Rows without an id are in no group; of those with one text one stays.
+    """
+    bare = _bare(docs)
+    kept = minhash.near_duplicates(bare).where("kept and doc_id is not null").select("doc_id").distinct()
+    # Spark keeps a task's first row of each window before rows move, so that a row repeated very often is no task's work.
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*by))
+    known = bare.join(kept, "doc_id", "left_semi").withColumn("copy", first("doc_id", F.sha2("text", 256)))
+    nameless = bare.where("doc_id is null").withColumn("copy", first(F.sha2("text", 256)))
+    return _whole(known.unionByName(nameless).where("copy = 1"), docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by tags; every document stays."""
-    made = pii.find(docs, pii.train(docs), extra=tuple(c for c in docs.columns if c != "text"))
-    return _with_text(docs, made, "redacted")
+    bare = _bare(docs)
+    made = pii.find(bare, pii.train(bare), extra=tuple(c for c in bare.columns if c != "text"))
+    return _whole(made, docs, "redacted")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
