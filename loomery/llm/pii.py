@@ -25,8 +25,8 @@ again without its prefix.  Skip and tie potentials are one weight each, for equa
 The model has a few dozen weights, whatever the input.
 
 Memory: the documents of a batch are propagated in groups of at most ``GROUP`` nodes (one
-document of more is a group) and messages in blocks, so what a worker holds is a few hundred
-bytes a node of the longest document.
+document of more is a group) and messages in blocks, so what a worker holds is about two
+kilobytes a node of the longest document.
 
 Defined results: a null or empty text has no spans; with nothing to learn from no spans
 are added; repeated rows and null ids are kept; digit runs of any length are judged.  Spans
