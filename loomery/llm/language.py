@@ -236,9 +236,12 @@ def train(
     """Fit on at most ``sample`` documents of each language; None if no row has an id, a language and a letter."""
     rows = docs.select(F.col(key).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     rows = rows.where("id is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
+    ids = rows.select("id", "lang").distinct()
+    # Only ids whose hash is small enough are ranked: about twice the sample of a language, however many it has.
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    low = F.xxhash64("id").cast("double") / 2.0**64 + 0.5 <= (2 * sample + 100) / F.col("n")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    # The limit is pushed before the shuffle: a task gives ``sample`` rows of a language at most.
-    picked = rows.select("id", "lang").distinct().withColumn("place", place).where(F.col("place") <= sample).drop("place")
+    picked = ids.join(F.broadcast(counts), "lang").where(low).withColumn("place", place).where(F.col("place") <= sample)
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -248,7 +251,8 @@ def train(
         return each
 
     kind = rows.schema[0].dataType.simpleString()
-    some = map_batches(rows.join(picked, ["id", "lang"], "left_semi"), make, f"id {kind}, lang string, body binary")
+    # ``sample`` ids a language: the texts stay where they are.
+    some = map_batches(rows.join(F.broadcast(picked.select("id", "lang")), ["id", "lang"], "left_semi"), make, f"id {kind}, lang string, body binary")
     # ``sample`` rows a language, ``windows`` windows each.
     got = sorted(some.groupBy("lang", "id").agg(F.min("body").alias("body")).collect(), key=lambda r: (r["lang"], r["id"]))
     if not got:
