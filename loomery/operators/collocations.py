@@ -92,6 +92,35 @@ def pair_counts(edges: DataFrame, by: tuple[str, ...] = ("w1", "w2")) -> DataFra
     return by_doc.groupBy(*by).agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("df"))
 
 
+def ngram_counts(sents: DataFrame, most: int = 2) -> DataFrame:
+    """(w1 .. w``most``, c, df) of words, pairs and so on up to ``most`` neighbouring words, in one pass over the sentences.
+
+    Words that a shorter one lacks are null.  A word's c is the number of its sentences, a longer
+    one's that of its places; df is the number of documents.  Cut the lineage of the result and
+    take the parts of it (:func:`of_length`), so that the sentences are worked out once for all.
+    """
+    w, n = F.col("w"), F.size("w")
+    grams, every = w, [F.array_distinct(w)]
+    for k in range(1, most):
+        left = F.greatest(n - k, F.lit(0))
+        grams = F.zip_with(F.slice(grams, 1, left), F.slice(w, k + 1, left), lambda a, b: F.concat(a, F.lit(" "), b))
+        every.append(grams)
+    rows = word_lists(sents).select("doc_id", F.explode(F.concat(*every)).alias("gram"))
+    by_doc = rows.groupBy("gram", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = by_doc.groupBy("gram").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("df"))
+    # Words are letters only, so a space parts them.
+    parts = F.split("gram", " ")
+    return counted.select(*[F.get(parts, F.lit(i)).alias(f"w{i + 1}") for i in range(most)], "c", "df")
+
+
+def of_length(counts: DataFrame, size: int) -> DataFrame:
+    """The part of :func:`ngram_counts` with that many words: (word, c) for one, else (w1 .. , c, df)."""
+    names = [c for c in counts.columns if c.startswith("w")]
+    own = counts.where(F.col(names[size - 1]).isNotNull())
+    own = own.where(F.col(names[size]).isNull()) if size < len(names) else own
+    return own.select(F.col("w1").alias("word"), "c") if size == 1 else own.select(*names[:size], "c", "df")
+
+
 def first_examples(edges: DataFrame, by: tuple[str, ...] = ("w1", "w2"), limit: int = 5) -> DataFrame:
     """The first supporting sentences of each pair: a ranked limit, pushed before the shuffle by Spark."""
     seen = edges.select(*by, "doc_id", "sent_id").distinct()
@@ -126,6 +155,60 @@ def classified_edges(parsed: DataFrame, p: Params = Params()) -> DataFrame:
     return typed
 
 
+def typed_edges(sentences: DataFrame, p: Params = Params()) -> DataFrame:
+    """:func:`classified_edges` out of whole sentences (doc_id, sent_id, w, edges): no join, nothing moves."""
+    bound = F.transform(F.filter("edges", lambda e: e["rel"] == "pobj"), lambda e: e["dep"])
+    rows = text.once(sentences, ["doc_id", "sent_id", "w", "edges"], bound=bound)
+    free = F.filter("edges", lambda e: ~(e["rel"].isin("obj", "nsubj") & F.array_contains("bound", e["dep"])))
+    rows = rows.select("doc_id", "sent_id", "w", F.explode(free).alias("e"))
+    rel = F.col("e.rel")
+    kind = F.when(rel.isin("obj", "nsubj"), "pred_noun").when(rel == "advmod", "pred_adv").when(rel == "prep", "pred_prep").otherwise("prep_pobj")
+    typed = rows.select(
+        "doc_id", "sent_id", F.get("w", F.col("e.head")).alias("w1"), F.get("w", F.col("e.dep")).alias("w2"),
+        kind.alias("type"), rel.alias("rel"), (F.col("e.score") < p.confidence).alias("candidate"),
+    )
+    if p.stopwords:
+        typed = typed.where(~F.col("w1").isin(*p.stopwords) & ~F.col("w2").isin(*p.stopwords))
+    return typed
+
+
+def sentence_trigrams(sentences: DataFrame, listed: DataFrame | None = None, stopwords: tuple[str, ...] = ()) -> DataFrame:
+    """:func:`tagged_trigrams` out of whole sentences (doc_id, sent_id, w, places, edges); all verbs unless some are listed."""
+    w, at = F.col("w"), lambda name: F.col(f"places.{name}")
+    stop = (lambda i: F.get(w, i).isin(*stopwords)) if stopwords else (lambda i: F.lit(False))
+
+    def first_head(j: Column) -> Column:
+        own = F.filter("edges", lambda e: e["dep"] == j)
+        return F.array_min(F.transform(own, lambda e: F.struct((-e["score"]).alias("s"), e["head"].alias("h"), e["rel"].alias("rel"))))["rel"]
+
+    rows = text.once(
+        sentences.where(F.size(at("verbs")) > 0), ["doc_id", "sent_id", "w", "places"],
+        objects=F.filter(at("nouns"), lambda j: first_head(j) == "obj"),
+    )
+    near = F.transform(
+        at("verbs"),
+        lambda v: F.struct(
+            v.alias("v"), F.array_min(F.filter("objects", lambda j: j > v)).alias("obj"),
+            F.array_min(F.filter(at("adverbs"), lambda j: F.abs(j - v) <= 2)).alias("adv"),
+            F.array_min(F.filter(at("preps"), lambda j: (j < v) & ~stop(j))).alias("prep"),
+        ),
+    )
+    rows = rows.select("doc_id", "sent_id", "w", "places", F.explode(near).alias("x"))
+    between = F.array_min(F.filter(at("nouns"), lambda j: (j > F.col("x.prep")) & (j < F.col("x.v")) & ~stop(j)))
+    rows = text.once(rows, ["doc_id", "sent_id", "w", "x"], pobj=between)
+    word = lambda i: F.get(w, i)
+    triple = lambda a, b, c, kind: F.struct(word(a).alias("w1"), word(b).alias("w2"), word(c).alias("w3"), F.lit(kind).alias("type"))
+    x = lambda name: F.col(f"x.{name}")
+    found = F.array(
+        F.when(x("obj").isNotNull() & x("adv").isNotNull(), triple(x("adv"), x("v"), x("obj"), "adv_v_n")),
+        F.when(F.col("pobj").isNotNull(), triple(x("prep"), F.col("pobj"), x("v"), "prep_n_v")),
+    )
+    out = rows.select("doc_id", "sent_id", word(x("v")).alias("verb"), F.explode(F.array_compact(found)).alias("t"))
+    if listed is not None:
+        out = out.join(listed.select(F.col("word").alias("verb")), "verb", "left_semi")
+    return out.select("doc_id", "sent_id", "t.*")
+
+
 def with_counts(pairs: DataFrame, uni: DataFrame, absent: int = 0) -> DataFrame:
     """Adds c1, c2 (``absent`` where a word has no count) and n, the sum of all word counts."""
     one = uni.select(F.col("word").alias("w1"), F.col("c").alias("c1"))
@@ -297,9 +380,24 @@ def templates(trigrams: DataFrame, pairs: DataFrame, uni: DataFrame, p: Params =
 def word_offsets(docs: DataFrame, key: str = "doc_id", body: str = "text") -> DataFrame:
     """(doc_id, place, word, start, end) of the Latin words with apostrophes; offsets in characters, end exclusive.
 
-    A text is cut into runs that are words or not; a word starts where the runs before it end.
+    A text is cut into runs that are words or not, the two kinds in turn; a word's place is that among
+    the runs, and it starts where the runs before it end.  That is summed inside the text's own row, in blocks
+    of runs so that long texts take linear time: rows that share an id are apart, and nothing moves.
     """
-    runs = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.regexp_extract_all(body, F.lit("[A-Za-z']+|[^A-Za-z']+"), F.lit(0))).alias("place", "word"))
-    before = Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    rows = runs.withColumn("start", F.coalesce(F.sum(F.length("word")).over(before), F.lit(0)))
+    block = 256
+    runs = F.regexp_extract_all(body, F.lit("[A-Za-z']+|[^A-Za-z']+"), F.lit(0))
+    rows = text.once(docs, [F.col(key).alias("doc_id")], runs=runs).where(F.size("runs") > 0)
+    last = F.floor((F.size("runs") - 1) / block).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice("runs", b * block + 1, F.lit(block)))
+    rows = text.once(rows, ["doc_id"], parts=parts)
+    rows = text.once(rows, ["doc_id", "parts"], sizes=F.transform("parts", lambda own: F.length(F.array_join(own, ""))))
+    rows = rows.select("doc_id", "sizes", F.posexplode("parts").alias("b", "part"))
+    start = F.aggregate(F.slice("sizes", F.lit(1), F.col("b")), F.lit(0), lambda s, x: s + x)
+    rows = text.once(rows, ["doc_id", "b", "part"], first=start)
+    blank = F.struct(F.col("first").alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts"))
+    starts = F.aggregate("part", blank, step)["starts"]
+    rows = text.once(rows, ["doc_id", "b", "part"], starts=starts)
+    rows = rows.select("doc_id", "b", F.posexplode(F.arrays_zip("part", "starts")).alias("i", "x"))
+    rows = rows.select("doc_id", (F.col("b") * block + F.col("i")).alias("place"), F.col("x.part").alias("word"), F.col("x.starts").alias("start"))
     return rows.where(F.col("word").rlike("^[A-Za-z']")).withColumn("end", F.col("start") + F.length("word"))

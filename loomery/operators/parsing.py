@@ -2,8 +2,8 @@
 
 A token table has doc_id, sent_id, idx, word, pos, with tags that begin with n (noun), v
 (verb), d (adverb), p (preposition), r (pronoun), a (adjective), u (particle) or w (mark).
-Neighbour searches are window functions inside a sentence: the last (or next) place that is
-wanted counts if no barrier stands between.
+Whole sentences are arrays in one row, and neighbour searches are array functions over them: the
+last (or next) place that is wanted counts if no barrier stands between.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.functions import text
+
 # Closed word classes of the Latin-script tagger.
 CLOSED = {
     "p": "of in to for with on at by from into over under".split(),
@@ -23,17 +25,22 @@ CLOSED = {
 SENTENCE = ("doc_id", "sent_id")
 
 
-def tagged(tokens: DataFrame, terms: dict[str, str] | None = None) -> DataFrame:
-    """Adds pos: a domain term's own tag, else the closed class, else by ending, else noun."""
+def tag_of(word: Column, terms: dict[str, str] | None = None) -> Column:
+    """A domain term's own tag, else the closed class, else by ending, else noun."""
     listed = {w: tag for tag, words in CLOSED.items() for w in words} | (terms or {})
     by_tag: dict[str, list[str]] = {}
-    for word, tag in listed.items():
-        by_tag.setdefault(tag, []).append(word)
+    for known, tag in listed.items():
+        by_tag.setdefault(tag, []).append(known)
     # A hashed set a tag: a literal map would be searched from its start for every word.
-    pos = F.when(F.col("word").rlike("ly$"), "d").when(F.col("word").rlike("(ing|ed|ise|ize)$"), "v").otherwise("n")
+    pos = F.when(word.rlike("ly$"), "d").when(word.rlike("(ing|ed|ise|ize)$"), "v").otherwise("n")
     for tag, own in by_tag.items():
-        pos = F.when(F.lower("word").isin(*own), tag).otherwise(pos)
-    return tokens.withColumn("pos", pos)
+        pos = F.when(F.lower(word).isin(*own), tag).otherwise(pos)
+    return pos
+
+
+def tagged(tokens: DataFrame, terms: dict[str, str] | None = None) -> DataFrame:
+    """Adds pos (:func:`tag_of`)."""
+    return tokens.withColumn("pos", tag_of(F.col("word"), terms))
 
 
 def is_verb(pos: str = "pos") -> Column:
@@ -44,56 +51,77 @@ def is_noun(pos: str = "pos") -> Column:
     return F.col(pos).startswith("n") | (F.col(pos) == "eng")
 
 
-def nearest(wanted: Column, barrier: Column, before: bool) -> Column:
-    """The idx of the nearest wanted token on one side, null if there is none or a barrier stands nearer."""
-    own = Window.partitionBy(*SENTENCE).orderBy("idx")
+def _nearest(places: str, i: Column, before: bool) -> Column:
+    """Of listed places in a sentence the nearest one on one side of ``i``, null if there is none."""
     if before:
-        span = own.rowsBetween(Window.unboundedPreceding, -1)
-        hit, stop = (F.last(F.when(c, F.col("idx")), ignorenulls=True).over(span) for c in (wanted, barrier))
-        return F.when(stop.isNull() | (hit > stop), hit)
-    span = own.rowsBetween(1, Window.unboundedFollowing)
-    hit, stop = (F.first(F.when(c, F.col("idx")), ignorenulls=True).over(span) for c in (wanted, barrier))
-    return F.when(stop.isNull() | (hit < stop), hit)
+        return F.array_max(F.filter(f"places.{places}", lambda j: j < i))
+    return F.array_min(F.filter(f"places.{places}", lambda j: j > i))
+
+
+def parsed_sentences(lists: DataFrame, terms: dict[str, str] | None = None) -> DataFrame:
+    """Whole sentences (doc_id, sent_id, w) with pos, places and edges, all inside their row: nothing moves.
+
+    ``places`` has the places of the verbs, nouns, subjects (nouns and pronouns), prepositions and adverbs;
+    ``edges`` is that of :func:`dependency_edges` as an array of head, dep (places), rel and score.
+    """
+    rows = text.once(lists.where(F.size("w") > 0), [*SENTENCE, "w"], pos=F.transform("w", lambda x: tag_of(x, terms)))
+    return with_edges(rows)
+
+
+def with_edges(rows: DataFrame) -> DataFrame:
+    """Sentences (w and pos arrays, other columns kept) with places and edges."""
+    kept = rows.columns
+    at = lambda test: F.filter(F.sequence(F.lit(0), F.size("pos") - 1), lambda i: test(F.get("pos", i)))
+    noun = lambda p: p.startswith("n") | (p == "eng")
+    places = F.struct(
+        at(lambda p: p.startswith("v")).alias("verbs"), at(noun).alias("nouns"), at(lambda p: noun(p) | p.startswith("r")).alias("subjects"),
+        at(lambda p: p.startswith("p")).alias("preps"), at(lambda p: p.startswith("d")).alias("adverbs"),
+    )
+    rows = text.once(rows, kept, places=places)
+    near = lambda name, i, before, alias: _nearest(name, i, before).alias(alias)
+    rows = text.once(
+        rows, [*kept, "places"],
+        vs=F.transform("places.verbs", lambda i: F.struct(
+            i.alias("i"), near("subjects", i, True, "s"), near("verbs", i, True, "b"), near("nouns", i, False, "o"), near("verbs", i, False, "a"))),
+        ps=F.transform("places.preps", lambda i: F.struct(i.alias("i"), near("nouns", i, False, "o"), near("verbs", i, False, "v"))),
+        ds=F.transform("places.adverbs", lambda i: F.struct(i.alias("i"), F.coalesce(_nearest("verbs", i, False), _nearest("verbs", i, True)).alias("v"))),
+    )
+
+    def edge(where: Column, head: Column, dep: Column, rel: str, near: int, high: float, low: float) -> Column:
+        score = F.when(F.abs(head - dep) <= near, high).otherwise(low)
+        return F.when(where, F.struct(head.alias("head"), dep.alias("dep"), F.lit(rel).alias("rel"), score.alias("score")))
+
+    def held(s: Column) -> Column:
+        """A noun is a preposition's own if one stands before it with no other noun between."""
+        prep, other = _nearest("preps", s, True), _nearest("nouns", s, True)
+        return F.array_contains("places.nouns", s) & prep.isNotNull() & (other.isNull() | (prep > other))
+
+    def subject(x: Column) -> Column:
+        own = x["s"].isNotNull() & (x["b"].isNull() | (x["s"] > x["b"]))
+        return edge(F.when(own, ~held(x["s"])).otherwise(False), x["i"], x["s"], "nsubj", 1, 0.8, 0.65)
+
+    found = F.concat(
+        F.transform("ds", lambda x: edge(x["v"].isNotNull(), x["v"], x["i"], "advmod", 1, 0.8, 0.65)),
+        F.transform("ps", lambda x: edge(x["o"].isNotNull(), x["i"], x["o"], "pobj", 2, 0.7, 0.55)),
+        F.transform("ps", lambda x: edge(x["o"].isNotNull() & x["v"].isNotNull(), x["v"], x["i"], "prep", 2, 0.7, 0.55)),
+        F.transform("vs", subject),
+        F.transform("vs", lambda x: edge(x["o"].isNotNull() & (x["a"].isNull() | (x["o"] < x["a"])), x["i"], x["o"], "obj", 1, 0.8, 0.65)),
+    )
+    return text.once(rows, [*kept, "places"], edges=F.array_compact(found))
 
 
 def dependency_edges(tokens: DataFrame, confidence: float = 0.7) -> DataFrame:
-    """(doc_id, sent_id, head, dep, rel, score, candidate) of a shallow parse.
+    """(doc_id, sent_id, head, dep, rel, score, candidate) of a shallow parse of a token table.
 
     Verbs get the nearest noun or pronoun before them (nsubj) and noun behind (obj), adverbs
     hang on the nearest verb (behind first), prepositions take the nearest noun behind (pobj)
     and hang on the next verb (prep).  Other verbs are barriers for subjects and objects.
-    Near words score higher.
+    Near words score higher.  A sentence's words are gathered in one row.
     """
-    verb, noun, person = is_verb(), is_noun(), F.col("pos").startswith("r")
-    prep, adverb = F.col("pos").startswith("p"), F.col("pos").startswith("d")
-    none = F.lit(False)
-    before = Window.partitionBy(*SENTENCE).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    # A noun is a preposition's own if one stands before it with no other noun between.
-    marked = tokens.select(*SENTENCE, "idx", "pos", (noun & nearest(prep, noun, before=True).isNotNull()).alias("governed"))
-    rows = marked.select(
-        *SENTENCE, "idx", "pos",
-        nearest(noun | person, verb, before=True).alias("subject"),
-        F.last(F.when(noun | person, F.col("governed")), ignorenulls=True).over(before).alias("held"),
-        nearest(noun, verb, before=False).alias("object"),
-        F.coalesce(nearest(verb, none, before=False), nearest(verb, none, before=True)).alias("verb"),
-        nearest(noun, none, before=False).alias("pobj"),
-        nearest(verb, none, before=False).alias("next_verb"),
-    )
-
-    def edge(where: Column, head: str, dep: str, rel: str, near: int, high: float, low: float) -> Column:
-        score = F.when(F.abs(F.col(head) - F.col(dep)) <= near, high).otherwise(low)
-        found = F.struct(F.col(head).alias("head"), F.col(dep).alias("dep"), F.lit(rel).alias("rel"), score.alias("score"))
-        return F.when(where & F.col(head).isNotNull() & F.col(dep).isNotNull(), found)
-
-    # All edges of a word at once, so that the windows are worked out once.
-    edges = F.array(
-        edge(adverb, "verb", "idx", "advmod", 1, 0.8, 0.65),
-        edge(prep, "idx", "pobj", "pobj", 2, 0.7, 0.55),
-        edge(prep & F.col("pobj").isNotNull(), "next_verb", "idx", "prep", 2, 0.7, 0.55),
-        edge(verb & ~F.col("held"), "idx", "subject", "nsubj", 1, 0.8, 0.65),
-        edge(verb, "idx", "object", "obj", 1, 0.8, 0.65),
-    )
-    out = rows.select(*SENTENCE, F.explode(F.array_compact(edges)).alias("e")).select(*SENTENCE, "e.*")
+    words = F.array_sort(F.collect_list(F.struct("idx", "pos")))
+    rows = tokens.groupBy(*SENTENCE).agg(words.alias("t")).select(*SENTENCE, F.col("t.idx").alias("at"), F.col("t.pos").alias("pos"))
+    out = with_edges(rows).select(*SENTENCE, "at", F.explode("edges").alias("e"))
+    out = out.select(*SENTENCE, F.get("at", F.col("e.head")).alias("head"), F.get("at", F.col("e.dep")).alias("dep"), "e.rel", "e.score")
     return out.withColumn("candidate", F.col("score") < confidence)
 
 

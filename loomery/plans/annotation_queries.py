@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.functions import text, vectors
-from loomery.operators import chat, entities, lexicon, parsing, store
+from loomery.operators import chat, entities, lexicon, store
 from loomery.operators import collocations as c
 from loomery.plans.common import table
-from loomery.plans.parsing_queries import _EDGES, _TAGGED
+from loomery.plans.parsing_queries import _EDGES, _TAGGED, parsed
 from loomery.plans.state_queries import _VECTOR, QUERY_VECTOR
 
 # Fixed value: the DNS namespace of name-based UUIDs.
@@ -19,10 +19,7 @@ TEMPLATE = "Word {word} in {place}: choose one of {frames}. {word}?"
 
 def tagged_trigram_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples around verbs with count, documents and the first five sentences."""
-    tokens = parsing.tagged(c.tokens(c.sentences(table(spark, sf_dir, "documents"))))
-    heads = parsing.first_heads(parsing.dependency_edges(tokens)).select("doc_id", "sent_id", F.col("dep").alias("idx"), F.col("rel").alias("dep_rel"))
-    verbs = tokens.where(parsing.is_verb()).select("word").distinct()
-    found = c.tagged_trigrams(tokens.join(heads, ["doc_id", "sent_id", "idx"], "left"), verbs)
+    found = c.sentence_trigrams(parsed(spark, sf_dir))
     by = ("w1", "w2", "w3", "type")
     samples = F.array_join(F.transform("sents", lambda s: F.concat_ws(":", s["doc_id"].cast("string"), s["sent_id"].cast("string"))), ",")
     return c.pair_counts(found, by).join(c.first_examples(found, by).withColumn("sents", samples), list(by))

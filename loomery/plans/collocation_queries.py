@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomery.functions import text
+from loomery.lineage import cut
 from loomery.operators import collocations as c
 from loomery.plans.common import table
 
@@ -21,10 +23,17 @@ def unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unigrams(_sentences(spark, sf_dir))
 
 
+def _counts(spark: SparkSession, sf_dir: str, most: int = 2) -> DataFrame:
+    """Words, pairs (and triples) of all documents, counted in one scan and written, for the branches behind."""
+    return cut(c.ngram_counts(_sentences(spark, sf_dir), most))
+
+
+def _scored(counts: DataFrame) -> DataFrame:
+    return c.gated(c.with_counts(c.of_length(counts, 2), c.of_length(counts, 1)))
+
+
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sents = _sentences(spark, sf_dir)
-    counted = c.with_counts(c.pair_counts(c.adjacent_edges(sents)), c.unigrams(sents))
-    return c.gated(counted)
+    return _scored(_counts(spark, sf_dir))
 
 
 def colloc_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,45 +66,36 @@ def colloc_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.object_entropy(c.pair_counts(c.adjacent_edges(_sentences(spark, sf_dir))))
-
-
-def _trigrams(sents: DataFrame) -> DataFrame:
-    return c.pair_counts(c.trigram_edges(sents), ("w1", "w2", "w3"))
+    return c.object_entropy(c.of_length(_counts(spark, sf_dir), 2))
 
 
 def trigram_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sents = _sentences(spark, sf_dir)
-    return c.trigram_information(_trigrams(sents), c.unigrams(sents)).select("w1", "w2", "w3", "c", "df", "pmi3")
+    counts = _counts(spark, sf_dir, 3)
+    return c.trigram_information(c.of_length(counts, 3), c.of_length(counts, 1)).select("w1", "w2", "w3", "c", "df", "pmi3")
 
 
 def trigram_partial_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sents = _sentences(spark, sf_dir)
-    pairs = c.pair_counts(c.adjacent_edges(sents))
-    made = c.templates(_trigrams(sents), pairs, c.unigrams(sents))
+    counts = _counts(spark, sf_dir, 3)
+    made = c.templates(*(c.of_length(counts, n) for n in (3, 2, 1)))
     return made.select("w1", "w2", "w3", "c", "c12", "pmi_partial", "passed")
 
 
 def colloc_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.whitelist(word_entropy(spark, sf_dir), _gated(spark, sf_dir))
+    counts = _counts(spark, sf_dir)
+    return c.whitelist(c.object_entropy(c.of_length(counts, 2)), _scored(counts))
 
 
 def colloc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row counts by stage."""
-    sents = _sentences(spark, sf_dir)
-    edges = c.adjacent_edges(sents)
-    stages = {
-        "documents": table(spark, sf_dir, "documents"),
-        "sentences": sents,
-        "edges": edges,
-        "pairs": c.pair_counts(edges),
-        "passed": _gated(spark, sf_dir).where("passed"),
-    }
-    out = None
-    for name, frame in stages.items():
-        one = frame.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("stage"), "n_rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Row counts by stage, observed while the one scan runs; of the counted pairs the rest."""
+    seen = {name: Observation(name) for name in ("documents", "sentences")}
+    one = F.count(F.lit(1)).alias("n")
+    docs = table(spark, sf_dir, "documents").observe(seen["documents"], one)
+    counts = cut(c.ngram_counts(c.sentences(docs).observe(seen["sentences"], one)))
+    local = spark.createDataFrame([(name, o.get["n"]) for name, o in seen.items()], "stage string, n_rows long")
+    pairs = c.of_length(counts, 2).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("edges"), F.count(F.lit(1)).alias("pairs"))
+    pairs = pairs.unpivot([], ["edges", "pairs"], "stage", "n_rows")
+    passed = _scored(counts).where("passed").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("passed").alias("stage"), "n_rows")
+    return local.unionByName(pairs).unionByName(passed)
 
 
 QUERIES = {
@@ -106,17 +106,17 @@ QUERIES = {
     )
 }
 
-_SENTENCES = r"""
+_SENTENCES = rf"""
 segments AS (
   SELECT doc_id, (unnest(range(len(a))))::INT AS sent_id, trim(unnest(a), chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS s
   FROM (SELECT doc_id, string_split_regex(text, '[。！？!?；;\n.]') AS a FROM documents)
 ), whole AS (
-  SELECT *, trim(regexp_replace(s, '^\s*(?:[①-⑳\d一二三四五六七八九十百千]+[\.、．:：\)）]|\(\d+\)|\[\d+\]|[-\*•·>►▶]|[a-zA-Z]\d{0,2}\)|(?:Case|步骤|Step|Note|注意|说明|场景|方案)[一二三四五六七八九十\d]*[\.、:：])\s*', ''),
+  SELECT *, trim(regexp_replace(s, '{text.LEADER}', ''),
     chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) AS bare
   FROM segments WHERE length(s) >= 4 AND NOT regexp_matches(s, '^[\d\t|、，,。/\\ \-\+%=]+$')
 ), sentences AS (
   SELECT doc_id, sent_id, substr(CASE WHEN bare <> '' THEN bare ELSE s END, 1, 200) AS sentence FROM whole
-), lists AS (SELECT doc_id, sent_id, regexp_extract_all(lower(sentence), '(\p{L}+)') AS w FROM sentences)"""
+), lists AS (SELECT doc_id, sent_id, regexp_extract_all(lower(sentence), '(\p{{L}}+)') AS w FROM sentences)"""
 
 _PAIRS = """
 words AS (SELECT doc_id, sent_id, unnest(w) AS word, unnest(range(len(w))) AS idx FROM lists),

@@ -20,20 +20,19 @@ def pos_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir).groupBy("pos").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("n_words"))
 
 
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' sentences, a row each, with their words, tags and edges."""
+    return parsing.parsed_sentences(c.word_lists(c.sentences(table(spark, sf_dir, "documents"))))
+
+
 def dependency_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = parsing.dependency_edges(_tokens(spark, sf_dir))
+    edges = parsed(spark, sf_dir).select(F.explode("edges").alias("e")).select("e.rel", (F.col("e.score") < 0.7).alias("candidate"))
     return edges.groupBy("rel", "candidate").agg(F.count(F.lit(1)).alias("n"))
 
 
 def predicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All typed pairs with counts, weak evidence apart."""
-    tokens = _tokens(spark, sf_dir).select("doc_id", "sent_id", "idx", "word")
-    edges = parsing.dependency_edges(_tokens(spark, sf_dir))
-    own = ["doc_id", "sent_id"]
-    heads = tokens.select(*own, F.col("idx").alias("head"), F.col("word").alias("head_word"))
-    deps = tokens.select(*own, F.col("idx").alias("dep"), F.col("word").alias("dep_word"))
-    parsed = edges.join(heads, [*own, "head"]).join(deps, [*own, "dep"]).withColumnRenamed("dep", "dep_idx")
-    typed = c.classified_edges(parsed)
+    typed = c.typed_edges(parsed(spark, sf_dir))
     return typed.groupBy("w1", "w2", "type", "rel").agg(
         F.count_if(~F.col("candidate")).alias("c"), F.count_if("candidate").alias("weak")
     )
