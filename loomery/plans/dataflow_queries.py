@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomery.operators import dataflow, state
+from loomery.operators import dataflow, ordered, state
 from loomery.plans.common import table
 
 KINDS = {"click": "sum", "view": "any", "error": "ephemeral", "purchase": "max", "signup": "untracked"}
@@ -174,8 +174,11 @@ def topic_accumulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's topic, step by step."""
     e = _events(spark, sf_dir)
     writes = e.select(F.col("thread").alias("channel"), (F.col("event_id") % 4).alias("step"), F.col("event_id").alias("ord"), F.array("value").alias("value"))
-    made = state.topic(writes, accumulate=True)
-    return made.select("channel", "step", F.size("values").alias("n"), F.array_join(F.slice("values", -3, 3).cast("array<string>"), ",").alias("latest"))
+    # What a step has are the values below its size: its last three are met by their places.
+    sizes = ordered.topic_sizes(writes).withColumn("place", F.explode(F.sequence(F.greatest(F.lit(0), F.col("n") - 3), F.col("n") - 1)))
+    met = sizes.join(ordered.topic_values(writes, accumulate=True).drop("step"), ["channel", "place"])
+    latest = F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"].cast("string"))
+    return met.groupBy("channel", "step").agg(F.first("n").cast("int").alias("n"), F.array_join(latest, ",").alias("latest"))
 
 
 def local_read(spark: SparkSession, sf_dir: str) -> DataFrame:

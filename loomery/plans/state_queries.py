@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomery.functions import vectors
-from loomery.operators import chat, state, store
+from loomery.operators import chat, ordered, state, store
 from loomery.plans.common import table
 
 NOW = "2024-01-15 00:00:00"
@@ -194,10 +194,18 @@ def _writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reducer_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _writes(spark, sf_dir)
-    added = state.fold(w, F.lit(0).cast("long"), lambda a, x: a + x).withColumnRenamed("value", "total")
-    last = state.fold(w, F.lit(0).cast("long"), lambda a, x: a * 0 + x).withColumnRenamed("value", "last")
-    return added.join(last, "channel")
+    return ordered.reduced(_writes(spark, sf_dir), {"total": ("sum", "value"), "last": ("last", "value")})
+
+
+def reducer_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each channel's sum, highest and first value after every write."""
+    made = {"total": ("sum", "value"), "highest": ("max", "value"), "first": ("first", "value")}
+    return ordered.running(_writes(spark, sf_dir).select("channel", "ord", "value"), made)
+
+
+def reducer_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reducer of no known kind, in write order: a channel's sum that starts anew above a bound."""
+    return ordered.folded(_writes(spark, sf_dir), 0, lambda a, x: x if a > 100_000 else a + x, "long")
 
 
 def channel_any_value(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,8 +213,8 @@ def channel_any_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def channel_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = _writes(spark, sf_dir).withColumn("value", F.array("value", F.col("value") + 1))
-    return state.topic(w).select("channel", "step", F.array_join(F.col("values").cast("array<string>"), ",").alias("values"))
+    """The values that each step gave a channel, a row each in their order."""
+    return ordered.topic_values(_writes(spark, sf_dir).withColumn("value", F.array("value", F.col("value") + 1)))
 
 
 def barrier_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +317,7 @@ _LOCAL = (
     item_filter_ops, item_search_page, item_upsert_last, item_ttl_sweep, item_ttl_refresh, namespace_list_depth,
     namespace_match_wildcard, item_batch_get, vector_topk, vector_maxpool, vector_distances, distinct_on_best,
     evict_cumsum, keep_last_turns, reverse_until_k, input_split, latest_user_text, token_totals, message_log_fold,
-    reducer_fold, channel_any_value, channel_topic, barrier_ready, version_triggers, checkpoint_latest,
+    reducer_fold, reducer_running, reducer_custom, channel_any_value, channel_topic, barrier_ready, version_triggers, checkpoint_latest,
     checkpoint_history, checkpoint_hydrate, staleness_gate, session_gap,
 )
 QUERIES = {f.__name__: f for f in _LOCAL}
@@ -402,8 +410,15 @@ FROM embeddings GROUP BY 1, 2 ORDER BY max(list_cosine_similarity(embedding::DOU
 SELECT thread_id, min(ord) AS place, id, arg_max(content, ord) AS content FROM everything GROUP BY thread_id, id HAVING arg_max(op, ord) = 'add'""",
     "reducer_fold": "SELECT event_type AS channel, sum(user_id)::BIGINT AS total, arg_max(user_id, event_id) AS last FROM events GROUP BY 1",
     "channel_any_value": "SELECT event_id % 20 AS step, event_type AS channel, arg_max(user_id, event_id) AS value FROM events GROUP BY 1, 2",
-    "channel_topic": """SELECT event_type AS channel, event_id % 20 AS step,
-  string_agg(user_id || ',' || (user_id + 1), ',' ORDER BY event_id) AS values FROM events GROUP BY 1, 2""",
+    "channel_topic": """WITH w AS (SELECT event_type AS channel, event_id % 20 AS step, user_id,
+  2 * (row_number() OVER (PARTITION BY event_type, event_id % 20 ORDER BY event_id) - 1) AS base FROM events)
+SELECT channel, step, base + i AS place, user_id + i AS value FROM w, (VALUES (0), (1)) AS t(i)""",
+    "reducer_running": """SELECT event_type AS channel, event_id AS ord, user_id AS value, (sum(user_id) OVER o)::BIGINT AS total,
+  max(user_id) OVER o AS highest, first(user_id) OVER o AS first FROM events WINDOW o AS (PARTITION BY event_type ORDER BY event_id)""",
+    "reducer_custom": """WITH RECURSIVE w AS (SELECT event_type AS channel, user_id AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+f(channel, n, a) AS (SELECT channel, 1::BIGINT, x FROM w WHERE n = 1
+  UNION ALL SELECT f.channel, w.n, CASE WHEN a > 100000 THEN x ELSE a + x END FROM f JOIN w ON w.channel = f.channel AND w.n = f.n + 1)
+SELECT channel, arg_max(a, n) AS value FROM f GROUP BY 1""",
     "barrier_ready": "SELECT 'u' || user_id AS channel, count(DISTINCT event_type) = 5 AS ready FROM events GROUP BY 1",
     "version_triggers": """WITH v AS (SELECT event_type, max(event_id) AS version FROM events GROUP BY 1),
 s AS (SELECT user_id::VARCHAR AS node, event_type, max(event_id) + 300 AS seen FROM events GROUP BY 1, 2)
