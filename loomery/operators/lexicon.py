@@ -167,12 +167,16 @@ def ancestors(relations: DataFrame, depth: int = 5) -> DataFrame:
     return out
 
 
-def common_ancestors(up: DataFrame) -> DataFrame:
-    """For each two frames (a < b) the first ancestor of ``a`` that is one of ``b`` too; joined on the ancestor."""
+def common_ancestors(up: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For each asked pair (a, b) the first ancestor of ``a`` that is one of ``b`` too.
+
+    A pair meets the ancestors of its first frame, then those of its second by frame and
+    ancestor: the work grows with the pairs, not with the frames that an ancestor has.
+    """
     one = up.groupBy("frame", "ancestor").agg(F.min("depth").alias("depth"))
     a = one.select(F.col("frame").alias("a"), "ancestor", F.col("depth").alias("da"))
     b = one.select(F.col("frame").alias("b"), "ancestor", F.col("depth").alias("db"))
-    met = a.join(b, "ancestor").where("a < b")
+    met = pairs.select("a", "b").distinct().join(a, "a").join(b, ["b", "ancestor"])
     best = met.groupBy("a", "b").agg(F.min(F.struct("da", "db", "ancestor")).alias("m"))
     return best.select("a", "b", F.col("m")["ancestor"].alias("ancestor"), F.col("m")["da"].alias("depth_a"), F.col("m")["db"].alias("depth_b"))
 
@@ -198,10 +202,12 @@ def inverted_index(rows: DataFrame, key: str = "frame", item: str = "word", orde
     return rows.groupBy(key).agg(F.transform(listed, lambda x: x[item]).alias("items"))
 
 
-def related_pairs(names: DataFrame, relations: DataFrame) -> DataFrame:
+def related_pairs(names: DataFrame, relations: DataFrame, elements: DataFrame | None = None) -> DataFrame:
     """One direct relation a pair of named frames: source, target, relation, kind, direction; the first by ord.
 
     ``names``: frame; ``relations``: type, sub, super, ord.  Seen from the frame whose name comes first.
+    With ``elements`` (ord of a relation, place, sub_fe, super_fe) a pair also has its relation's
+    element mappings in their order, a short list a relation.
     """
     known = names.select("frame").distinct()
     both = relations.join(known.withColumnRenamed("frame", "sub"), "sub", "left_semi").join(known.withColumnRenamed("frame", "super"), "super", "left_semi")
@@ -210,7 +216,14 @@ def related_pairs(names: DataFrame, relations: DataFrame) -> DataFrame:
         relation_kind(F.col("type")).alias("kind"),
         F.when(F.col("super") < F.col("sub"), "parent_to_child").otherwise("child_to_parent").alias("direction"), "ord",
     )
-    return pairs.groupBy("source", "target").agg(F.min_by(F.struct("relation", "kind", "direction"), "ord").alias("r")).select("source", "target", "r.*")
+    first = pairs.groupBy("source", "target").agg(F.min_by(F.struct("relation", "kind", "direction", "ord"), "ord").alias("r")).select("source", "target", "r.*")
+    if elements is None:
+        return first.drop("ord")
+    mapping = F.concat_ws(" -> ", "sub_fe", "super_fe").alias("mapping")
+    listed = elements.join(first.select("ord"), "ord", "left_semi").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("place", mapping))).alias("m"))
+    return first.join(listed, "ord", "left").select(
+        "source", "target", "relation", "kind", "direction", F.coalesce(F.transform("m", lambda x: x["mapping"]), F.array().cast("array<string>")).alias("mappings")
+    )
 
 
 def merge_selections(candidates: DataFrame, selections: DataFrame, misses: DataFrame, supplements: DataFrame) -> DataFrame:

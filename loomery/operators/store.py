@@ -169,6 +169,16 @@ def list_namespaces(
     return rows.distinct()
 
 
+def namespace_counts(items: DataFrame) -> DataFrame:
+    """(prefix, n): for each prefix of a namespace how many distinct namespaces lie under it, itself included; by recursion in SQL."""
+    query = """
+      WITH RECURSIVE up(ns) MAX RECURSION LEVEL 1000 AS (
+        SELECT DISTINCT namespace FROM {items} WHERE size(namespace) > 0
+        UNION ALL SELECT slice(ns, 1, size(ns) - 1) FROM up WHERE size(ns) > 1
+      ) SELECT ns AS prefix, count(*) AS n FROM up GROUP BY ns"""
+    return items.sparkSession.sql(query, items=items)
+
+
 def search(items: DataFrame, prefix: tuple[str, ...] = (), spec: dict | None = None, limit: int = 10, offset: int = 0, newest: bool = False) -> DataFrame:
     """A page of items under a prefix that pass a filter, by key or, with ``newest``, by last update."""
     rows = items.where(has_prefix(F.col("namespace"), prefix) & item_filter(spec or {}))

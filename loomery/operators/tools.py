@@ -45,6 +45,13 @@ def linear_score(similarity: Column, recent: Column, enabled: Column, compliant:
     return F.when(compliant, score).otherwise(F.lit(-1000.0))
 
 
+def listed(tools: DataFrame, most: int = 60) -> DataFrame:
+    """(name, description) of compliant tools, a longer description cut to ``most`` characters and dots."""
+    text = F.coalesce("description", F.lit(""))
+    short = F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
+    return tools.where(F.coalesce("compliant", F.lit(False))).select("name", short.alias("description"))
+
+
 def closure(tools: DataFrame, rounds: int = 40) -> DataFrame:
     """(name, member): every tool with all it depends on, itself included; unknown names are left out."""
     names = tools.select("name")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomery.functions import json_paths, stats, text, vectors
 from loomery.operators import entities, lexicon, store, tools
 from loomery.plans.common import table
-from loomery.plans.knowledge_queries import LEXICON, RELATIONS
+from loomery.plans.knowledge_queries import LEXICON, RELATIONS_SQL, relations
 
 STOP = ("red", "big")
 
@@ -101,9 +101,13 @@ def global_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    relations = spark.sql(f"SELECT * FROM {RELATIONS} AS t(type, sub, super, ord)")
-    names = spark.sql("SELECT * FROM VALUES ('Creating'), ('Causing'), ('Event'), ('State'), ('Cooking'), ('Building') AS t(frame)")
-    return lexicon.related_pairs(names, relations)
+    """Direct relations between the customers of the even nations, with the element mappings that the order's lines give."""
+    names = table(spark, sf_dir, "customer").where("c_nationkey % 2 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("frame"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("ord"), F.struct("l_linenumber", "l_partkey").alias("place"), F.col("l_returnflag").alias("sub_fe"), F.col("l_linestatus").alias("super_fe")
+    )
+    made = lexicon.related_pairs(names, relations(spark, sf_dir), lines)
+    return made.withColumn("mappings", F.array_join("mappings", ","))
 
 
 def selection_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,13 +241,13 @@ SELECT event_id, event_type = 'click' AND list_contains(tags, 't1') AND list_con
     "global_frames": """SELECT o_custkey % 40 AS frame, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS words,
   string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS fragments, ['high', 'medium', 'low', 'none'][min(o_orderkey % 4) + 1] AS confidence,
   'c' || arg_min(o_custkey, o_orderkey) AS core, 's' || min(o_orderkey) AS source FROM orders GROUP BY 1""",
-    "frame_pairs": f"""WITH r AS (SELECT * FROM ({RELATIONS}) AS t(type, sub, super, ord)),
-n AS (SELECT * FROM (VALUES ('Creating'), ('Causing'), ('Event'), ('State'), ('Cooking'), ('Building')) AS t(frame)),
+    "frame_pairs": f"""WITH {RELATIONS_SQL}, n AS (SELECT 'c' || c_custkey AS frame FROM customer WHERE c_nationkey % 2 = 0),
 p AS (SELECT least(sub, super) AS source, greatest(sub, super) AS target, *, row_number() OVER (PARTITION BY least(sub, super), greatest(sub, super) ORDER BY ord) AS k
-  FROM r WHERE sub IN (FROM n) AND super IN (FROM n) AND sub <> super)
+  FROM relations WHERE sub IN (FROM n) AND super IN (FROM n) AND sub <> super),
+l AS (SELECT l_orderkey AS ord, string_agg(l_returnflag || ' -> ' || l_linestatus, ',' ORDER BY l_linenumber, l_partkey, l_returnflag || ' -> ' || l_linestatus) AS m FROM lineitem GROUP BY 1)
 SELECT source, target, type AS relation, CASE type WHEN 'Inheritance' THEN 'hierarchical' WHEN 'Using' THEN 'hierarchical' WHEN 'Subframe' THEN 'compositional'
   WHEN 'Causative_of' THEN 'causal' WHEN 'Precedes' THEN 'temporal' ELSE 'associative' END AS kind,
-  CASE WHEN super = source THEN 'parent_to_child' ELSE 'child_to_parent' END AS direction FROM p WHERE k = 1""",
+  CASE WHEN super = source THEN 'parent_to_child' ELSE 'child_to_parent' END AS direction, coalesce(m, '') AS mappings FROM p LEFT JOIN l USING (ord) WHERE k = 1""",
     "selection_merge": """WITH p AS (SELECT string_split(p_name, ' ')[1] AS word, p_partkey AS position, p_size FROM part),
 s AS (SELECT word, arg_max('F' || p_size, position) AS frame FROM p WHERE p_size > 20 AND word < 'm' GROUP BY 1)
 SELECT word, position, frame, 'high' AS confidence, 'lexicon' AS source FROM p JOIN s USING (word) WHERE word < 'p' UNION ALL

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.functions import text
-from loomery.operators import entities, knowledge, lexicon, tools
+from loomery.operators import entities, knowledge, lexicon, similarity, tools
 from loomery.plans.common import table
 
 LEXICON = """VALUES ('the', 'a', 'Definiteness'), ('of', 'p', 'Partitive'), ('in', 'p', 'Containing'), ('that', 'n', 'Pointing'),
   ('that', 'a', 'Identicality'), ('for', 'p', 'Purpose'), ('with', 'p', 'Accompaniment'), ('th', 'n', 'Order'), ('er', 'v', 'Hesitating')"""
-RELATIONS = """VALUES ('Inheritance', 'Creating', 'Causing', 1), ('Using', 'Creating', 'Acting', 2), ('Inheritance', 'Causing', 'Event', 3),
-  ('Inheritance', 'Acting', 'Event', 4), ('Subframe', 'Building', 'Creating', 5), ('Using', 'Cooking', 'Creating', 6),
-  ('Causative_of', 'Event', 'State', 7), ('Inheritance', 'State', 'Event', 8), ('See_also', 'Cooking', 'Building', 9)"""
+
 
 
 def doc_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,20 +40,36 @@ def frame_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.search_names(names, "rings", 20).select("name", "score")
 
 
-def _relations(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {RELATIONS} AS t(type, sub, super, ord)")
+KINDS_OF_RELATION = ("Inheritance", "Using", "Subframe", "Causative_of", "See_also")
+
+
+def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as frames: each order relates its customer to that of the next order, by the kind its priority names.
+
+    A frame has many parents, of which the first order's counts as the first, and there are cycles.
+    """
+    o = table(spark, sf_dir, "orders")
+    names = F.array(*map(F.lit, KINDS_OF_RELATION))
+    kind = F.element_at(names, F.left("o_orderpriority", F.lit(1)).cast("int"))
+    after = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.concat(F.lit("c"), "o_custkey").alias("super"))
+    own = o.select("o_orderkey", kind.alias("type"), F.concat(F.lit("c"), "o_custkey").alias("sub"))
+    return own.join(after, "o_orderkey").select("type", "sub", "super", F.col("o_orderkey").alias("ord"))
 
 
 def ancestors_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.ancestors(_relations(spark)).select("frame", "ancestor", "depth")
+    return lexicon.ancestors(relations(spark, sf_dir)).select("frame", "ancestor", "depth")
 
 
 def common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexicon.common_ancestors(lexicon.ancestors(_relations(spark)))
+    """Of the customers of orders two apart."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("c"), "o_custkey").alias("c"))
+    later = o.select((F.col("o_orderkey") - 2).alias("o_orderkey"), F.col("c").alias("d"))
+    pairs = o.join(later, "o_orderkey").where("c <> d").select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
+    return lexicon.common_ancestors(lexicon.ancestors(relations(spark, sf_dir)), pairs)
 
 
 def relation_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _relations(spark).groupBy(lexicon.relation_kind(F.col("type")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return relations(spark, sf_dir).groupBy(lexicon.relation_kind(F.col("type")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,8 +131,9 @@ def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers tied by orders of one day."""
     o = table(spark, sf_dir, "orders")
-    hub = F.min("o_custkey").over(Window.partitionBy(F.to_date("o_orderdate")))
-    edges = o.select(F.col("o_custkey").alias("u"), hub.alias("v"))
+    day = F.to_date("o_orderdate").alias("day")
+    hubs = o.groupBy(day).agg(F.min("o_custkey").alias("v"))
+    edges = o.select(F.col("o_custkey").alias("u"), day).join(hubs, "day").select("u", "v").distinct()
     return knowledge.components(o.select(F.col("o_custkey").alias("vertex")), edges)
 
 
@@ -133,22 +148,48 @@ def _tools(spark: SparkSession) -> DataFrame:
     return rows.withColumn("dependencies", F.col("dependencies").cast("array<string>"))
 
 
-def tool_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _tools(spark)
-    hits = tools.keyword_hits(F.lit("find the JSON page, then chart it"), F.col("keywords"))
+CONTEXT = "find the small red ring, then weigh a blue bolt"
+
+
+def _scored_tools(t: DataFrame, context: str, recent: Column) -> DataFrame:
+    hits = tools.keyword_hits(F.lit(context), F.col("keywords"))
     rows = t.withColumn("hits", hits).withColumn("similarity", tools.rule_similarity(F.col("hits"), F.col("keywords")))
-    score = tools.linear_score(F.col("similarity"), F.col("name") == "plot", F.col("enabled"), F.col("compliant"), F.col("tokens"))
+    score = tools.linear_score(F.col("similarity"), recent, F.col("enabled"), F.col("compliant"), F.col("tokens"))
     return rows.select("name", "hits", F.round("similarity", 4).alias("similarity"), F.round(score, 4).alias("score"))
 
 
+def _part_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tools: the words of the name are keywords, the size is the cost."""
+    p = table(spark, sf_dir, "part")
+    about = F.concat_ws(" ", "p_name", F.lit("by"), "p_brand", F.lit("for"), "p_type", F.lit("work at"), F.col("p_retailprice").cast("int").cast("string"), F.lit("a piece"))
+    return p.select(
+        F.col("p_partkey").alias("name"), F.split("p_name", " ").alias("keywords"), (F.col("p_size") > 3).alias("enabled"),
+        (F.col("p_brand") != "Brand#13").alias("compliant"), F.col("p_size").alias("tokens"), about.alias("description"),
+    )
+
+
+def tool_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts against a request; those of the largest size count as used lately."""
+    return _scored_tools(_part_tools(spark, sf_dir), CONTEXT, F.col("tokens") == 50)
+
+
+def tool_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.listed(_part_tools(spark, sf_dir))
+
+
 def dep_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.closure(_tools(spark))
+    """Customers as tools that need the customer of a third of their number and, in one segment, the next one."""
+    c = table(spark, sf_dir, "customer")
+    more = F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_custkey") + 1)
+    need = F.array_compact(F.array(F.floor(F.col("c_custkey") / 3).cast("long"), more))
+    return tools.closure(c.select(F.col("c_custkey").alias("name"), need.alias("dependencies")))
 
 
 def greedy_knapsack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's request against the registry, with a budget by its number."""
     t = _tools(spark)
-    scores = tool_scores(spark, sf_dir).join(t.select("name", "tokens"), "name")
+    scored = _scored_tools(t, "find the JSON page, then chart it", F.col("name") == "plot")
+    scores = scored.join(t.select("name", "tokens"), "name")
     bundles = tools.closure(t).join(scores.select(F.col("name").alias("member"), "score", "tokens"), "member")
     bundles = bundles.groupBy("name").agg(F.collect_list(F.struct(F.col("member").alias("name"), "score", "tokens")).alias("members"))
     requests = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id")).distinct()
@@ -157,16 +198,26 @@ def greedy_knapsack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.select_greedy(rows)
 
 
+LIKE = 0.5
+
+
+def _named_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with the words of name, brand and type."""
+    words = text.words(F.concat_ws(" ", "p_name", "p_type"))
+    brand = F.concat(F.lit("b"), F.substring_index("p_brand", "#", -1))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(words, F.array(brand)).alias("tokens"))
+
+
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of part names that share a word, with the Jaccard similarity of their words; joined on the word.
+    """Sets of parts' words that are alike by half or more, a pair a row; parts with one set of words are one class."""
+    _, pairs = similarity.similar_sets(_named_words(spark, sf_dir), LIKE, key="p_partkey")
+    return pairs.select("a", "b", F.round("similarity", 4).alias("jaccard"))
 
-    Every such pair is asked for, however weak, so the result itself grows with a word's names; names are distinct first.
-    """
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("w", F.array_distinct(text.words(F.col("name"))))
-    each = names.select("name", F.size("w").alias("n"), F.explode("w").alias("word"))
-    a, b = each.select(F.col("name").alias("a"), F.col("n").alias("na"), "word"), each.select(F.col("name").alias("b"), F.col("n").alias("nb"), "word")
-    common = a.join(b, "word").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    return common.select("a", "b", F.round(F.col("c") / (F.col("na") + F.col("nb") - F.col("c")), 4).alias("jaccard"))
+
+def similar_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part with the class of its words (the smallest number) and how many others are like it by three fifths or more."""
+    members, pairs = similarity.similar_sets(_named_words(spark, sf_dir), 0.6, key="p_partkey")
+    return similarity.joined_classes(members, pairs)
 
 
 def argmax_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,11 +254,18 @@ def inverse_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_inherit_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parents = spark.sql("SELECT * FROM VALUES ('Act', 'agent', 'Actor', true), ('Act', 'time', 'Time', false) AS t(frame, fe, type_ref, required)")
-    children = spark.sql(
-        "SELECT * FROM VALUES ('Make', 'agent', 'Act', CAST(NULL AS STRING), CAST(NULL AS BOOLEAN)), ('Make', 'time', 'Act', 'Date', CAST(NULL AS BOOLEAN)),"
-        " ('Make', 'product', CAST(NULL AS STRING), 'Thing', true) AS t(frame, fe, parent, type_ref, required)"
-    )
+    """Customers' elements, some left open or without a parent, that inherit from their nation's."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    element = lambda fe, kind, required: F.struct(F.lit(fe).alias("fe"), kind.alias("type_ref"), required.alias("required"))
+    none, no_flag = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    above = F.array(element("segment", F.lit("Segment"), F.lit(True)), element("balance", F.concat(F.lit("Money"), "n_regionkey"), F.col("n_regionkey") > 2))
+    parents = n.select(F.col("n_nationkey").alias("frame"), F.explode(above).alias("e")).select("frame", "e.*")
+    own = F.array(
+        element("segment", F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")), no_flag),
+        element("balance", none, F.when(F.col("c_acctbal") < 0, False)), element("name", F.col("c_name"), F.lit(True)),
+    )
+    parent = F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_nationkey"))
+    children = c.select(F.col("c_custkey").alias("frame"), parent.alias("parent"), F.explode(own).alias("e")).select("frame", "parent", "e.*")
     return entities.inherit(children, parents)
 
 
@@ -228,7 +286,7 @@ def stem_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOCAL = (
     doc_fragments, fragment_stats, fragment_eligible, lookup_join_fallback, frame_search, ancestors_bounded, common_ancestor,
     relation_kinds, quality_gate, source_heuristics, deterministic_ids, token_recall_topk, keep_last_by_id, keep_max_degree,
-    dangling_edges, label_components, tool_scores, dep_closure, greedy_knapsack, jaccard_pairs, argmax_priority, gap_report,
+    dangling_edges, label_components, tool_scores, tool_listing, dep_closure, greedy_knapsack, jaccard_pairs, similar_parts, argmax_priority, gap_report,
     relation_traverse, inverse_relations, frame_inherit_merge, dangling_ids, stem_variants,
 )
 QUERIES = {f.__name__: f for f in _LOCAL}
@@ -273,7 +331,19 @@ scored AS (
 
 
 _FRAGMENTS = _fragments_sql()
-_TOOLS = TOOLS.replace("array(", "list_value(")
+RELATIONS_SQL = f"""relations AS (
+  SELECT {list(KINDS_OF_RELATION)}[o.o_orderpriority[1]::INT] AS type, 'c' || o.o_custkey AS sub, 'c' || n.o_custkey AS super, o.o_orderkey AS ord
+  FROM orders o JOIN orders n ON n.o_orderkey = o.o_orderkey + 1
+)"""
+_WORD_CLASSES = r"""n AS (SELECT p_partkey AS id, list_sort(list_distinct(list_concat(regexp_extract_all(lower(p_name || ' ' || p_type), '(\p{L}+)'),
+  ['b' || string_split(p_brand, '#')[-1]]))) AS w FROM part),
+c AS (SELECT min(id) AS rep, w, count(*) AS size FROM n GROUP BY w)"""
+_WALK = f"""{RELATIONS_SQL}, r AS (SELECT * FROM relations WHERE type <> 'See_also' AND sub <> super),
+f AS (SELECT sub, arg_min(super, ord) AS first FROM r GROUP BY sub),
+walk(frame, here, depth, path) AS (
+  SELECT DISTINCT sub, sub, 1, [sub] FROM r
+  UNION ALL SELECT frame, first, depth + 1, list_append(path, first) FROM walk JOIN f ON f.sub = here WHERE depth < 5 AND NOT list_contains(path, first)
+)"""
 
 SQL = {
     "doc_fragments": f"WITH {_FRAGMENTS} SELECT * FROM fragments",
@@ -293,23 +363,16 @@ v AS (SELECT unnest(['rings', 'ring', 'ringing', 'ringtion', 'ringsion', 'ringme
 SELECT name, max(CASE WHEN lower(name) = v THEN 100 WHEN starts_with(lower(name), v) OR starts_with(v, lower(name)) THEN 80
   WHEN contains(lower(name), v) OR contains(v, lower(name)) THEN 60 ELSE 0 END)::INT AS score
 FROM names, v GROUP BY name HAVING score > 0 ORDER BY score DESC, name LIMIT 20""",
-    "ancestors_bounded": f"""WITH RECURSIVE r AS (SELECT * FROM ({RELATIONS}) AS t(type, sub, super, ord) WHERE type <> 'See_also'),
-f AS (SELECT sub, arg_min(super, ord) AS first FROM r GROUP BY sub),
-walk(frame, here, depth, path) AS (
-  SELECT DISTINCT sub, sub, 1, [sub] FROM r
-  UNION ALL SELECT frame, first, depth + 1, list_append(path, first) FROM walk JOIN f ON f.sub = here WHERE depth < 5 AND NOT list_contains(path, first)
-) SELECT frame, super AS ancestor, depth FROM walk JOIN r ON r.sub = here""",
-    "common_ancestor": f"""WITH RECURSIVE r AS (SELECT * FROM ({RELATIONS}) AS t(type, sub, super, ord) WHERE type <> 'See_also'),
-f AS (SELECT sub, arg_min(super, ord) AS first FROM r GROUP BY sub),
-walk(frame, here, depth, path) AS (
-  SELECT DISTINCT sub, sub, 1, [sub] FROM r
-  UNION ALL SELECT frame, first, depth + 1, list_append(path, first) FROM walk JOIN f ON f.sub = here WHERE depth < 5 AND NOT list_contains(path, first)
-), up AS (SELECT frame, super AS ancestor, min(depth) AS depth FROM walk JOIN r ON r.sub = here GROUP BY 1, 2)
-SELECT x.frame AS a, y.frame AS b, x.ancestor, x.depth AS depth_a, y.depth AS depth_b FROM up x JOIN up y ON x.ancestor = y.ancestor AND x.frame < y.frame
-QUALIFY row_number() OVER (PARTITION BY x.frame, y.frame ORDER BY x.depth, y.depth, x.ancestor) = 1""",
-    "relation_kinds": f"""SELECT CASE type WHEN 'Inheritance' THEN 'hierarchical' WHEN 'Using' THEN 'hierarchical' WHEN 'Subframe' THEN 'compositional'
-  WHEN 'Causative_of' THEN 'causal' WHEN 'Precedes' THEN 'temporal' ELSE 'associative' END AS kind, count(*) AS n
-FROM ({RELATIONS}) AS t(type, sub, super, ord) GROUP BY 1""",
+    "ancestors_bounded": f"""WITH RECURSIVE {_WALK} SELECT frame, super AS ancestor, depth FROM walk JOIN r ON r.sub = here""",
+    "common_ancestor": f"""WITH RECURSIVE {_WALK},
+up AS (SELECT frame, super AS ancestor, min(depth) AS depth FROM walk JOIN r ON r.sub = here GROUP BY 1, 2),
+pairs AS (SELECT DISTINCT least('c' || x.o_custkey, 'c' || y.o_custkey) AS a, greatest('c' || x.o_custkey, 'c' || y.o_custkey) AS b
+  FROM orders x JOIN orders y ON y.o_orderkey = x.o_orderkey + 2 WHERE x.o_custkey <> y.o_custkey)
+SELECT a, b, x.ancestor, x.depth AS depth_a, y.depth AS depth_b FROM pairs JOIN up x ON x.frame = a JOIN up y ON y.frame = b AND x.ancestor = y.ancestor
+QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY x.depth, y.depth, x.ancestor) = 1""",
+    "relation_kinds": f"""WITH {RELATIONS_SQL}
+SELECT CASE type WHEN 'Inheritance' THEN 'hierarchical' WHEN 'Using' THEN 'hierarchical' WHEN 'Subframe' THEN 'compositional'
+  WHEN 'Causative_of' THEN 'causal' WHEN 'Precedes' THEN 'temporal' ELSE 'associative' END AS kind, count(*) AS n FROM relations GROUP BY 1""",
     "quality_gate": rf"""WITH l AS (
   SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: trim(x, {_WS})), lambda x: x <> '') AS ls FROM documents
 ), s AS (
@@ -349,19 +412,26 @@ WHERE l_discount * 10 >= 0.5 AND l_returnflag IN ('A', 'R') AND l_partkey <> l_s
 e AS (SELECT u, v FROM o UNION SELECT v, u FROM o),
 reach(vertex, other) AS (SELECT u, u FROM o UNION SELECT vertex, v FROM reach JOIN e ON e.u = other)
 SELECT vertex, min(other) AS component FROM reach GROUP BY vertex""",
-    "tool_scores": rf"""WITH t AS (SELECT * FROM ({_TOOLS}) AS t(name, keywords, dependencies, enabled, compliant, tokens)),
-h AS (SELECT *, len(list_filter(keywords, lambda k: regexp_matches('find the json page, then chart it', '\b' || k || '\b')))::INT AS hits FROM t),
+    "tool_scores": rf"""WITH t AS (SELECT p_partkey AS name, string_split(p_name, ' ') AS keywords, p_size AS tokens, p_size > 3 AS enabled, p_brand <> 'Brand#13' AS compliant FROM part),
+h AS (SELECT *, len(list_filter(keywords, lambda k: regexp_matches('{CONTEXT}', '\b' || k || '\b')))::INT AS hits FROM t),
 s AS (SELECT *, CASE WHEN hits <= 0 THEN 0.0 WHEN len(keywords) = 1 THEN 1.0
   ELSE 0.85 + 0.15 * least(1.0, (hits - 1) / greatest(1, len(keywords) - 1)) END::DOUBLE AS sim FROM h)
-SELECT name, hits, round(sim, 4) AS similarity, round(CASE WHEN NOT compliant THEN -1000 ELSE 2 * sim + (name = 'plot')::INT
+SELECT name, hits, round(sim, 4) AS similarity, round(CASE WHEN NOT compliant THEN -1000 ELSE 2 * sim + (tokens = 50)::INT
   - CASE WHEN enabled THEN 0 ELSE 5000 END - 0.001::DOUBLE * tokens END, 4) AS score FROM s""",
-    "dep_closure": f"""WITH RECURSIVE t AS (SELECT * FROM ({_TOOLS}) AS t(name, keywords, dependencies, enabled, compliant, tokens)),
-d AS (SELECT name, unnest(dependencies) AS dep FROM t),
-reach(name, member) AS (SELECT name, name FROM t UNION SELECT r.name, dep FROM reach r JOIN d ON d.name = r.member WHERE dep IN (SELECT name FROM t))
+    "tool_listing": """WITH d AS (SELECT p_partkey AS name, p_name || ' by ' || p_brand || ' for ' || p_type || ' work at ' || trunc(p_retailprice)::INT || ' a piece' AS t
+  FROM part WHERE p_brand <> 'Brand#13')
+SELECT name, CASE WHEN length(t) > 60 THEN left(t, 60) || '...' ELSE t END AS description FROM d""",
+    "dep_closure": """WITH RECURSIVE d AS (SELECT c_custkey AS name, c_custkey // 3 AS dep FROM customer
+  UNION ALL SELECT c_custkey, c_custkey + 1 FROM customer WHERE c_mktsegment = 'BUILDING'),
+reach(name, member) AS (SELECT c_custkey, c_custkey FROM customer
+  UNION SELECT r.name, dep FROM reach r JOIN d ON d.name = r.member WHERE dep IN (SELECT c_custkey FROM customer))
 SELECT * FROM reach""",
-    "jaccard_pairs": r"""WITH n AS (SELECT DISTINCT p_name AS name, list_distinct(regexp_extract_all(lower(p_name), '(\p{L}+)')) AS w FROM part)
-SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 4) AS jaccard
-FROM n a JOIN n b ON a.name < b.name AND len(list_intersect(a.w, b.w)) > 0""",
+    "jaccard_pairs": f"""WITH {_WORD_CLASSES},
+p AS (SELECT a.rep AS a, b.rep AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS j FROM c a JOIN c b ON a.rep < b.rep)
+SELECT a, b, round(j, 4) AS jaccard FROM p WHERE j >= {LIKE}""",
+    "similar_parts": f"""WITH {_WORD_CLASSES},
+p AS (SELECT a.rep, sum(b.size) AS far FROM c a JOIN c b ON a.rep <> b.rep AND 5 * len(list_intersect(a.w, b.w)) >= 3 * len(list_distinct(list_concat(a.w, b.w))) GROUP BY 1)
+SELECT id, c.rep, (size - 1 + coalesce(far, 0))::BIGINT AS links FROM n JOIN c USING (w) LEFT JOIN p ON p.rep = c.rep""",
     "argmax_priority": """SELECT fe, source, value FROM (
   SELECT o_custkey AS fe, ['frame', 'entity', 'qualia', 'role', 'query', 'default'][o_orderkey % 6 + 1] AS source, o_orderstatus AS value,
     row_number() OVER (PARTITION BY o_custkey ORDER BY [80, 60, 40, 20, 20, 10][o_orderkey % 6 + 1] DESC, o_orderkey) AS r FROM orders) WHERE r = 1""",
@@ -371,7 +441,16 @@ FROM customer LEFT JOIN c ON fe = c_custkey WHERE c_mktsegment <> 'BUILDING' GRO
     "relation_traverse": "SELECT 's' || s_suppkey AS id, 'n' || s_nationkey AS target FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "inverse_relations": """SELECT s_suppkey AS source, 'produces' AS type, s_nationkey::BIGINT AS target FROM supplier
 UNION ALL SELECT s_nationkey::BIGINT, 'produced_by', s_suppkey FROM supplier""",
-    "frame_inherit_merge": """SELECT * FROM (VALUES ('Make', 'agent', 'Actor', true), ('Make', 'time', 'Date', false), ('Make', 'product', 'Thing', true)) AS t(frame, fe, type_ref, required)""",
+    "frame_inherit_merge": """WITH own AS (
+  SELECT *, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_nationkey END AS parent FROM customer
+), e AS (
+  SELECT c_custkey AS frame, parent, 'segment' AS fe, CASE WHEN c_acctbal > 5000 THEN c_mktsegment END AS type_ref, NULL::BOOLEAN AS required FROM own
+  UNION ALL SELECT c_custkey, parent, 'balance', NULL, CASE WHEN c_acctbal < 0 THEN false END FROM own
+  UNION ALL SELECT c_custkey, parent, 'name', c_name, true FROM own
+), p AS (
+  SELECT n_nationkey AS parent, 'segment' AS fe, 'Segment' AS t, true AS q FROM nation
+  UNION ALL SELECT n_nationkey, 'balance', 'Money' || n_regionkey, n_regionkey > 2 FROM nation
+) SELECT frame, e.fe, coalesce(type_ref, t) AS type_ref, coalesce(required, q) AS required FROM e LEFT JOIN p ON p.parent = e.parent AND p.fe = e.fe""",
     "dangling_ids": """SELECT c_custkey AS id, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
 UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""",
 }

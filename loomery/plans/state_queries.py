@@ -24,6 +24,12 @@ def _props_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def namespace_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many namespaces lie under each prefix of one."""
+    made = store.namespace_counts(_props_items(spark, sf_dir))
+    return made.select(F.array_join("prefix", ".").alias("prefix"), "n")
+
+
 def item_filter_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _props_items(spark, sf_dir)
     specs = {
@@ -317,7 +323,7 @@ _LOCAL = (
     item_filter_ops, item_search_page, item_upsert_last, item_ttl_sweep, item_ttl_refresh, namespace_list_depth,
     namespace_match_wildcard, item_batch_get, vector_topk, vector_maxpool, vector_distances, distinct_on_best,
     evict_cumsum, keep_last_turns, reverse_until_k, input_split, latest_user_text, token_totals, message_log_fold,
-    reducer_fold, reducer_running, reducer_custom, channel_any_value, channel_topic, barrier_ready, version_triggers, checkpoint_latest,
+    namespace_prefixes, reducer_fold, reducer_running, reducer_custom, channel_any_value, channel_topic, barrier_ready, version_triggers, checkpoint_latest,
     checkpoint_history, checkpoint_hydrate, staleness_gate, session_gap,
 )
 QUERIES = {f.__name__: f for f in _LOCAL}
@@ -413,6 +419,8 @@ SELECT thread_id, min(ord) AS place, id, arg_max(content, ord) AS content FROM e
     "channel_topic": """WITH w AS (SELECT event_type AS channel, event_id % 20 AS step, user_id,
   2 * (row_number() OVER (PARTITION BY event_type, event_id % 20 ORDER BY event_id) - 1) AS base FROM events)
 SELECT channel, step, base + i AS place, user_id + i AS value FROM w, (VALUES (0), (1)) AS t(i)""",
+    "namespace_prefixes": """WITH n AS (SELECT DISTINCT 'u' || user_id AS a, event_type AS b FROM events)
+SELECT a || '.' || b AS prefix, 1::BIGINT AS n FROM n UNION ALL SELECT a, count(*) FROM n GROUP BY a""",
     "reducer_running": """SELECT event_type AS channel, event_id AS ord, user_id AS value, (sum(user_id) OVER o)::BIGINT AS total,
   max(user_id) OVER o AS highest, first(user_id) OVER o AS first FROM events WINDOW o AS (PARTITION BY event_type ORDER BY event_id)""",
     "reducer_custom": """WITH RECURSIVE w AS (SELECT event_type AS channel, user_id AS x, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
