@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomery.functions import vectors
-from loomery.operators import chat, ordered, state, store
+from loomery.lineage import shared_folder
+from loomery.operators import bucket_store, chat, ordered, state, store
 from loomery.plans.common import table
 
 NOW = "2024-01-15 00:00:00"
@@ -66,6 +69,27 @@ def item_upsert_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def item_store_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a store on disk: a third as its first items, the others as two batches of writes, then a sweep."""
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz").cast("timestamp"))
+    ns, key = F.array(F.col("event_type")).alias("namespace"), F.col("user_id").cast("string").alias("key")
+    minutes = F.when(F.col("event_id") % 5 == 0, F.lit(600.0))
+    first = e.where("event_id % 3 = 0").groupBy("event_type", "user_id").agg(F.min_by(F.struct("props", "ts"), "event_id").alias("r"))
+    none = F.lit(None)
+    items = first.select(
+        ns, key, F.col("r.props").alias("value"), F.col("r.ts").alias("created_at"), F.col("r.ts").alias("updated_at"),
+        none.cast("timestamp").alias("expires_at"), none.cast("double").alias("ttl_minutes"),
+    )
+    own = bucket_store.BucketStore(f"{shared_folder(spark)}/loomery-items-{uuid.uuid4().hex}")
+    own.create(items)
+    for part, day in ((1, 20), (2, 21)):
+        gone = F.when(F.col("event_id") % 7 != 1, F.col("props"))
+        batch = e.where(F.col("event_id") % 3 == part).select(F.col("event_id").alias("ord"), ns, key, gone.alias("value"), minutes.alias("ttl_minutes"))
+        own.apply(batch, F.lit(f"2024-01-{day} 00:00:00").cast("timestamp"), f"batch{part}")
+    own.sweep(spark, F.lit("2024-01-20 12:00:00").cast("timestamp"))
+    return own.items(spark).select(F.array_join("namespace", ".").alias("namespace"), "key", "value", F.unix_micros("created_at").alias("created_us"), F.unix_micros("expires_at").alias("expires_us"))
+
+
 def item_ttl_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = store.sweep(_props_items(spark, sf_dir), F.lit(NOW).cast("timestamp"))
     return left.agg(F.count(F.lit(1)).alias("n_left"), F.count("expires_at").alias("with_ttl"))
@@ -323,7 +347,7 @@ _LOCAL = (
     item_filter_ops, item_search_page, item_upsert_last, item_ttl_sweep, item_ttl_refresh, namespace_list_depth,
     namespace_match_wildcard, item_batch_get, vector_topk, vector_maxpool, vector_distances, distinct_on_best,
     evict_cumsum, keep_last_turns, reverse_until_k, input_split, latest_user_text, token_totals, message_log_fold,
-    namespace_prefixes, reducer_fold, reducer_running, reducer_custom, channel_any_value, channel_topic, barrier_ready, version_triggers, checkpoint_latest,
+    item_store_batches, namespace_prefixes, reducer_fold, reducer_running, reducer_custom, channel_any_value, channel_topic, barrier_ready, version_triggers, checkpoint_latest,
     checkpoint_history, checkpoint_hydrate, staleness_gate, session_gap,
 )
 QUERIES = {f.__name__: f for f in _LOCAL}
@@ -376,6 +400,21 @@ SELECT coalesce(o.namespace, w.namespace) AS namespace, coalesce(o.key, w.key) A
   coalesce(o.created_us, epoch_us(TIMESTAMP '""" + NOW + """')) AS created_us, w.key IS NOT NULL AS written
 FROM old o FULL JOIN writes w ON o.namespace = w.namespace AND o.key = w.key
 WHERE w.key IS NULL OR w.value IS NOT NULL""",
+    "item_store_batches": """WITH i0 AS (
+  SELECT event_type AS ns, user_id::VARCHAR AS key, arg_min(props, event_id) AS value, epoch_us(arg_min(ts, event_id)) AS created_us, NULL::BIGINT AS expires_us
+  FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2
+),
+s1 AS (SELECT event_type AS ns, user_id::VARCHAR AS key, max(event_id) AS last FROM events WHERE event_id % 3 = 1 GROUP BY 1, 2),
+w1 AS (SELECT ns, key, CASE WHEN last % 7 <> 1 THEN props END AS value, CASE WHEN last % 5 = 0 THEN epoch_us(TIMESTAMP '2024-01-20 10:00:00') END AS expires_us FROM s1 JOIN events ON event_id = last),
+i1 AS (SELECT coalesce(o.ns, w.ns) AS ns, coalesce(o.key, w.key) AS key, CASE WHEN w.key IS NULL THEN o.value ELSE w.value END AS value,
+  coalesce(o.created_us, epoch_us(TIMESTAMP '2024-01-20')) AS created_us, CASE WHEN w.key IS NULL THEN o.expires_us ELSE w.expires_us END AS expires_us
+  FROM i0 o FULL JOIN w1 w ON w.ns = o.ns AND w.key = o.key WHERE w.key IS NULL OR w.value IS NOT NULL),
+s2 AS (SELECT event_type AS ns, user_id::VARCHAR AS key, max(event_id) AS last FROM events WHERE event_id % 3 = 2 GROUP BY 1, 2),
+w2 AS (SELECT ns, key, CASE WHEN last % 7 <> 1 THEN props END AS value, CASE WHEN last % 5 = 0 THEN epoch_us(TIMESTAMP '2024-01-21 10:00:00') END AS expires_us FROM s2 JOIN events ON event_id = last),
+i2 AS (SELECT coalesce(o.ns, w.ns) AS ns, coalesce(o.key, w.key) AS key, CASE WHEN w.key IS NULL THEN o.value ELSE w.value END AS value,
+  coalesce(o.created_us, epoch_us(TIMESTAMP '2024-01-21')) AS created_us, CASE WHEN w.key IS NULL THEN o.expires_us ELSE w.expires_us END AS expires_us
+  FROM i1 o FULL JOIN w2 w ON w.ns = o.ns AND w.key = o.key WHERE w.key IS NULL OR w.value IS NOT NULL)
+SELECT ns AS namespace, key, value, created_us, expires_us FROM i2 WHERE expires_us IS NULL OR expires_us >= epoch_us(TIMESTAMP '2024-01-20 12:00:00')""",
     "item_ttl_sweep": f"""WITH {_ITEMS} SELECT count(*) AS n_left, count(expires_us) AS with_ttl
 FROM items, clock WHERE expires_us IS NULL OR expires_us >= now_us""",
     "item_ttl_refresh": f"""WITH {_ITEMS}, hits AS (SELECT key FROM items WHERE n1 = 'u8' AND n2 = 'click' ORDER BY key LIMIT 50)

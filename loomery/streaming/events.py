@@ -1,22 +1,29 @@
-"""Structured Streaming over event tables: event-time windows, sessions, deduplication and last values.
+"""Structured Streaming over event tables: windows, sessions, idle users, joins of streams, and sinks that survive a restart.
 
-An extension: the capabilities are Spark's, with watermarks bounding the state.
+An extension: the capabilities are Spark's, with watermarks bounding the state.  Results are
+parquet tables in the shared folder, never tables of the driver.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from loomery import lineage
 
+_SESSION = ["user_id", "first_ms", "last_ms", "events"]
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, directory: str, glob: str = "*.parquet") -> DataFrame:
-    rows = spark.readStream.schema(SCHEMA).option("pathGlobFilter", glob).parquet(directory)
+def read_events(spark: SparkSession, directory: str, glob: str = "*.parquet", per_batch: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(SCHEMA).option("pathGlobFilter", glob)
+    rows = (reader.option("maxFilesPerTrigger", per_batch) if per_batch else reader).parquet(directory)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -36,17 +43,96 @@ def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def run_available(stream: DataFrame, output: str = "complete") -> DataFrame:
-    """Run a stream over what is there and return its result table.
+class _Idle(StatefulProcessor):
+    """Per user the sessions that are still open: first and last time and number of events of each.
 
-    The checkpoint lies in the cluster's shared folder where the session names one.
+    Events may come in any order above the watermark, and so may join two sessions; a timer closes a
+    session when no event that belongs to it can come any more.
+    """
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "first long, last long, events long")
+
+    def _kept(self) -> list[tuple[int, int, int]]:
+        return [(int(s[0]), int(s[1]), int(s[2])) for s in self.open.get()] if self.open.exists() else []
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        every = sorted(self._kept() + [(int(t), int(t), 1) for batch in rows for t in batch["ms"]])
+        merged = every[:1]
+        for first, last, events in every[1:]:
+            own = merged[-1]
+            if first - own[1] <= self.idle_ms:
+                merged[-1] = (own[0], max(own[1], last), own[2] + events)
+            else:
+                merged.append((first, last, events))
+        self.open.put(merged)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        for _, last, _ in merged:
+            self.handle.registerTimer(last + self.idle_ms + 1)
+        yield pd.DataFrame([], columns=_SESSION)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, kept = expiredTimerInfo.getExpiryTimeInMs(), self._kept()
+        over = [s for s in kept if s[1] + self.idle_ms + 1 <= now]
+        rest = [s for s in kept if s[1] + self.idle_ms + 1 > now]
+        self.open.put(rest) if rest else self.open.clear()
+        yield pd.DataFrame([(key[0], *s) for s in over], columns=_SESSION)
+
+    def close(self) -> None:
+        pass
+
+
+def idle_sessions(events: DataFrame, idle_ms: int = 30 * 60_000, late: str = "10 minutes") -> DataFrame:
+    """(user_id, first_ms, last_ms, events) of sessions that ended by ``idle_ms`` without an event; each is given out when the
+    watermark passes that time, so the last ones wait for later events.
+
+    A user's state is three numbers an open session; timers in event time close them.
+    """
+    rows = events.withWatermark("ts", late).select("user_id", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("user_id").transformWithStateInPandas(
+        _Idle(idle_ms), "user_id long, first_ms long, last_ms long, events long", "Append", "EventTime"
+    )
+
+
+def joined(events: DataFrame, left: str = "click", right: str = "purchase", within: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """(user_id, left_id, right_id) of a user's events of two types, the second within a time after the first; a join of two streams.
+
+    Both watermarks and the bound on time let Spark drop what can match no more.
+    """
+    a = events.where(F.col("event_type") == left).select(F.col("user_id").alias("u"), F.col("event_id").alias("left_id"), F.col("ts").alias("at")).withWatermark("at", late)
+    b = events.where(F.col("event_type") == right).select("user_id", F.col("event_id").alias("right_id"), "ts").withWatermark("ts", late)
+    return a.join(b, F.expr(f"u = user_id AND ts >= at AND ts <= at + INTERVAL {within}")).select("user_id", "left_id", "right_id")
+
+
+def run_available(stream: DataFrame, output: str = "append", path: str | None = None, name: str | None = None) -> DataFrame:
+    """Run a stream over what is there; its result as a parquet table in the shared folder.
+
+    Each batch is a folder of its own number, overwritten if the batch is run again, so a restart (the same
+    ``path``) neither loses rows nor doubles them.  In mode ``complete`` the last batch is the whole result.
     """
     spark = stream.sparkSession
-    name = f"loomery_{uuid.uuid4().hex}"
-    shared = lineage.shared_folder(spark)
-    query = (
-        stream.writeStream.format("memory").queryName(name).outputMode(output)
-        .option("checkpointLocation", f"{shared}/streams/{name}").trigger(availableNow=True).start()
-    )
+    path = path or f"{lineage.shared_folder(spark)}/streams/{name or uuid.uuid4().hex}"
+    schema = stream.schema
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+
+    # Timers need a state store with column families; a running query keeps the one it began with.
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream.writeStream.foreachBatch(put).outputMode(output).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
     query.awaitTermination()
-    return spark.table(name)
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/rows/batch=-1")  # readable where no batch came
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, batch int").parquet(f"{path}/rows")
+    if output == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        rows = rows.where(F.col("batch") == (-1 if last is None else last))
+    return rows.drop("batch")
