@@ -1,15 +1,17 @@
 """Text at JSON paths, and JSON found in loose text.
 
-These walk trees whose shape is only known row by row, so they are Arrow-batched functions.
 Paths have fields (``a.b``), indices (``[0]``, ``[-1]``, ``[*]``), the wildcard ``*`` and
-field sets (``{a,b.c}``).
+field sets (``{a,b.c}``).  A document is parsed once (:func:`parsed`) and any number of paths read from
+it inside the JVM (:func:`texts`); :func:`at_path` gives the texts as Python prints them (``True``, spaced
+JSON with sorted keys) and walks the trees in Arrow batches, as healing loose text does.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,6 +66,61 @@ def texts_at(value, path: str) -> list[str]:
     return [t for v in level for t in _shown(v)]
 
 
+def parsed(document: Column) -> Column:
+    """A JSON column as a variant, parsed once for all paths; null where it is no JSON."""
+    return F.try_parse_json(document)
+
+
+def _named(variant: Column, name: str) -> Column:
+    """A field of a variant, null if there is none."""
+    if re.fullmatch(r"[^'?]+", name):
+        return F.try_variant_get(variant, f"$['{name}']", "variant")
+    return F.try_element_at(F.try_variant_get(variant, "$", "map<string,variant>"), F.lit(name))
+
+
+def _below(level: Column, token: str) -> Column:
+    """The variants one token further, of an array of variants."""
+    listed = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array().cast("array<variant>"))
+    if token == "*":
+        fields = lambda v: F.map_values(F.try_variant_get(v, "$", "map<string,variant>"))
+        return F.flatten(F.transform(level, lambda v: F.coalesce(fields(v), listed(v))))
+    if token == "[*]":
+        return F.flatten(F.transform(level, listed))
+    if token[0] == "[":
+        place = re.fullmatch(r"\[\s*(-?\d+)\s*\]", token)
+        if not place:
+            return F.array().cast("array<variant>")
+        at = int(place[1])
+        return F.array_compact(F.transform(level, lambda v: F.try_element_at(listed(v), F.lit(at if at < 0 else at + 1))))
+    return F.array_compact(F.transform(level, lambda v: _named(v, token)))
+
+
+def _fields(paths: list[list[str]]) -> Callable[[Column], Column]:
+    """What a variant has at some paths of fields, in their order."""
+    def found(v: Column) -> Column:
+        ends = [reduce(_named, parts, v) for parts in paths]
+        return F.array_compact(F.array(*ends))
+
+    return found
+
+
+def texts(variant: Column, path: str) -> Column:
+    """The texts (array) a parsed column has at a path: strings as they are, others as compact JSON, nulls left out.
+
+    A wildcard gives the fields of an object in the order of their names.
+    """
+    level = F.array_compact(F.array(variant))
+    if path and path != "$":
+        for token in tokens(path):
+            if token[0] == "{":
+                if token[-1] != "}":
+                    return F.array().cast("array<string>")
+                level = F.flatten(F.transform(level, _fields([tokens(n.strip()) for n in token[1:-1].split(",")])))
+                break
+            level = _below(level, token)
+    return F.array_compact(F.transform(level, lambda v: F.try_variant_get(v, "$", "string")))
+
+
 def at_path(document: Column, path: str) -> Column:
     """The texts (array) a JSON column has at a path; none if it is no JSON."""
 

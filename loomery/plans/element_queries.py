@@ -58,7 +58,19 @@ def json_path_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     loose = F.concat(F.lit("Sure: {not json} ```json\n"), "props", F.lit("\n``` done"))
     rows = e.select("event_id", doc.alias("doc"), json_paths.healed(loose).alias("healed"))
     paths = {"last": "a.b[-1]", "all": "a.b[*]", "k": "p.k", "none": "a.x"}
-    return rows.select("event_id", "healed", *[F.array_join(json_paths.at_path(F.col("doc"), path), ",").alias(name) for name, path in paths.items()])
+    rows = text.once(rows, ["event_id", "healed"], v=json_paths.parsed(F.col("doc")))
+    return rows.select("event_id", "healed", *[F.array_join(json_paths.texts(F.col("v"), path), ",").alias(name) for name, path in paths.items()])
+
+
+def order_json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fitting way into a document of orders by customer: wildcards, field sets, indices, all inside the JVM."""
+    o = table(spark, sf_dir, "orders")
+    one = F.struct(F.col("o_orderkey").alias("id"), F.struct(F.left("o_orderpriority", F.lit(1)).alias("level"), F.col("o_orderstatus").alias("state")).alias("s"))
+    doc = F.to_json(F.struct(F.struct(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi")).alias("span"), F.array_sort(F.collect_list(one)).alias("orders")))
+    rows = o.groupBy("o_custkey").agg(doc.alias("doc"))
+    rows = text.once(rows, ["o_custkey"], v=json_paths.parsed(F.col("doc")))
+    paths = {"ids": "orders[*].id", "newest": "orders[-1].s.{state,level}", "first": "orders[0].s.*", "span": "{span.lo,span.hi,none}", "whole": "orders[1].s"}
+    return rows.select("o_custkey", *[F.array_join(json_paths.texts(F.col("v"), path), ",").alias(name) for name, path in paths.items()])
 
 
 def item_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,7 +218,7 @@ def qualia_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        name_features, answer_cleaning, canonical_uris, json_path_values, item_containment, positive_confidence, word_index, global_frames,
+        name_features, answer_cleaning, canonical_uris, json_path_values, order_json_paths, item_containment, positive_confidence, word_index, global_frames,
         frame_pairs, selection_merge, lexicon_frames, vector_norms, blended_scores, answered_steps, frame_saturation, frame_references,
         frame_assumptions, escalation_records, qualia_values,
     )
@@ -233,6 +245,10 @@ FROM t LEFT JOIN k USING (p_partkey)""",
 SELECT page_id, CASE WHEN s = 'repo' THEN 'repo:' || l || CASE WHEN page_id % 3 > 0 THEN '#r' || page_id ELSE '' END || CASE WHEN page_id % 5 > 0 THEN ':sub/' || page_id ELSE '' END
   WHEN s = 'file' AND page_id % 2 = 0 THEN 'file:' || l ELSE s || '://' || l END || CASE WHEN page_id % 4 > 0 THEN '#L' || page_id ELSE '' END AS uri FROM p""",
     "json_path_values": """SELECT event_id, props AS healed, user_id::VARCHAR AS last, event_id || ',' || user_id AS all, coalesce(json_extract_string(props, '$.k'), '') AS k, '' AS none FROM events""",
+    "order_json_paths": """WITH o AS (SELECT o_custkey, o_orderkey AS k, o_orderpriority[1] AS l, o_orderstatus AS s,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS d FROM orders)
+SELECT o_custkey, string_agg(k::VARCHAR, ',' ORDER BY k) AS ids, any_value(s || ',' || l) FILTER (d = 1) AS newest, any_value(l || ',' || s) FILTER (r = 1) AS first,
+  min(k) || ',' || max(k) AS span, coalesce(any_value('{"level":"' || l || '","state":"' || s || '"}') FILTER (r = 2), '') AS whole FROM o GROUP BY 1""",
     "item_containment": """WITH t AS (SELECT event_id, event_type, user_id, ['t' || (user_id % 3), 't' || (event_id % 4)] AS tags FROM events)
 SELECT event_id, event_type = 'click' AND list_contains(tags, 't1') AND list_contains(tags, 't2') AS contains,
   event_type = 'view' AND user_id % 5 >= 3 AS nested, user_id % 10 = 1 AS prefixed FROM t""",
