@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +45,25 @@ def normalised(a: Column) -> Column:
     )
 
 
+def character_embedding(text: Column, dims: int = 50, seed: int = 42) -> Column:
+    """A vector of length 1 made of a text's characters: the mean of a fixed normal vector a character, for tests and demonstrations.
+
+    The normal numbers come from hashes of character, place and seed, so they are the same everywhere;
+    an empty text has a zero vector, a null none.
+    """
+    letters = F.split(text, "")
+
+    def unit(c: Column, i: Column, which: int) -> Column:
+        return (F.pmod(F.xxhash64(c, i, F.lit(seed), F.lit(which)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
+    def normal(c: Column, i: Column) -> Column:
+        return F.sqrt(-2 * F.ln(unit(c, i, 0))) * F.cos(2 * math.pi * unit(c, i, 1)) / math.sqrt(dims)
+
+    places = F.sequence(F.lit(0), F.lit(dims - 1))
+    mean = F.transform(places, lambda i: F.aggregate(letters, F.lit(0.0), lambda s, c: s + normal(c, i)) / F.size(letters))
+    return F.when(text == "", F.transform(places, lambda i: F.lit(0.0))).when(text.isNotNull(), normalised(mean))
+
+
 def similarity(kind: str, a: Column, b: Column) -> Column:
     """A score that is higher for nearer vectors: cosine, inner_product, or negated l2 or hamming distance."""
     makers = {

@@ -52,6 +52,23 @@ def matching(rows: DataFrame, spec: dict[str, str], context: dict[str, str | Non
     return rows.where(reduce(lambda a, b: a & b, parts, F.lit(True)))
 
 
+def named_candidates(rows: DataFrame, asked: DataFrame, source: str = "entity") -> DataFrame:
+    """Rows asked for by their id (asked: id) as candidates: id, value, source."""
+    return rows.join(asked.select("id").distinct(), "id", "left_semi").select("id", F.col("id").alias("value")).withColumn("source", F.lit(source))
+
+
+def owned_candidates(rows: DataFrame, owners: DataFrame, owner: str = "belongs_to", source: str = "entity") -> DataFrame:
+    """Rows of asked owners (owners: id) as candidates, each under its owner's id."""
+    asked = owners.select(F.col("id").alias(owner)).distinct()
+    return rows.join(asked, owner, "left_semi").select(F.col(owner).alias("id"), F.col("id").alias("value")).withColumn("source", F.lit(source))
+
+
+def part_candidates(rows: DataFrame, field: str, part: str, source: str = "entity") -> DataFrame:
+    """A part of each entry of a list of structs (``files``, ``path``) as candidates; entries without it give none."""
+    values = rows.select("id", F.explode(field).alias("e")).select("id", F.col(f"e.{part}").alias("value"))
+    return values.where("value is not null").withColumn("source", F.lit(source))
+
+
 def field_candidates(rows: DataFrame, field: str, source: str) -> DataFrame:
     """Values of a field (a list gives one row each, nulls none) as candidates (id, value, source)."""
     kind = rows.schema[field].dataType

@@ -29,6 +29,14 @@ RELATION_KINDS = {
     "Precedes": "temporal", "Perspective_on": "associative", "See_also": "associative",
     "ReFraming_Mapping": "associative", "Metaphor": "associative",
 }
+# Words that carry no meaning of their own.
+FUNCTION_WORDS = """
+    a an the is are was were be been being have has had do does did will would shall should may might must can could
+    to of in for on with at by from as into through during before after above below between out off over under again
+    further then once here there when where why how all each few more most other some such no nor not only own same so
+    than too very just because but and or if while although it its this that these those i me my we us our you your he
+    him his she her they them their what which who whom
+""".split()
 UPWARD = ("Inheritance", "Using", "Inchoative_of", "Causative_of", "Subframe", "Perspective_on")
 
 
@@ -106,6 +114,26 @@ def eligible(frags: DataFrame, least: str = "low", skip_low: bool = False) -> Da
     return frags.where(worth >= (2 if skip_low else VALUES[least]))
 
 
+def content_words(words: DataFrame) -> DataFrame:
+    """Words (word, ...) of two letters or more that are no function words."""
+    low = F.lower("word")
+    return words.where((F.length("word") > 1) & ~low.isin(*FUNCTION_WORDS))
+
+
+def retrieved(words: DataFrame, lexicon: DataFrame, limit: int = 8) -> tuple[DataFrame, DataFrame]:
+    """(candidates, misses) of the content words among words (doc_id, place, word, pos or null).
+
+    ``candidates``: doc_id, place, word, lemma, frame, rank of :func:`lookup`; ``misses``: doc_id, place, word.  Each
+    different word is looked up once.
+    """
+    own = content_words(words)
+    found = lookup(own.select("word", "pos"), lexicon, limit)
+    found = found.select(F.col("word").alias("_word"), F.col("pos").alias("_pos"), "lemma", "frame", F.col("place").alias("rank"))
+    same = (F.col("word") == F.col("_word")) & F.col("pos").eqNullSafe(F.col("_pos"))
+    candidates = own.join(found, same).select("doc_id", "place", "word", "lemma", "frame", "rank")
+    return candidates, own.join(found, same, "left_anti").select("doc_id", "place", "word")
+
+
 def lookup(words: DataFrame, lexicon: DataFrame, limit: int = 8) -> DataFrame:
     """Frames of each word (word, pos or null) by lemma; at most ``limit`` a word, in name order.
 

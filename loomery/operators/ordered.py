@@ -72,6 +72,16 @@ def running(writes: DataFrame, made: dict[str, tuple[str, str]], by: tuple[str,
     return joined.select(*writes.columns, *[_joined(kind, F.col(f"_before_{n}"), F.col(f"_own_{n}")).alias(n) for n, (kind, _) in made.items()])
 
 
+def rising(rows: DataFrame, time: str, order: tuple[str, ...], into: str) -> DataFrame:
+    """``rows`` with their whole-number times made strictly rising in an order: a time not after the one before is that plus one.
+
+    With the rows' numbers n that is n plus the highest of (time - n) so far, a running maximum, so no task sees all rows.
+    """
+    counted = running(rows, {"_n": ("count", time)}, (), order)
+    highest = running(counted.withColumn("_ahead", F.col(time) - F.col("_n")), {"_top": ("max", "_ahead")}, (), order)
+    return highest.withColumn(into, F.col("_top") + F.col("_n")).drop("_n", "_ahead", "_top")
+
+
 def folded(
     writes: DataFrame, start, reducer: Callable, kind: str, by: tuple[str, ...] = ("channel",), order: tuple[str, ...] = ("ord",), value: str = "value"
 ) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomery.lineage import cut
+
 
 def _in_order(value: str = "value", order: str = "ord") -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value])
@@ -115,5 +117,5 @@ def run_supersteps(
                 if channel in updates:
                     raise ValueError(f"two tasks write channel {channel!r} in step {step}")
                 updates[channel] = frame
-        state = state | {channel: frame.checkpoint(eager=True) for channel, frame in updates.items()}
+        state = state | {channel: cut(frame) for channel, frame in updates.items()}
     return state, "out_of_steps"

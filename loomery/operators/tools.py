@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.lineage import cut
@@ -52,6 +52,13 @@ def listed(tools: DataFrame, most: int = 60) -> DataFrame:
     return tools.where(F.coalesce("compliant", F.lit(False))).select("name", short.alias("description"))
 
 
+def raw_tools(selected: DataFrame, registry: DataFrame, by: str = "request_id") -> DataFrame:
+    """(by, place, name, raw): the selected tools (by, ord, name) in their order as the registry (name, raw) has them; unknown ones are left out."""
+    rows = selected.join(registry.groupBy("name").agg(F.first("raw").alias("raw")), "name")
+    place = F.row_number().over(Window.partitionBy(by).orderBy("ord", "name"))
+    return rows.select(by, place.alias("place"), "name", "raw")
+
+
 def closure(tools: DataFrame, rounds: int = 40) -> DataFrame:
     """(name, member): every tool with all it depends on, itself included; unknown names are left out."""
     names = tools.select("name")

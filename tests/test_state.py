@@ -138,6 +138,7 @@ def test_supersteps(spark):
     assert state.run_supersteps(start, plan, limit=1)[1] == "out_of_steps"
 
 
+# Documents, paths and channel writes whose results must equal the source system's.
 VALUE = {"name": "test", "info": {"age": 25, "tags": ["a", "b", "c"], "metadata": {"created": "2024-01-01", "updated": "2024-01-02"}}, "items": [{"id": 1, "value": "first", "tags": ["x", "y"]}, {"id": 2, "value": "second", "tags": ["y", "z"]}, {"id": 3, "value": "third", "tags": ["z", "w"]}], "empty": None, "zeros": [0, 0.0, "0"], "empty_list": [], "empty_dict": {}}
 
 
