@@ -218,6 +218,11 @@ def with_counts(pairs: DataFrame, uni: DataFrame, absent: int = 0) -> DataFrame:
     return joined.withColumn("c1", F.coalesce("c1", F.lit(absent))).withColumn("c2", F.coalesce("c2", F.lit(absent)))
 
 
+def promising(pairs: DataFrame, p: Params = LATIN) -> DataFrame:
+    """The pairs that :func:`gated` does not reject by their own counts: the only ones that can pass, so only they need their words' counts."""
+    return pairs.where((F.col("c") > p.reject_count_up_to) & (F.col("df") >= p.reject_docs_below))
+
+
 def gated(counted: DataFrame, p: Params = LATIN) -> DataFrame:
     """Adds llr, passed, level and rejected_reason; the reasons are tried in order and rows are kept."""
     stop = F.col("w1").isin(*p.stopwords) | F.col("w2").isin(*p.stopwords) if p.stopwords else F.lit(False)
@@ -361,9 +366,13 @@ def templates(trigrams: DataFrame, pairs: DataFrame, uni: DataFrame, p: Params =
     """Adds pmi_partial (of the third word given the first two) and passed; rare rows and unseen pairs go."""
     third = uni.select(F.col("word").alias("w3"), F.col("c").alias("cw3"))
     total = uni.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    often = trigrams.where(F.col("c") >= p.template_count)
+    # Pairs that begin no such triple need no sum.
+    asked = often.select("w1", "w2").distinct()
+    turned = asked.select(F.col("w2").alias("w1"), F.col("w1").alias("w2"))
+    some = pairs.join(asked.unionByName(turned).distinct(), ["w1", "w2"], "left_semi")
     rows = (
-        trigrams.where(F.col("c") >= p.template_count)
-        .join(symmetric_counts(pairs), ["w1", "w2"])
+        often.join(symmetric_counts(some), ["w1", "w2"])
         .join(third, "w3", "left")
         .crossJoin(F.broadcast(total))
     )

@@ -32,12 +32,16 @@ def _scored(counts: DataFrame) -> DataFrame:
     return c.gated(c.with_counts(c.of_length(counts, 2), c.of_length(counts, 1)))
 
 
+def _passed(counts: DataFrame) -> DataFrame:
+    return c.gated(c.with_counts(c.promising(c.of_length(counts, 2)), c.of_length(counts, 1))).where("passed")
+
+
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(_counts(spark, sf_dir))
 
 
 def colloc_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _gated(spark, sf_dir).where("passed").select("w1", "w2", F.col("c").alias("c11"), "df", "c1", "c2", "llr", "level")
+    return _passed(_counts(spark, sf_dir)).select("w1", "w2", F.col("c").alias("c11"), "df", "c1", "c2", "llr", "level")
 
 
 def colloc_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +52,7 @@ def colloc_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def colloc_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five supporting sentences of the pairs that pass, as text keys, with the first one's text."""
     sents = _sentences(spark, sf_dir)
-    passed = _gated(spark, sf_dir).where("passed").select("w1", "w2")
+    passed = _passed(_counts(spark, sf_dir)).select("w1", "w2")
     edges = c.adjacent_edges(sents).join(passed, ["w1", "w2"], "left_semi")
     listed = c.first_examples(edges)
     first = F.col("sents")[0]
@@ -60,7 +64,7 @@ def colloc_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def colloc_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred strongest pairs of each level, for the report."""
-    rows = _gated(spark, sf_dir).where("passed")
+    rows = _passed(_counts(spark, sf_dir))
     rank = F.row_number().over(Window.partitionBy("level").orderBy(F.desc("llr"), "w1", "w2"))
     return rows.withColumn("rank", rank).where("rank <= 100").select("level", "rank", "w1", "w2", "llr")
 
@@ -82,7 +86,7 @@ def trigram_partial_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def colloc_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _counts(spark, sf_dir)
-    return c.whitelist(c.object_entropy(c.of_length(counts, 2)), _scored(counts))
+    return c.whitelist(c.object_entropy(c.of_length(counts, 2)), _passed(counts))
 
 
 def colloc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +98,7 @@ def colloc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = spark.createDataFrame([(name, o.get["n"]) for name, o in seen.items()], "stage string, n_rows long")
     pairs = c.of_length(counts, 2).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("edges"), F.count(F.lit(1)).alias("pairs"))
     pairs = pairs.unpivot([], ["edges", "pairs"], "stage", "n_rows")
-    passed = _scored(counts).where("passed").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("passed").alias("stage"), "n_rows")
+    passed = _passed(counts).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("passed").alias("stage"), "n_rows")
     return local.unionByName(pairs).unionByName(passed)
 
 
