@@ -66,10 +66,10 @@ def follow_edges(done: DataFrame, edges: DataFrame, waiting: DataFrame) -> DataF
     its sources are done.  Both are the graph, which is small whatever the data.
     """
     done = done.select("thread", "node").distinct()
-    plain = done.join(F.broadcast(edges), F.col("node") == F.col("source")).select("thread", F.col("target").alias("node"))
+    plain = done.join(edges, F.col("node") == F.col("source")).select("thread", F.col("target").alias("node"))
     needed = waiting.groupBy("target").agg(F.count_distinct("source").alias("_needed"))
-    seen = done.join(F.broadcast(waiting.distinct()), F.col("node") == F.col("source")).groupBy("thread", "target").agg(F.count(F.lit(1)).alias("_seen"))
-    joined = seen.join(F.broadcast(needed), "target").where("_seen = _needed").select("thread", F.col("target").alias("node"))
+    seen = done.join(waiting.distinct(), F.col("node") == F.col("source")).groupBy("thread", "target").agg(F.count(F.lit(1)).alias("_seen"))
+    joined = seen.join(needed, "target").where("_seen = _needed").select("thread", F.col("target").alias("node"))
     return plain.unionByName(joined).distinct()
 
 
@@ -92,7 +92,7 @@ def node_inputs(state: DataFrame, reads: DataFrame) -> DataFrame:
     """(thread, node, input map) of nodes (node, channel, needed): filled channels only; a node lacking a needed one does not run."""
     threads = state.select("thread").distinct()
     filled = state.where("value is not null").select("thread", "channel", "value")
-    asked = threads.join(F.broadcast(reads)).join(filled, ["thread", "channel"], "left")
+    asked = threads.join(reads).join(filled, ["thread", "channel"], "left")
     entry = F.when(F.col("value").isNotNull(), F.struct("channel", "value"))
     rows = asked.groupBy("thread", "node").agg(
         F.bool_and(~F.col("needed") | F.col("value").isNotNull()).alias("_runs"), F.array_sort(F.collect_list(entry)).alias("_entries")

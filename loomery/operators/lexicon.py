@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomery.functions import text
+from loomery.operators.ordered import running
 
 # The patterns, their order and the ratios decide a fragment's class.
 CODE_SIGNATURE = (
@@ -225,9 +226,12 @@ def frame_index(annotations: DataFrame) -> DataFrame:
 
 
 def inverted_index(rows: DataFrame, key: str = "frame", item: str = "word", order: str = "pos") -> DataFrame:
-    """Per key its items in order, repeats kept."""
-    listed = F.array_sort(F.collect_list(F.struct(order, item)))
-    return rows.groupBy(key).agg(F.transform(listed, lambda x: x[item]).alias("items"))
+    """(key, place, item): each key's items in order from 1, repeats kept, a row each; a key's rows are no task's work alone.
+
+    ``order`` is unique in a key.
+    """
+    made = running(rows.select(key, order, item, F.lit(1).alias("_one")), {"place": ("count", "_one")}, (key,), (order,))
+    return made.select(key, "place", item)
 
 
 def related_pairs(names: DataFrame, relations: DataFrame, elements: DataFrame | None = None) -> DataFrame:
