@@ -408,5 +408,5 @@ def word_offsets(docs: DataFrame, key: str = "doc_id", body: str = "text") -> Da
     starts = F.aggregate("part", blank, step)["starts"]
     rows = text.once(rows, ["doc_id", "b", "part"], starts=starts)
     rows = rows.select("doc_id", "b", F.posexplode(F.arrays_zip("part", "starts")).alias("i", "x"))
-    rows = rows.select("doc_id", (F.col("b") * block + F.col("i")).alias("place"), F.col("x.part").alias("word"), F.col("x.starts").alias("start"))
+    rows = rows.select("doc_id", (F.col("b") * block + F.col("i")).alias("place"), F.col("x.part").alias("word"), F.col("x.starts").cast("long").alias("start"))
     return rows.where(F.col("word").rlike("^[A-Za-z']")).withColumn("end", F.col("start") + F.length("word"))
