@@ -64,6 +64,16 @@ def keywords(name: Column, stop: tuple[str, ...] = ()) -> Column:
     return F.array_distinct(F.concat(parts, runs))
 
 
+def rich_text(name: Column, description: Column, parameters: Column) -> Column:
+    """A tool in one sentence or two for an embedding: readable name, the first 300 characters of its purpose, and parameters if it has any."""
+    readable = F.translate(name, "_-", "  ")
+    purpose = strip(F.left(F.coalesce(description, F.lit("")), F.lit(300)))
+    listed = F.array_join(parameters, ", ")
+    # The words between.
+    whole = F.concat(F.lit("Tool: "), readable, F.lit(". Purpose: "), purpose, F.lit("."))
+    return F.when(F.coalesce(listed, F.lit("")) == "", whole).otherwise(F.concat(whole, F.lit(" Parameters: "), listed, F.lit(".")))
+
+
 def stem_variants(word: Column) -> Column:
     """A word, its form without the first suffix that fits, and that stem with every suffix; sorted, over 2 long."""
     w = F.lower(word)

@@ -135,6 +135,27 @@ def retrieved(words: DataFrame, lexicon: DataFrame, limit: int = 8) -> tuple[Dat
     return candidates, own.join(found, same, "left_anti").select("doc_id", "place", "word")
 
 
+def selected(candidates: DataFrame, misses: DataFrame) -> DataFrame:
+    """One frame a content word out of :func:`retrieved`'s candidates: doc_id, place, word, frame, confidence, source.
+
+    A frame that more of a document's different words can have is likelier; then the lookup's order counts.  A word's
+    only candidate is ``high``, one that other words of the document share ``medium``, any other ``low``; words without a
+    candidate stay without a frame.  Everything is joined by document and frame or word, so no document is gathered.
+    """
+    word = F.lower("word")
+    shared = candidates.select("doc_id", "frame", word.alias("w")).distinct().groupBy("doc_id", "frame").agg(F.count(F.lit(1)).alias("support"))
+    own = candidates.select("doc_id", "word", "frame", "rank").distinct().join(shared, ["doc_id", "frame"])
+    best = own.groupBy("doc_id", "word").agg(
+        F.min(F.struct((-F.col("support")).alias("s"), "rank", "frame")).alias("b"), F.count(F.lit(1)).alias("n")
+    )
+    sure = F.when(F.col("n") == 1, "high").when(F.col("b.s") < -1, "medium").otherwise("low")
+    chosen = best.select("doc_id", "word", F.col("b.frame").alias("frame"), sure.alias("confidence"))
+    places = candidates.select("doc_id", "place", "word").distinct()
+    found = places.join(chosen, ["doc_id", "word"]).select("doc_id", "place", "word", "frame", "confidence", F.lit("lexicon").alias("source"))
+    none = misses.select("doc_id", "place", "word", F.lit(None).cast("string").alias("frame"), F.lit("none").alias("confidence"), F.lit("none").alias("source"))
+    return found.unionByName(none)
+
+
 def lookup(words: DataFrame, lexicon: DataFrame, limit: int = 8) -> DataFrame:
     """Frames of each word (word, pos or null) by lemma; at most ``limit`` a word, in name order.
 

@@ -177,6 +177,14 @@ def tool_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.listed(_part_tools(spark, sf_dir))
 
 
+def tool_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as tools in words; every third has no parameters."""
+    p = table(spark, sf_dir, "part")
+    given = F.when(F.col("p_partkey") % 3 > 0, F.split("p_name", " ")).otherwise(F.array().cast("array<string>"))
+    name = F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("-")), F.lower("p_type"))
+    return p.select("p_partkey", text.rich_text(name, F.concat(F.lit(" "), F.repeat(F.concat("p_brand", F.lit(" ")), F.col("p_size"))), given).alias("text"))
+
+
 def dep_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as tools that need the customer of a third of their number and, in one segment, the next one."""
     c = table(spark, sf_dir, "customer")
@@ -286,7 +294,7 @@ def stem_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOCAL = (
     doc_fragments, fragment_stats, fragment_eligible, lookup_join_fallback, frame_search, ancestors_bounded, common_ancestor,
     relation_kinds, quality_gate, source_heuristics, deterministic_ids, token_recall_topk, keep_last_by_id, keep_max_degree,
-    dangling_edges, label_components, tool_scores, tool_listing, dep_closure, greedy_knapsack, jaccard_pairs, similar_parts, argmax_priority, gap_report,
+    dangling_edges, label_components, tool_scores, tool_listing, tool_texts, dep_closure, greedy_knapsack, jaccard_pairs, similar_parts, argmax_priority, gap_report,
     relation_traverse, inverse_relations, frame_inherit_merge, dangling_ids, stem_variants,
 )
 QUERIES = {f.__name__: f for f in _LOCAL}
@@ -421,6 +429,8 @@ SELECT name, hits, round(sim, 4) AS similarity, round(CASE WHEN NOT compliant TH
     "tool_listing": """WITH d AS (SELECT p_partkey AS name, p_name || ' by ' || p_brand || ' for ' || p_type || ' work at ' || trunc(p_retailprice)::INT || ' a piece' AS t
   FROM part WHERE p_brand <> 'Brand#13')
 SELECT name, CASE WHEN length(t) > 60 THEN left(t, 60) || '...' ELSE t END AS description FROM d""",
+    "tool_texts": """WITH t AS (SELECT p_partkey, p_name, replace(p_name, ' ', ' ') || ' ' || lower(p_type) AS name, trim(left(' ' || repeat(p_brand || ' ', p_size), 300)) AS d FROM part)
+SELECT p_partkey, 'Tool: ' || name || '. Purpose: ' || d || '.' || CASE WHEN p_partkey % 3 > 0 THEN ' Parameters: ' || replace(p_name, ' ', ', ') || '.' ELSE '' END AS text FROM t""",
     "dep_closure": """WITH RECURSIVE d AS (SELECT c_custkey AS name, c_custkey // 3 AS dep FROM customer
   UNION ALL SELECT c_custkey, c_custkey + 1 FROM customer WHERE c_mktsegment = 'BUILDING'),
 reach(name, member) AS (SELECT c_custkey, c_custkey FROM customer

@@ -95,6 +95,23 @@ def test_content_words_are_retrieved(spark):
     assert sorted((r["place"], r["word"]) for r in misses.collect()) == [(3, "sat"), (4, "Cats")]
 
 
+def test_a_frame_is_selected_that_other_words_share(spark):
+    hits = [("d", 0, "bank", "Money", 1), ("d", 0, "bank", "River", 2), ("d", 3, "shore", "River", 1), ("d", 5, "lamp", "Light", 1), ("d", 5, "lamp", "Thing", 2), ("d", 9, "bank", "Money", 1), ("d", 9, "bank", "River", 2), ("e", 0, "bank", "Money", 1), ("e", 0, "bank", "River", 2)]
+    candidates = spark.createDataFrame([(d, p, w, w, f, r) for d, p, w, f, r in hits], "doc_id string, place int, word string, lemma string, frame string, rank int")
+    misses = spark.createDataFrame([("d", 7, "xyzzy")], "doc_id string, place int, word string")
+    got = {(r["doc_id"], r["place"]): (r["frame"], r["confidence"], r["source"]) for r in lexicon.selected(candidates, misses).collect()}
+    assert got == {
+        ("d", 0): ("River", "medium", "lexicon"), ("d", 9): ("River", "medium", "lexicon"), ("d", 3): ("River", "high", "lexicon"), ("d", 5): ("Light", "low", "lexicon"),
+        ("d", 7): (None, "none", "none"), ("e", 0): ("Money", "low", "lexicon"),
+    }
+
+
+def test_rich_texts(spark):
+    rows = spark.createDataFrame([("read_file-now", " x" * 200, ["a", "b"]), ("t", None, []), ("u", "d", None)], "n string, d string, p array<string>")
+    got = [r["t"] for r in rows.select(text.rich_text(F.col("n"), F.col("d"), F.col("p")).alias("t")).collect()]
+    assert got[0] == "Tool: read file now. Purpose: " + (" x" * 200)[:300].strip() + ". Parameters: a, b." and got[1:] == ["Tool: t. Purpose: .", "Tool: u. Purpose: d."]
+
+
 @pytest.mark.parametrize("name", ["retrieved_words", "raw_tools"])
 def test_empty_tables(spark, name, tmp_path):
     from loomery import catalog
