@@ -181,8 +181,9 @@ def _links(a, b, text_a, text_b, body):
         return None
     end_a, end_b = np.cumsum([len(x) for x in text_a]).tolist(), np.cumsum([len(x) for x in text_b]).tolist()
     groups, i, j = [], 0, 0
-    for end in sorted(set(end_a) & set(end_b)):
-        p, q = end_a.index(end) + 1, end_b.index(end) + 1
+    at_a, at_b = {end: k for k, end in enumerate(end_a, 1)}, {end: k for k, end in enumerate(end_b, 1)}
+    for end in sorted(at_a.keys() & at_b.keys()):
+        p, q = at_a[end], at_b[end]
         groups.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
         i, j = p, q
     spans = lambda ends: list(zip([0, *ends], ends))
