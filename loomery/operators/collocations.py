@@ -218,9 +218,12 @@ def with_counts(pairs: DataFrame, uni: DataFrame, absent: int = 0) -> DataFrame:
     return joined.withColumn("c1", F.coalesce("c1", F.lit(absent))).withColumn("c2", F.coalesce("c2", F.lit(absent)))
 
 
-def promising(pairs: DataFrame, p: Params = LATIN) -> DataFrame:
-    """The pairs that :func:`gated` does not reject by their own counts: the only ones that can pass, so only they need their words' counts."""
-    return pairs.where((F.col("c") > p.reject_count_up_to) & (F.col("df") >= p.reject_docs_below))
+def promising(counts: DataFrame, p: Params = LATIN) -> DataFrame:
+    """Of counted words and pairs the words, and the pairs that :func:`gated` does not reject by their own counts.
+
+    Only these pairs can pass, so only they need to be written and their words' counts.
+    """
+    return counts.where(F.col("w2").isNull() | (F.col("c") > p.reject_count_up_to) & (F.col("df") >= p.reject_docs_below))
 
 
 def gated(counted: DataFrame, p: Params = LATIN) -> DataFrame:

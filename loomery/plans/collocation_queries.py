@@ -33,7 +33,12 @@ def _scored(counts: DataFrame) -> DataFrame:
 
 
 def _passed(counts: DataFrame) -> DataFrame:
-    return c.gated(c.with_counts(c.promising(c.of_length(counts, 2)), c.of_length(counts, 1))).where("passed")
+    return _scored(c.promising(counts)).where("passed")
+
+
+def _passing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs that pass; what cannot is not written."""
+    return _scored(cut(c.promising(c.ngram_counts(_sentences(spark, sf_dir))))).where("passed")
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def colloc_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _passed(_counts(spark, sf_dir)).select("w1", "w2", F.col("c").alias("c11"), "df", "c1", "c2", "llr", "level")
+    return _passing(spark, sf_dir).select("w1", "w2", F.col("c").alias("c11"), "df", "c1", "c2", "llr", "level")
 
 
 def colloc_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ def colloc_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
 def colloc_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five supporting sentences of the pairs that pass, as text keys, with the first one's text."""
     sents = _sentences(spark, sf_dir)
-    passed = _passed(_counts(spark, sf_dir)).select("w1", "w2")
+    passed = _passing(spark, sf_dir).select("w1", "w2")
     edges = c.adjacent_edges(sents).join(passed, ["w1", "w2"], "left_semi")
     listed = c.first_examples(edges)
     first = F.col("sents")[0]
@@ -64,7 +69,7 @@ def colloc_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def colloc_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hundred strongest pairs of each level, for the report."""
-    rows = _passed(_counts(spark, sf_dir))
+    rows = _passing(spark, sf_dir)
     rank = F.row_number().over(Window.partitionBy("level").orderBy(F.desc("llr"), "w1", "w2"))
     return rows.withColumn("rank", rank).where("rank <= 100").select("level", "rank", "w1", "w2", "llr")
 
