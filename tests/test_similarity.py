@@ -9,7 +9,7 @@ from loomery.operators import lexicon, similarity, store, tools
 SCHEMA = "id long, tokens array<string>, n int, rep string, set string"
 
 
-@pytest.mark.parametrize("least", [0.3, 0.5, 0.75, 0.8, 1.0])
+@pytest.mark.parametrize("least", [0.3, 0.75, 1.0])
 def test_pairs_equal_all_pairs(spark, least):
     r = random.Random(int(least * 100))
     words = [f"w{i}" for i in range(40)] + ["the"] * 30 + ["of"] * 20  # two words that nearly all sets have
