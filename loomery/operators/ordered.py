@@ -63,10 +63,11 @@ def running(writes: DataFrame, made: dict[str, tuple[str, str]], by: tuple[str,
         "sum": F.sum, "count": F.sum, "min": F.min, "max": F.max,
         "first": lambda c: F.first(c, ignorenulls=True), "last": lambda c: F.last(c, ignorenulls=True),
     }
-    carried = sums.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_part")))
-    carried = carried.select("_part", *by, "_n", *[over[kind](name).over(earlier).alias(f"_before_{name}") for name, (kind, _) in made.items()])
+    # A name of its own: the caller's may be any, so none of theirs is overwritten.
+    carried = sums.withColumn("_nth_range", F.row_number().over(Window.partitionBy(*by).orderBy("_part")))
+    carried = carried.select("_part", *by, "_nth_range", *[over[kind](name).over(earlier).alias(f"_before_{name}") for name, (kind, _) in made.items()])
     # Ranges follow each other, so fewer channels go on into a further range than there are ranges.
-    carried = carried.where("_n > 1").drop("_n").select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], *[f"_before_{n}" for n in made])
+    carried = carried.where("_nth_range > 1").select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(by)], *[f"_before_{n}" for n in made])
     same = [F.col("_part") == F.col("_p"), *[F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)]]
     joined = rows.join(F.broadcast(carried), same, "left")
     return joined.select(*writes.columns, *[_joined(kind, F.col(f"_before_{n}"), F.col(f"_own_{n}")).alias(n) for n, (kind, _) in made.items()])
@@ -76,9 +77,10 @@ def rising(rows: DataFrame, time: str, order: tuple[str, ...], into: str) -> Dat
     """``rows`` with their whole-number times made strictly rising in an order: a time not after the one before is that plus one.
 
     With the rows' numbers n that is n plus the highest of (time - n) so far, a running maximum, so no task sees all rows.
+    Rows equal in the order keep their numbers' order in the maximum, so that their times rise too.
     """
     counted = running(rows, {"_n": ("count", time)}, (), order)
-    highest = running(counted.withColumn("_ahead", F.col(time) - F.col("_n")), {"_top": ("max", "_ahead")}, (), order)
+    highest = running(counted.withColumn("_ahead", F.col(time) - F.col("_n")), {"_top": ("max", "_ahead")}, (), (*order, "_n"))
     return highest.withColumn(into, F.col("_top") + F.col("_n")).drop("_n", "_ahead", "_top")
 
 
