@@ -2,7 +2,8 @@
 
 import pytest
 
-from loomery.operators import ordered
+from loomery import catalog
+from loomery.operators import collocations, lexicon, ordered
 
 
 @pytest.fixture
@@ -27,3 +28,28 @@ def test_rising_times_go_on_over_ranges_and_ties(spark, ranges):
 def test_running_values_may_have_any_name(spark, ranges):
     rows = spark.createDataFrame([(i, 1) for i in range(100)], "ord int, v int")
     assert [r["_n"] for r in ordered.running(rows, {"_n": ("sum", "v")}, ()).orderBy("ord").collect()] == list(range(1, 101))
+
+
+def _lexicon(spark):
+    lex = [("bank", "n", "Money"), ("bank", "v", "River"), ("bank", "n", "Areas"), ("bank", "n", "Zone"), ("run", "n", "Move"), ("light", "n", "Light"), ("light", "n", "Areas")]
+    return spark.createDataFrame(lex, "lemma string, pos string, frame string")
+
+
+def test_counted_words_are_given_the_frames_of_single_ones(spark):
+    texts = [(1, "The Banks bank Light runs' xyzzy BANK a bank light"), (2, "running banked x"), (3, ""), (4, None), (5, "xyzzy xyzzy")]
+    docs = spark.createDataFrame(texts, "doc_id int, text string")
+    lex = _lexicon(spark)
+    words = collocations.word_offsets(docs).selectExpr("doc_id", "place", "word", "cast(null as string) as pos")
+    hits, misses = lexicon.retrieved(words, lex, limit=3)
+    own = ["doc_id", "word", "frame", "confidence", "source"]
+    want = {tuple(r[c] for c in own): r["count"] for r in lexicon.selected(hits, misses).groupBy(*own).count().collect()}
+    counted = lexicon.retrieved_counts(collocations.word_counts(docs), lex, limit=3)
+    got = {tuple(r[c] for c in own): r["n"] for r in lexicon.selected_counts(counted).collect()}
+    assert got == want and len(want) > 5
+
+
+def test_annotated_frames_cuts_each_text_and_finds_each_word_once(spark):
+    made = catalog.QUERIES["annotated_frames"](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    # Four times before: for candidates three times and for misses.
+    assert plan.count("[A-Za-z']+") == 1
