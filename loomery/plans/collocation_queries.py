@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomery.functions import text
-from loomery.lineage import cut
+from loomery.lineage import stored
 from loomery.operators import collocations as c
-from loomery.plans.common import table
+from loomery.plans.common import by_document, table
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +23,13 @@ def unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.unigrams(_sentences(spark, sf_dir))
 
 
-def _counts(spark: SparkSession, sf_dir: str, most: int = 2) -> DataFrame:
-    """Words, pairs (and triples) of all documents, counted in one scan and written, for the branches behind."""
-    return cut(c.ngram_counts(_sentences(spark, sf_dir), most))
+def _ngrams(spark: SparkSession, sf_dir: str, most: int = 2, lengths: tuple[int, ...] | None = None) -> DataFrame:
+    return c.ngram_counts(c.sentences(by_document(spark, sf_dir)), most, lengths)
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and pairs of all documents, counted in one scan and written, for the branches behind."""
+    return stored(_ngrams(spark, sf_dir))
 
 
 def _scored(counts: DataFrame) -> DataFrame:
@@ -38,11 +42,7 @@ def _passed(counts: DataFrame) -> DataFrame:
 
 def _passing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs that pass; what cannot is not written."""
-    return _scored(cut(c.promising(c.ngram_counts(_sentences(spark, sf_dir))))).where("passed")
-
-
-def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(_counts(spark, sf_dir))
+    return _scored(stored(c.promising(_ngrams(spark, sf_dir)))).where("passed")
 
 
 def colloc_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,10 @@ def colloc_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def colloc_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _gated(spark, sf_dir).where("not passed")
+    """Most pairs are rejected by their own counts and only counted; the others meet their words' counts."""
+    counts = _counts(spark, sf_dir)
+    late = _scored(c.promising(counts)).where("not passed").select("rejected_reason", "c")
+    rows = c.rejected_early(c.of_length(counts, 2)).unionByName(late)
     return rows.groupBy("rejected_reason").agg(F.count(F.lit(1)).alias("pairs"), F.sum("c").alias("edges"))
 
 
@@ -79,12 +82,16 @@ def word_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trigram_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _counts(spark, sf_dir, 3)
-    return c.trigram_information(c.of_length(counts, 3), c.of_length(counts, 1)).select("w1", "w2", "w3", "c", "df", "pmi3")
+    """Every triple with its information.  Words are counted first and written; triples, nearly as many as words in the texts, move once and are not."""
+    words = stored(c.unigrams(_sentences(spark, sf_dir)))
+    triples = c.of_length(_ngrams(spark, sf_dir, 3, (3,)), 3)
+    return c.trigram_information(triples, words).select("w1", "w2", "w3", "c", "df", "pmi3")
 
 
 def trigram_partial_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _counts(spark, sf_dir, 3)
+    """Triples below the templates' count are not written."""
+    grams = _ngrams(spark, sf_dir, 3)
+    counts = stored(grams.where(F.col("w3").isNull() | (F.col("c") >= c.LATIN.template_count)))
     made = c.templates(*(c.of_length(counts, n) for n in (3, 2, 1)))
     return made.select("w1", "w2", "w3", "c", "c12", "pmi_partial", "passed")
 
@@ -98,8 +105,8 @@ def colloc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row counts by stage, observed while the one scan runs; of the counted pairs the rest."""
     seen = {name: Observation(name) for name in ("documents", "sentences")}
     one = F.count(F.lit(1)).alias("n")
-    docs = table(spark, sf_dir, "documents").observe(seen["documents"], one)
-    counts = cut(c.ngram_counts(c.sentences(docs).observe(seen["sentences"], one)))
+    docs = by_document(spark, sf_dir).observe(seen["documents"], one)
+    counts = stored(c.ngram_counts(c.sentences(docs).observe(seen["sentences"], one)))
     local = spark.createDataFrame([(name, o.get["n"]) for name, o in seen.items()], "stage string, n_rows long")
     pairs = c.of_length(counts, 2).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("edges"), F.count(F.lit(1)).alias("pairs"))
     pairs = pairs.unpivot([], ["edges", "pairs"], "stage", "n_rows")
