@@ -5,7 +5,7 @@ import math
 import pytest
 
 from loomery import catalog
-from loomery.operators import collocations, lexicon, ordered
+from loomery.operators import collocations, knowledge, lexicon, ordered, retrieval
 
 
 @pytest.fixture
@@ -71,3 +71,20 @@ def test_grams_are_counted_where_a_document_is(spark):
     plan = catalog.QUERIES["trigram_pmi"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     # A row a gram and document moved before.
     assert "Exchange hashpartitioning(gram" in plan and "doc_id" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(gram" in x)
+
+
+def test_no_row_a_question_and_card(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SMALL_BLOCK", 16)
+    monkeypatch.setattr(retrieval, "GROUP", 5)
+    cards = spark.createDataFrame([(f"a{i // 2}", "gold" if i % 2 else "debug", "ontology", f"the of w{i % 7}") for i in range(120)], "artifact_id string, stage string, layer string, content string")
+    asked = spark.createDataFrame([(i, f"the of w{i % 9}") for i in range(23)], "id int, text string")
+    made = retrieval.search(retrieval.build(cards), asked, limit=4)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    # Hits of frequent tokens were rows and moved; now cards and questions meet inside their task.
+    assert "FlatMapCoGroups" in plan and "token#" not in plan
+    got = {}
+    for r in made.orderBy("question", "place").collect():
+        got.setdefault(r["question"], []).append((r["artifact_id"], r["stage"], round(r["score"], 9)))
+    for i in range(23):
+        want = [(r["artifact_id"], r["stage"], round(r["score"], 9)) for r in knowledge.recall_top(cards, f"the of w{i % 9}", 4).collect()]
+        assert got[i] == want
