@@ -64,6 +64,20 @@ def similar_sets(rows: DataFrame, least: float, key: str = "id", tokens: str = "
     return members.select("id", "rep"), similar_classes(one, least)
 
 
+def overlapping_sets(rows: DataFrame, key: str = "id", tokens: str = "tokens") -> tuple[DataFrame, DataFrame]:
+    """:func:`similar_sets` without a bound: (members, pairs) of all classes that share a token, however weakly.
+
+    Every such pair is asked for, so the result itself grows with the classes a token has; copies are one class first.
+    """
+    members = classes(rows, key, tokens)
+    one = members.where(F.col("id") == F.col("rep")).select("rep", "set").distinct()
+    each = one.select("rep", F.size("set").alias("n"), F.explode("set").alias("token"))
+    a = each.select("token", F.col("rep").alias("a"), F.col("n").alias("na"))
+    b = each.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"))
+    common = a.join(b, "token").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    return members.select("id", "rep"), common.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity"))
+
+
 def joined_classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, rep, links): how many other ids each id is similar to, counted by class: pairs of members are never listed."""
     size = members.groupBy("rep").agg(F.count(F.lit(1)).alias("size"))

@@ -206,9 +206,6 @@ def greedy_knapsack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.select_greedy(rows)
 
 
-LIKE = 0.5
-
-
 def _named_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names with the words of name, brand and type."""
     words = text.words(F.concat_ws(" ", "p_name", "p_type"))
@@ -217,8 +214,8 @@ def _named_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sets of parts' words that are alike by half or more, a pair a row; parts with one set of words are one class."""
-    _, pairs = similarity.similar_sets(_named_words(spark, sf_dir), LIKE, key="p_partkey")
+    """All sets of parts' words that share a word, a pair a row, however weak; parts with one set of words are one class."""
+    _, pairs = similarity.overlapping_sets(_named_words(spark, sf_dir), key="p_partkey")
     return pairs.select("a", "b", F.round("similarity", 4).alias("jaccard"))
 
 
@@ -438,7 +435,7 @@ reach(name, member) AS (SELECT c_custkey, c_custkey FROM customer
 SELECT * FROM reach""",
     "jaccard_pairs": f"""WITH {_WORD_CLASSES},
 p AS (SELECT a.rep AS a, b.rep AS b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS j FROM c a JOIN c b ON a.rep < b.rep)
-SELECT a, b, round(j, 4) AS jaccard FROM p WHERE j >= {LIKE}""",
+SELECT a, b, round(j, 4) AS jaccard FROM p WHERE j > 0""",
     "similar_parts": f"""WITH {_WORD_CLASSES},
 p AS (SELECT a.rep, sum(b.size) AS far FROM c a JOIN c b ON a.rep <> b.rep AND 5 * len(list_intersect(a.w, b.w)) >= 3 * len(list_distinct(list_concat(a.w, b.w))) GROUP BY 1)
 SELECT id, c.rep, (size - 1 + coalesce(far, 0))::BIGINT AS links FROM n JOIN c USING (w) LEFT JOIN p ON p.rep = c.rep""",

@@ -5,7 +5,7 @@ import math
 import pytest
 
 from loomery import catalog
-from loomery.operators import collocations, knowledge, lexicon, ordered, retrieval
+from loomery.operators import collocations, knowledge, lexicon, ordered, retrieval, similarity
 
 
 @pytest.fixture
@@ -88,3 +88,12 @@ def test_no_row_a_question_and_card(spark, monkeypatch):
     for i in range(23):
         want = [(r["artifact_id"], r["stage"], round(r["score"], 9)) for r in knowledge.recall_top(cards, f"the of w{i % 9}", 4).collect()]
         assert got[i] == want
+
+
+def test_jaccard_pairs_keep_weak_pairs(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["c", "d", "e", "e"]), (3, ["c", "b", "a"]), (4, ["x"]), (5, None), (6, ["e", None])], "id int, tokens array<string>")
+    members, pairs = similarity.overlapping_sets(rows)
+    assert {tuple(r) for r in members.collect()} == {(1, 1), (2, 2), (3, 1), (4, 4), (6, 6)}
+    assert {(r["a"], r["b"], round(r["similarity"], 4)) for r in pairs.collect()} == {(1, 2, 0.2), (2, 6, 0.3333)}
+    made = catalog.QUERIES["jaccard_pairs"](spark, "/root/testdata/sf0.001")
+    assert 0 < made.where("jaccard < 0.5").count() < made.count()
