@@ -76,29 +76,41 @@ def closure(tools: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("the closure did not settle")
 
 
+def greedy_choice(bundles: Column, budget: Column) -> Column:
+    """array<struct<name, tokens>>: what is taken of one request's bundles; a fold over its own array, so nothing leaves the JVM.
+
+    ``bundles``: array<struct<name, score, members array<struct<name, score, tokens>>>>, in any order; see :func:`select_greedy`.
+    """
+    last = F.lit(float("nan"))  # a bundle without a score comes last
+    ordered = F.array_sort(F.transform(bundles, lambda b: F.struct(F.coalesce(-b["score"], last).alias("rank"), b["name"].alias("name"), b["members"].alias("members"))))
+    blank = F.struct(budget.cast("long").alias("room"), F.array().cast("array<struct<name:string,tokens:bigint>>").alias("taken"))
+
+    def step(state: Column, bundle: Column) -> Column:
+        has = lambda name: F.exists(state["taken"], lambda t: t["name"] == name)
+        new = F.filter(bundle["members"], lambda m: ~has(m["name"]))
+        cost = F.aggregate(new, F.lit(0).cast("long"), lambda total, m: total + m["tokens"].cast("long"))
+        fits = ~has(bundle["name"]) & (cost <= state["room"]) & ~F.exists(new, lambda m: m["score"] <= VETO)
+        more = F.transform(new, lambda m: F.struct(m["name"].alias("name"), m["tokens"].cast("long").alias("tokens")))
+        return F.when(fits, F.struct((state["room"] - cost).alias("room"), F.concat(state["taken"], more).alias("taken"))).otherwise(state)
+
+    return F.array_distinct(F.aggregate(ordered, blank, step)["taken"])
+
+
 def select_greedy(candidates: DataFrame, budget: str = "token_budget") -> DataFrame:
     """Take bundles in score order while they fit; one that does not fit or has a vetoed member is passed over.
 
     ``candidates``: request_id, name, score, token_budget, members array<struct<name, score, tokens>>.
-    The choice of one bundle depends on all before it, so each request is one pandas group,
-    and a request's candidates are bounded by the tool registry.  Returns request_id, name, tokens.
+    The choice of one bundle depends on all before it, so a request's candidates, bounded by the tool
+    registry, are gathered in one row.  Returns request_id, name, tokens.
     """
+    rows = candidates.groupBy("request_id").agg(F.first(budget).alias("_budget"), F.collect_list(F.struct("name", "score", "members")).alias("_bundles"))
+    return chosen(rows, "_bundles", "_budget")
+
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        taken: dict[str, int] = {}
-        room = int(group[budget].iloc[0])
-        for row in group.sort_values(["score", "name"], ascending=[False, True]).itertuples():
-            new = [m for m in row.members if m["name"] not in taken]
-            cost = sum(int(m["tokens"]) for m in new)
-            if row.name_ in taken or cost > room or any(m["score"] <= VETO for m in new):
-                continue
-            room -= cost
-            taken |= {m["name"]: int(m["tokens"]) for m in new}
-        names = sorted(taken)
-        return pd.DataFrame({"request_id": [group["request_id"].iloc[0]] * len(names), "name": names, "tokens": [taken[n] for n in names]})
-
-    rows = candidates.withColumn("name_", F.col("name"))
-    return rows.groupBy("request_id").applyInPandas(choose, f"request_id {candidates.schema['request_id'].dataType.simpleString()}, name string, tokens long")
+def chosen(requests: DataFrame, bundles: str, budget: str = "token_budget") -> DataFrame:
+    """:func:`select_greedy` of requests (request_id, budget) whose bundles are in their own row: nothing moves."""
+    rows = requests.select("request_id", F.explode(greedy_choice(F.col(bundles), F.col(budget))).alias("t"))
+    return rows.select("request_id", "t.name", "t.tokens")
 
 
 def embed(texts: Column, function) -> Column:

@@ -202,8 +202,8 @@ def greedy_knapsack(spark: SparkSession, sf_dir: str) -> DataFrame:
     bundles = bundles.groupBy("name").agg(F.collect_list(F.struct(F.col("member").alias("name"), "score", "tokens")).alias("members"))
     requests = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request_id")).distinct()
     asked = requests.withColumn("token_budget", (F.lit(150) + F.col("request_id") % 8 * 100).cast("int"))
-    rows = asked.crossJoin(F.broadcast(scores.where("score >= 0.3").join(bundles, "name").select("name", "score", "members")))
-    return tools.select_greedy(rows)
+    listed = scores.where("score >= 0.3").join(bundles, "name").agg(F.collect_list(F.struct("name", "score", "members")).alias("bundles"))
+    return tools.chosen(asked.crossJoin(F.broadcast(listed)), "bundles")
 
 
 def _named_words(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import math
 import pytest
 
 from loomery import catalog
-from loomery.operators import collocations, knowledge, lexicon, ordered, retrieval, similarity
+from loomery.operators import collocations, knowledge, lexicon, ordered, retrieval, similarity, tools
 
 
 @pytest.fixture
@@ -97,3 +97,31 @@ def test_jaccard_pairs_keep_weak_pairs(spark):
     assert {(r["a"], r["b"], round(r["similarity"], 4)) for r in pairs.collect()} == {(1, 2, 0.2), (2, 6, 0.3333)}
     made = catalog.QUERIES["jaccard_pairs"](spark, "/root/testdata/sf0.001")
     assert 0 < made.where("jaccard < 0.5").count() < made.count()
+
+
+def test_greedy_choice_is_a_fold_in_the_jvm(spark):
+    member = "struct<name:string,score:double,tokens:int>"
+    rows = [
+        (q, name, score, 50 + 25 * (q % 6), [(m, s, t) for m, s, t in members])
+        for q in range(12)
+        for name, score, members in (
+            ("b", 0.9, [("b", 0.9, 60), ("x", 0.1, 20)]), ("a", 0.9, [("a", 0.9, 30)]), ("c", 0.8, [("c", 0.8, 10), ("x", 0.1, 20)]),
+            ("v", 0.7, [("v", 0.7, 1), ("w", -500.0, 1)]), ("x", 0.6, [("x", 0.1, 20)]), ("n", None, [("n", 0.5, 5)]),
+        )
+    ]
+    frame = spark.createDataFrame(rows, f"request_id int, name string, score double, token_budget int, members array<{member}>")
+    made = tools.select_greedy(frame)
+    got = {}
+    for r in made.collect():
+        got.setdefault(r["request_id"], {})[r["name"]] = r["tokens"]
+    want = {}
+    for q in range(12):
+        room, taken = 50 + 25 * (q % 6), {}
+        own = [(n, s, m) for i, n, s, _, m in rows if i == q]
+        for name, _, members in sorted(own, key=lambda r: (r[1] is None, -(r[1] or 0), r[0])):
+            new = [m for m in members if m[0] not in taken]
+            cost = sum(m[2] for m in new)
+            if name not in taken and cost <= room and not any(m[1] <= tools.VETO for m in new):
+                room, taken = room - cost, taken | {m[0]: m[2] for m in new}
+        want[q] = taken
+    assert got == want and "Pandas" not in made._jdf.queryExecution().executedPlan().toString()
