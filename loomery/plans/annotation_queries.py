@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomery.functions import text, vectors
+from loomery.lineage import stored
 from loomery.operators import chat, entities, lexicon, store
 from loomery.operators import collocations as c
 from loomery.plans.common import table
@@ -18,8 +19,8 @@ TEMPLATE = "Word {word} in {place}: choose one of {frames}. {word}?"
 
 
 def tagged_trigram_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples around verbs with count, documents and the first five sentences."""
-    found = c.sentence_trigrams(parsed(spark, sf_dir))
+    """Triples around verbs with count, documents and the first five sentences; written once, as parsing costs much more than its triples."""
+    found = stored(c.sentence_trigrams(parsed(spark, sf_dir, verbs=True)))
     by = ("w1", "w2", "w3", "type")
     samples = F.array_join(F.transform("sents", lambda s: F.concat_ws(":", s["doc_id"].cast("string"), s["sent_id"].cast("string"))), ",")
     return c.pair_counts(found, by).join(c.first_examples(found, by).withColumn("sents", samples), list(by))

@@ -5,7 +5,7 @@ import math
 import pytest
 
 from loomery import catalog
-from loomery.operators import collocations, knowledge, lexicon, ordered, retrieval, similarity, tools
+from loomery.operators import collocations, knowledge, lexicon, ordered, parsing, retrieval, similarity, tools
 
 
 @pytest.fixture
@@ -125,3 +125,17 @@ def test_greedy_choice_is_a_fold_in_the_jvm(spark):
                 room, taken = room - cost, taken | {m[0]: m[2] for m in new}
         want[q] = taken
     assert got == want and "Pandas" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_triples_are_parsed_once(spark):
+    made = catalog.QUERIES["tagged_trigram_samples"](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and made.count() > 0
+
+
+def test_tags_are_those_of_endings_and_closed_words(spark):
+    words = ["only", "fly", "sing", "red", "The", "WITH", "used", "very", "who", "lying", "noise", "house", "ly", "reply", "i"]
+    rows = spark.createDataFrame([(w,) for w in words], "word string")
+    got = {r["word"]: r["pos"] for r in parsing.tagged(rows, {"house": "v", "with": "n"}).collect()}
+    want = dict(zip(words, ["d", "d", "v", "v", "u", "n", "v", "d", "r", "v", "v", "v", "d", "d", "r"], strict=True))
+    assert got == want
