@@ -139,3 +139,37 @@ def test_tags_are_those_of_endings_and_closed_words(spark):
     got = {r["word"]: r["pos"] for r in parsing.tagged(rows, {"house": "v", "with": "n"}).collect()}
     want = dict(zip(words, ["d", "d", "v", "v", "u", "n", "v", "d", "r", "v", "v", "v", "d", "d", "r"], strict=True))
     assert got == want
+
+
+def _senses(lu, bags, threshold=0.3, most=3):
+    """Clusters by a plain loop over one word's bags."""
+    own, made = [b for b in (frozenset(w) - {lu} for w in bags[:500]) if b], []
+    for bag in own:
+        linked = [c for c in made if any(len(bag & x) > threshold * len(bag | x) for x in c)]
+        made = [c for c in made if c not in linked] + [[x for c in linked for x in c] + [bag]]
+        if len(made) >= most:
+            break
+    found = [c for c in made if len(c) >= 2] if len(own) >= 4 else []
+    out = []
+    for n, c in enumerate(sorted(found, key=lambda c: (-len(c), sorted(map(sorted, c)))), 1):
+        count = {w: sum(w in bag for bag in c) for bag in c for w in bag}
+        out.append((lu, n, len(c), sorted(count, key=lambda w: (-count[w], w))[:8], 2 <= len(found) <= most))
+    return out
+
+
+def test_senses_are_read_as_a_stream(spark):
+    import random
+
+    dice, rows = random.Random(5), []
+    for k in range(60):
+        pool = [f"w{i}" for i in range(dice.choice((3, 6, 12)))]
+        for i in range(dice.choice((1, 3, 4, 9, 40, 620))):
+            rows.append((f"l{k}", i // 3, i % 3, dice.choices([*pool, f"l{k}"], k=dice.choice((0, 1, 2, 5)))))
+    frame = spark.createDataFrame(rows, "lu string, doc_id int, sent_id int, words array<string>")
+    made = parsing.sense_clusters(frame)
+    want = {}
+    for lu, *_, words in rows:
+        want.setdefault(lu, []).append(words)
+    got = sorted(tuple(r) for r in made.collect())
+    assert got == sorted(row for lu, bags in want.items() for row in _senses(lu, bags))
+    assert "InPandas" not in made._jdf.queryExecution().executedPlan().toString()
