@@ -19,10 +19,13 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ KINDS = ("cosine", "inner_product", "l2")
 MOST_CELLS = 4096
 _ROWS = 4096
 _QUESTIONS = 512
+#: Scores that Python holds at once when points meet all centres.
+_SCORES = 1 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -50,6 +55,17 @@ def _scores(kind: str, asked: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return -np.sqrt(np.maximum(squares, 0))
 
 
+def _best(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per point its nearest centre and the score of it, some points at a time: what is held does not grow with both."""
+    own, score = np.zeros(len(points), dtype=np.int64), np.zeros(len(points))
+    step = max(1, _SCORES // max(1, len(centres)))
+    for at in range(0, len(points), step):
+        some = _scores("l2", points[at : at + step], centres)
+        own[at : at + step] = some.argmax(axis=1)
+        score[at : at + step] = some.max(axis=1)
+    return own, score
+
+
 def fit_cells(sample: np.ndarray, cells: int, kind: str, rounds: int = 12, seed: int = 3) -> np.ndarray:
     """Centroids by Lloyd's rounds, on unit vectors for cosine; an emptied cell takes the row that fits worst."""
     if not len(sample):
@@ -58,13 +74,12 @@ def fit_cells(sample: np.ndarray, cells: int, kind: str, rounds: int = 12, seed:
     random = np.random.default_rng(seed)
     centres = points[random.choice(len(points), min(cells, len(points)), replace=False)].copy()
     for _ in range(rounds):
-        score = _scores("l2", points, centres)
-        own = score.argmax(axis=1)
+        own, score = _best(points, centres)
         count = np.bincount(own, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, own, points)
         empty = np.flatnonzero(count == 0)
-        worst = np.argsort(score.max(axis=1), kind="stable")[: len(empty)]
+        worst = np.argsort(score, kind="stable")[: len(empty)]
         centres = sums / np.maximum(count, 1)[:, None]
         centres[empty] = points[worst]
     return centres
@@ -87,8 +102,13 @@ class Index:
         """Per question its nearest cells, the nearest first."""
         points = _unit(asked) if self.kind == "cosine" else asked
         # A large inner product wants a centre in its direction; the others a near one.
-        score = _scores("inner_product" if self.kind == "inner_product" else "l2", points, self.centres)
-        return np.argsort(-score, axis=1, kind="stable")[:, : probes or len(self.centres)]
+        kind = "inner_product" if self.kind == "inner_product" else "l2"
+        step = max(1, _SCORES // max(1, len(self.centres)))
+        few = [
+            np.argsort(-_scores(kind, points[at : at + step], self.centres), axis=1, kind="stable")[:, : probes or len(self.centres)].astype("int32")
+            for at in range(0, max(1, len(points)), step)
+        ]
+        return np.concatenate(few)
 
 
 def _usable(column: str, length: int) -> Column:
@@ -114,7 +134,7 @@ def _write_cells(rows: DataFrame, index: Index, mode: str) -> None:
         if not len(points):
             return pd.Series([], dtype="int32")
         points = _unit(points) if kind == "cosine" else points
-        return pd.Series(_scores("l2", points, centres.value).argmax(axis=1).astype("int32"))
+        return pd.Series(_best(points, centres.value)[0].astype("int32"))
 
     known = F.when(_usable("embedding", index.centres.shape[1] if index.centres.size else -1), F.col("embedding"))
     good = rows.withColumn("embedding", known)
@@ -184,27 +204,52 @@ def nearest(
         points = _matrix(vectors)
         return pd.Series(list(shared.value.nearest_cells(points, probes).astype("int32")) if len(points) else [], dtype=object)
 
-    probed = asked.withColumn("cell", F.explode(cells_of("embedding")))
+    every = F.sequence(F.lit(0), F.lit(max(1, len(index.centres)) - 1))
+    probed = asked.withColumn("cell", F.explode(every if probes is None else cells_of("embedding")))
     left = _blocks(probed, _QUESTIONS).select("cell", F.col("ids").alias("asked"), F.col("vectors").alias("asked_vectors"))
     right = _blocks(index.rows(spark).where("cell >= 0"), _ROWS)
     schema = f"question {asked_type}, id {index.id_type}, score double"
 
-    def score(batches):
+    def scored(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """One pair of blocks as one matrix product."""
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        asks = rows["asks"]
+        own, others = rows.filter(asks), rows.filter(pc.invert(asks))
+        matrix = lambda t: pc.list_flatten(t["vector"]).to_numpy().reshape(-1, length)
+        order = np.argsort(others["id"].to_numpy(), kind="stable")
+        found = np.round(_scores(kind, matrix(own), matrix(others)[order]), 12)
+        few = np.argsort(-found, axis=1, kind="stable")[:, :limit]
+        return pa.RecordBatch.from_arrays(
+            [
+                own["question"].combine_chunks().take(pa.array(np.repeat(np.arange(len(own)), few.shape[1]))),
+                others["id"].combine_chunks().take(pa.array(order[few].reshape(-1))), pa.array(np.take_along_axis(found, few, axis=1).reshape(-1)),
+            ],
+            names=["question", "id", "score"],
+        )
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, now = [], None
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                ids = np.asarray(row.ids)
-                order = np.argsort(ids, kind="stable")
-                found = _scores(kind, _matrix(row.asked_vectors), _matrix(pd.Series(list(row.vectors))[order]))
-                found = np.round(found, 12)
-                few = np.argsort(-found, axis=1, kind="stable")[:, :limit]
-                yield pd.DataFrame(
-                    {
-                        "question": np.repeat(np.asarray(row.asked), few.shape[1]), "id": ids[order][few].reshape(-1),
-                        "score": np.take_along_axis(found, few, axis=1).reshape(-1),
-                    }
-                )
-
-    pairs = left.join(right, "cell").select("asked", "asked_vectors", "ids", "vectors").mapInPandas(score, schema)
+            pairs = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(pairs)) + 1).tolist(), len(pairs)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b == a:
+                    continue
+                if parts and pairs[a] != now:
+                    yield scored(parts)
+                    parts = []
+                now = pairs[a]
+                parts.append(batch.slice(a, b - a))
+        if parts:
+            yield scored(parts)
+
+    # A pair goes to Python as its vectors, a row each and one pair after the other: a batch of whole blocks would have no bound.
+    pairs = left.join(right, "cell").select(F.monotonically_increasing_id().alias("pair"), "asked", "asked_vectors", "ids", "vectors")
+    row = lambda asks, q, i, v: F.struct(F.lit(asks).alias("asks"), q.cast(asked_type).alias("question"), i.cast(index.id_type).alias("id"), v.alias("vector"))
+    none = F.lit(None)
+    own = F.zip_with("asked", "asked_vectors", lambda q, v: row(True, q, none, v))
+    vectors = pairs.select("pair", F.explode(F.concat(own, F.zip_with("ids", "vectors", lambda i, v: row(False, none, i, v)))).alias("r"))
+    pairs = vectors.select("pair", "r.asks", "r.question", "r.id", "r.vector").mapInArrow(score, schema)
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "id"))
     return pairs.withColumn("place", place).where(F.col("place") <= limit)
 

@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from loomery import catalog
-from loomery.operators import collocations, knowledge, lexicon, ordered, parsing, retrieval, similarity, tools
+from loomery.operators import collocations, knowledge, lexicon, ordered, parsing, retrieval, similarity, tools, vector_index
 
 
 @pytest.fixture
@@ -173,3 +174,21 @@ def test_senses_are_read_as_a_stream(spark):
     got = sorted(tuple(r) for r in made.collect())
     assert got == sorted(row for lu, bags in want.items() for row in _senses(lu, bags))
     assert "InPandas" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_vectors_reach_python_in_small_rows_and_scores_in_steps(spark, tmp_path, monkeypatch):
+    dice = np.random.default_rng(2)
+    points = dice.normal(size=(700, 8))
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, embedding array<double>")
+    whole, _ = vector_index._best(points, points[:50])
+    monkeypatch.setattr(vector_index, "_SCORES", 64)  # one point at a time
+    monkeypatch.setattr(vector_index, "_ROWS", 40)
+    monkeypatch.setattr(vector_index, "_QUESTIONS", 7)
+    assert (vector_index._best(points, points[:50])[0] == whole).all() and (whole == vector_index._scores("l2", points, points[:50]).argmax(axis=1)).all()
+    index = vector_index.build(rows, str(tmp_path / "index"), cells=9)
+    made = vector_index.nearest(index, rows.where("id % 20 = 0"), limit=5)
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    want = {(q, int(i), n) for q in range(0, 700, 20) for n, i in enumerate(np.argsort(-(unit[q] @ unit.T), kind="stable")[:5], 1)}
+    assert {(r["question"], r["id"], r["place"]) for r in made.collect()} == want
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
