@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomery import catalog
 from loomery.operators import collocations, knowledge, lexicon, ordered, parsing, retrieval, similarity, tools, vector_index
@@ -192,3 +193,19 @@ def test_vectors_reach_python_in_small_rows_and_scores_in_steps(spark, tmp_path,
     assert {(r["question"], r["id"], r["place"]) for r in made.collect()} == want
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_idle_sessions_end_after_exactly_that_time_and_stay_in_the_jvm(spark, tmp_path):
+    from loomery.streaming import events
+
+    times = {1: (0, 1000, 2001, 3001, 3500), 2: (5, 1005, 90_000), 3: (700_000,)}
+    rows = [(n, u, ms) for u, own in times.items() for n, ms in enumerate(own)]
+    frame = spark.createDataFrame(rows, "event_id long, user_id long, ms long")
+    frame = frame.select("event_id", F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, ms / 1000) + interval '0.000900' second").alias("ts"), "user_id", F.lit("x").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"))
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = events.idle_sessions(events.read_events(spark, str(tmp_path / "in")), idle_ms=1000)
+    assert "Pandas" not in stream._jdf.queryExecution().logical().toString() and "Python" not in stream._jdf.queryExecution().logical().toString()
+    base = 1_704_067_200_000
+    got = {(r["user_id"], r["first_ms"] - base, r["last_ms"] - base, r["events"]) for r in events.run_available(stream).collect()}
+    # The watermark, ten minutes before the last event, is at 100,000 ms.
+    assert got == {(1, 0, 1000, 2), (1, 2001, 3500, 3), (2, 5, 1005, 2), (2, 90_000, 90_000, 1)}
