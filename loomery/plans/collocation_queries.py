@@ -78,7 +78,8 @@ def colloc_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return c.object_entropy(c.of_length(_counts(spark, sf_dir), 2))
+    """No documents are counted here, so pairs are counted where they are cut and move once, and neither texts nor pairs by document do."""
+    return c.object_entropy(c.adjacent_edges(_sentences(spark, sf_dir)).select("w1", "w2", F.lit(1).alias("c")))
 
 
 def trigram_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:

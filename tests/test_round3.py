@@ -209,3 +209,10 @@ def test_idle_sessions_end_after_exactly_that_time_and_stay_in_the_jvm(spark, tm
     got = {(r["user_id"], r["first_ms"] - base, r["last_ms"] - base, r["events"]) for r in events.run_available(stream).collect()}
     # The watermark, ten minutes before the last event, is at 100,000 ms.
     assert got == {(1, 0, 1000, 2), (1, 2001, 3500, 3), (2, 5, 1005, 2), (2, 90_000, 90_000, 1)}
+
+
+def test_entropy_moves_pairs_once(spark):
+    made = catalog.QUERIES["word_entropy"](spark, "/root/testdata/sf0.001")
+    # Neither dealt out by document nor written.
+    files = made.inputFiles()
+    assert len(files) > 0 and all("documents" in f for f in files) and made.count() > 0
