@@ -216,3 +216,15 @@ def test_entropy_moves_pairs_once(spark):
     # Neither dealt out by document nor written.
     files = made.inputFiles()
     assert len(files) > 0 and all("documents" in f for f in files) and made.count() > 0
+
+
+def test_offsets_of_texts_of_any_length(spark):
+    import re
+
+    texts = [(n, " ".join(("ab", "it's", "c")[i % 3] for i in range(n)) + "." * (n % 3)) for n in (0, 1, 8, 9, 40, 500, 40_000)]
+    made = collocations.word_offsets(spark.createDataFrame(texts, "doc_id int, text string"))
+    got = {(r["doc_id"], r["word"], r["start"], r["end"]) for r in made.collect()}
+    assert got == {(n, m.group(), m.start(), m.end()) for n, t in texts for m in re.finditer("[A-Za-z']+", t)}
+    assert made.select("doc_id", "place").distinct().count() == len(got)
+    # Blocks are as long as the text needs, no longer.
+    assert "sqrt" in made._jdf.queryExecution().optimizedPlan().toString().lower()
