@@ -60,19 +60,24 @@ def raw_tools(selected: DataFrame, registry: DataFrame, by: str = "request_id")
 
 
 def closure(tools: DataFrame, rounds: int = 40) -> DataFrame:
-    """(name, member): every tool with all it depends on, itself included; unknown names are left out."""
+    """(name, member): every tool with all it depends on, itself included; unknown names are left out.
+
+    Round k has the pairs nearer than 2^k steps and, marked as far, those exactly that far.  Only far ones are
+    prolonged, by all that begin where they end, so that a pair is found by its shortest paths alone, not by every cut of every path.
+    """
     names = tools.select("name")
     step = tools.select("name", F.explode("dependencies").alias("member"))
-    step = step.join(names.withColumnRenamed("name", "member"), "member", "left_semi").distinct()
-    reach = names.select("name", F.col("name").alias("member")).unionByName(step).distinct()
-    count = reach.count()
+    step = step.join(names.withColumnRenamed("name", "member"), "member", "left_semi")
+    nearest = lambda rows: rows.groupBy("name", "member").agg(F.min("far").alias("far"))
+    own = names.select("name", F.col("name").alias("member"), F.lit(False).alias("far"))
+    reach = cut(nearest(own.unionByName(step.select("name", "member", F.lit(True).alias("far")))))
     for _ in range(rounds):
-        # Paths double in length every round.
-        further = reach.alias("a").join(reach.alias("b"), F.col("a.member") == F.col("b.name")).select("a.name", "b.member")
-        reach = cut(reach.unionByName(further).distinct())
-        if (now := reach.count()) == count:
-            return reach
-        count = now
+        far = reach.where("far")
+        if far.isEmpty():
+            return reach.select("name", "member")
+        further = far.alias("a").join(reach.alias("b"), F.col("a.member") == F.col("b.name")).select("a.name", "b.member", "b.far")
+        # Doubled far pairs that are near by another way are near.
+        reach = cut(nearest(reach.where("not far").unionByName(further)))
     raise RuntimeError("the closure did not settle")
 
 

@@ -228,3 +228,33 @@ def test_offsets_of_texts_of_any_length(spark):
     assert made.select("doc_id", "place").distinct().count() == len(got)
     # Blocks are as long as the text needs, no longer.
     assert "sqrt" in made._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_closure_finds_a_pair_by_its_shortest_paths_alone(spark, monkeypatch):
+    r, schema = np.random.default_rng(5), "name string, dependencies array<string>"
+    needs = {f"t{i}": [f"t{j}" for j in r.integers(0, 45, r.integers(0, 4))] for i in range(40)} | {"alone": None, "self": ["self", None]}
+    want = set()
+    for name in needs:
+        seen, todo = {name}, [name]
+        while todo:
+            for m in needs[todo.pop()] or []:
+                if m in needs and m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        want |= {(name, m) for m in seen}
+    got = [tuple(x) for x in tools.closure(spark.createDataFrame(list(needs.items()), schema)).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+    chain = spark.createDataFrame([(f"t{i}", [f"t{i - 1}"]) for i in range(64)], schema)
+    kind, grouped = type(chain), []
+    union = kind.unionByName
+
+    def counted(self, other, *rest):
+        made = union(self, other, *rest)
+        grouped.append(made.count())
+        return made
+
+    monkeypatch.setattr(kind, "unionByName", counted)
+    assert tools.closure(chain).count() == 64 * 65 // 2
+    # Before, 45,760 rows: every pair by each tool between.
+    assert max(grouped) <= 64 * 65 // 2 + 64
