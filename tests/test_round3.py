@@ -258,3 +258,14 @@ def test_closure_finds_a_pair_by_its_shortest_paths_alone(spark, monkeypatch):
     assert tools.closure(chain).count() == 64 * 65 // 2
     # Before, 45,760 rows: every pair by each tool between.
     assert max(grouped) <= 64 * 65 // 2 + 64
+
+
+def test_common_ancestors_of_frames_with_very_many(spark):
+    rows = [("Using", "wide", f"w{i}", i) for i in range(2000)] + [("Using", "narrow", "w1999", 2000), ("Using", "narrow", "n", 2001), ("Using", "odd", "o", 2002)]
+    relations = spark.createDataFrame(rows, "type string, sub string, super string, ord int")
+    asked = spark.createDataFrame([("narrow", "wide"), ("wide", "narrow"), ("odd", "wide"), ("narrow", "odd"), ("wide", "wide"), ("gone", "wide")], "a string, b string")
+    made = lexicon.common_ancestors(lexicon.ancestors(relations), asked)
+    got = {(r["a"], r["b"]): (r["ancestor"], r["depth_a"], r["depth_b"]) for r in made.collect()}
+    assert got == {("narrow", "wide"): ("w1999", 1, 1), ("wide", "narrow"): ("w1999", 1, 1), ("wide", "wide"): ("w0", 1, 1)}
+    # Before, every ancestor of the first frame moved on with every pair.
+    assert "getbit" in made._jdf.queryExecution().optimizedPlan().toString()
