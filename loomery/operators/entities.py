@@ -69,6 +69,12 @@ def part_candidates(rows: DataFrame, field: str, part: str, source: str = "entit
     return values.where("value is not null").withColumn("source", F.lit(source))
 
 
+def apart_candidates(rows: DataFrame, parts: DataFrame, part: str, source: str = "entity") -> DataFrame:
+    """:func:`part_candidates` where the entries (parts: id, part) are a table of their own: none are gathered into a row."""
+    values = parts.where(F.col(part).isNotNull()).select("id", F.col(part).alias("value"))
+    return rows.select("id").join(values, "id").select("id", "value").withColumn("source", F.lit(source))
+
+
 def field_candidates(rows: DataFrame, field: str, source: str) -> DataFrame:
     """Values of a field (a list gives one row each, nulls none) as candidates (id, value, source)."""
     kind = rows.schema[field].dataType

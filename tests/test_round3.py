@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomery import catalog
-from loomery.operators import collocations, knowledge, lexicon, ordered, parsing, retrieval, similarity, tools, vector_index
+from loomery.operators import collocations, entities, knowledge, lexicon, ordered, parsing, retrieval, similarity, tools, vector_index
 
 
 @pytest.fixture
@@ -269,3 +269,12 @@ def test_common_ancestors_of_frames_with_very_many(spark):
     assert got == {("narrow", "wide"): ("w1999", 1, 1), ("wide", "narrow"): ("w1999", 1, 1), ("wide", "wide"): ("w0", 1, 1)}
     # Before, every ancestor of the first frame moved on with every pair.
     assert "getbit" in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_artifacts_files_are_not_gathered(spark):
+    lists = spark.createDataFrame([("a", [("x",), (None,), ("x",)]), ("b", []), ("c", None)], "id string, files array<struct<path:string>>")
+    apart = spark.createDataFrame([("a", "x"), ("a", None), ("a", "x"), ("gone", "y"), (None, "z")], "id string, path string")
+    want = sorted(entities.part_candidates(lists, "files", "path").collect())
+    assert sorted(entities.apart_candidates(lists, apart, "path").select("id", "value", "source").collect()) == want and len(want) == 2
+    plan = catalog.QUERIES["artifact_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Repartition" in plan
