@@ -29,10 +29,10 @@ def _head(*names: str) -> str:
     return "| " + " | ".join(names) + " |\n|" + "---|" * len(names)
 
 
-def _lines(rows: DataFrame, by: str, order: list[str], line: Column, name: str) -> DataFrame:
-    """(by, name): the lines of each group in order, joined."""
-    listed = F.array_sort(F.collect_list(F.struct(*order, line.alias("_line"))))
-    return rows.groupBy(by).agg(F.array_join(F.transform(listed, lambda x: x["_line"]), "\n").alias(name))
+def _lines(rows: DataFrame, by: str, order: list[str], line: Column, name: str, *others: Column) -> DataFrame:
+    """(by, name): the lines of each group in order, joined; and what else is asked for."""
+    listed = F.sort_array(F.collect_list(F.struct(*order, line.alias("_line"))))
+    return rows.groupBy(by).agg(F.array_join(F.transform(listed, lambda x: x["_line"]), "\n").alias(name), *others)
 
 
 def _section(title: str, body: Column, head: str = "") -> Column:
@@ -51,13 +51,13 @@ def annotation_reports(fragments: DataFrame, annotations: DataFrame, relations:
     confidence; ``relations``: doc_id, source, target, kind, detail.
     """
     value = [F.count_if(F.col("value") == v).alias(f"_{v}") for v in VALUES]
-    counts = fragments.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_fragments"), *value)
-    skipped = _lines(fragments.where("value in ('low', 'skip')"), "doc_id", ["fragment_id"], F.col("fragment_id"), "_skipped")
+    left = F.when(F.col("doc_id").isNotNull() & F.col("value").isin("low", "skip"), F.col("fragment_id"))
+    skipped = F.array_join(F.sort_array(F.collect_list(left)), "\n").alias("_skipped")
+    rows = fragments.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_fragments"), skipped, *value)
     sure = [F.count_if(F.coalesce("confidence", F.lit("none")) == c).alias(f"_{c}_words") for c in CONFIDENCES]
-    words = annotations.groupBy("doc_id").agg(*sure)
     worth = F.coalesce(F.array_position(F.array(*map(F.lit, CONFIDENCES)), F.coalesce("confidence", F.lit("none"))), F.lit(len(CONFIDENCES)))
     frames = annotations.where("frame is not null").groupBy("doc_id", "frame").agg(
-        F.array_join(F.array_sort(F.collect_set("word")), ", ").alias("words"), F.array_join(F.array_sort(F.collect_set("fragment_id")), ", ").alias("where"),
+        F.array_join(F.sort_array(F.collect_set("word")), ", ").alias("words"), F.array_join(F.sort_array(F.collect_set("fragment_id")), ", ").alias("where"),
         F.min(worth).alias("best"),
     )
     mark = F.element_at(F.array(*[F.lit(f"{MARKS[c]} {c}") for c in CONFIDENCES]), F.col("best").cast("int"))
@@ -65,11 +65,11 @@ def annotation_reports(fragments: DataFrame, annotations: DataFrame, relations:
     tied = _lines(relations, "doc_id", ["source", "target", "kind"], _line(*map(F.col, ("source", "target", "kind", "detail"))), "_tied")
     own = F.concat_ws(": ", "word", F.coalesce("frame", F.lit("-")))
     each = annotations.groupBy("doc_id", "fragment_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", own.alias("o")))), lambda x: x["o"]), "; ").alias("words")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", own.alias("o")))), lambda x: x["o"]), "; ").alias("words"), *sure
     )
-    each = _lines(each, "doc_id", ["fragment_id"], F.concat(F.lit("- "), F.col("fragment_id"), F.lit(" "), F.col("words")), "_each")
-    rows = counts
-    for part in (words, skipped, index, tied, each):
+    line = F.concat(F.lit("- "), F.col("fragment_id"), F.lit(" "), F.col("words"))
+    each = _lines(each, "doc_id", ["fragment_id"], line, "_each", *[F.sum(f"_{c}_words").alias(f"_{c}_words") for c in CONFIDENCES])
+    for part in (index, tied, each):
         rows = rows.join(part, "doc_id", "left")
     figure = lambda label, column: F.concat(F.lit(f"| {label} | "), F.coalesce(column, F.lit(0)).cast("string"), F.lit(" |"))
     figures = [figure("fragments", "_fragments"), *(figure(f"{v} value", f"_{v}") for v in VALUES), *(figure(f"{c} confidence", f"_{c}_words") for c in CONFIDENCES)]
@@ -99,7 +99,7 @@ def lexicon_reports(lexicon: dict[str, DataFrame]) -> DataFrame:
         parts.append((f"{kind} elements", f"_{kind[:4]}", _lines(own, "frame", ["fe"], about, f"_{kind[:4]}")))
     units = lexicon["units"].select("frame", F.concat_ws(".", "lemma", "pos").alias("unit")).distinct()
     units = _first(units, "frame", ["unit"], UNITS).groupBy("frame")
-    listed = units.agg(F.array_join(F.transform(F.array_sort(F.collect_list("unit")), lambda u: F.concat(F.lit("`"), u, F.lit("`"))), ", ").alias("_unit"))
+    listed = units.agg(F.array_join(F.transform(F.sort_array(F.collect_list("unit")), lambda u: F.concat(F.lit("`"), u, F.lit("`"))), ", ").alias("_unit"))
     parts.append((f"Units (first {UNITS})", "_unit", listed))
     both = lexicon["relations"].select(F.explode(F.array_distinct(F.array("sub", "super"))).alias("frame"), "type", "sub", "super", "ord")
     shown = F.concat(F.lit("- "), F.col("type"), F.lit(": "), F.col("sub"), F.lit(" → "), F.col("super"))

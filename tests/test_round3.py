@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomery import catalog
 from loomery.operators import collocations, entities, knowledge, lexicon, ordered, parsing, retrieval, similarity, tools, vector_index
+from loomery.sinks import reports
 
 
 @pytest.fixture
@@ -278,3 +279,19 @@ def test_artifacts_files_are_not_gathered(spark):
     assert sorted(entities.apart_candidates(lists, apart, "path").select("id", "value", "source").collect()) == want and len(want) == 2
     plan = catalog.QUERIES["artifact_candidates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "Repartition" in plan
+
+
+def test_report_counts_and_lines_of_a_document_are_grouped_together(spark):
+    fragments = spark.createDataFrame([(1, "b", "low"), (1, "a", "skip"), (1, "c", None), (None, "z", "low")], "doc_id int, fragment_id string, value string")
+    words = spark.createDataFrame(
+        [(1, "a", 2, "y", None, None), (1, "a", 1, "x", "F", "low"), (1, None, 1, "w", None, "high"), (None, "z", 1, "v", "F", "high")],
+        "doc_id int, fragment_id string, place int, word string, frame string, confidence string",
+    )
+    tied = spark.createDataFrame([], "doc_id int, source string, target string, kind string, detail string")
+    made = reports.annotation_reports(fragments, words, tied)
+    got = {r["doc_id"]: r["report"] for r in made.collect()}
+    figures = dict(x.strip("| ").split(" | ") for x in got[1].split("\n") if x.startswith("| ") and x.count("|") == 3)
+    assert figures == {"What": "Number", "fragments": "3", "high value": "0", "medium value": "0", "low value": "1", "skip value": "1", "high confidence": "1", "medium confidence": "0", "low confidence": "1", "none confidence": "1"}
+    assert "## Fragments\n\n- a x: F; y: -\n" in got[1] and got[1].endswith("## Left out\n\na, b\n") and "## Left out" not in got[None] and "## Frames" not in got[None]
+    # Six groupings and five joins before.
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 3
